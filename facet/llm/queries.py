@@ -27,9 +27,44 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return operator(spark, table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), end_id=0, room=2048)
 
 
+def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .op10_simhash import op10_simhash as operator
+
+    return operator(spark, table(spark, sf_dir, "documents"))
+
+
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .op3_quality import op3_quality as operator
+
+    return operator(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .op4_pii import op4_pii as operator
+
+    return operator(spark, table(spark, sf_dir, "documents"))
+
+
+def op8_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .op8_topk import op8_topk as operator
+
+    return operator(spark, table(spark, sf_dir, "embeddings"), k=20, query_every=20, scale=64)
+
+
+def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .op9_decontaminate import op9_decontaminate as operator
+
+    return operator(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+QUERIES = [op3_quality, op4_pii, op5_token_ids, op6_packing, op8_topk, op9_decontaminate, op10_simhash]
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op5_token_ids": op5_token_ids, "op6_packing": op6_packing}
+    return {f.__name__: f for f in QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from . import op8_topk, op9_decontaminate
+
+    return {"op8_topk": op8_topk.ORACLE_SQL, "op9_decontaminate": op9_decontaminate.ORACLE_SQL}
