@@ -33,6 +33,18 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return operator(spark, table(spark, sf_dir, "documents"))
 
 
+def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .op1_token_counts import op1_token_counts as operator
+
+    return operator(spark, table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
+
+
+def op2_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .op2_licences import op2_licences as operator
+
+    return operator(spark, table(spark, sf_dir, "documents"))
+
+
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .op3_quality import op3_quality as operator
 
@@ -57,7 +69,7 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return operator(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = [op3_quality, op4_pii, op5_token_ids, op6_packing, op8_topk, op9_decontaminate, op10_simhash]
+QUERIES = [op1_token_counts, op2_licences, op3_quality, op4_pii, op5_token_ids, op6_packing, op8_topk, op9_decontaminate, op10_simhash]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -65,6 +77,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import op8_topk, op9_decontaminate
+    from . import op2_licences, op8_topk, op9_decontaminate
 
-    return {"op8_topk": op8_topk.ORACLE_SQL, "op9_decontaminate": op9_decontaminate.ORACLE_SQL}
+    return {"op2_licences": op2_licences.ORACLE_SQL, "op8_topk": op8_topk.ORACLE_SQL, "op9_decontaminate": op9_decontaminate.ORACLE_SQL}

@@ -106,6 +106,22 @@ class CachedEncoder:
                 del cache[c]
         return out
 
+    def counts(self, chunks: list[str]) -> list[int]:
+        """How many ids each chunk has."""
+        cache = self.cache
+        new = list({c for c in chunks if c not in cache})
+        if len(new) + len(cache) > self.most:
+            cache.clear()
+            new = list(set(chunks))
+        for k in range(0, len(new), 8192):
+            part = new[k : k + 8192]
+            cache.update(zip(part, self._encode(part)))
+        out = [len(cache[c]) >> 2 for c in chunks]
+        for c in new:
+            if len(c) > 40:
+                del cache[c]
+        return out
+
     def encode(self, texts: Iterable[str | None], batch_chars: int = 1_000_000) -> Iterable[bytes]:
         """Ids of each text in turn (null: empty), with a bounded number of characters split at once."""
         held: list[list[str]] = []
