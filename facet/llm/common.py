@@ -63,6 +63,9 @@ def one_thread() -> None:
     os.environ.setdefault("RAYON_NUM_THREADS", "1")
 
 
-def rename_clashes(df: DataFrame, needed: list[str]) -> DataFrame:
-    """Only the named columns, so that further columns can't clash with working names."""
-    return df.select(*[f"`{c}`" for c in needed])
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that df doesn't have, so that further columns of a table never clash with working ones."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

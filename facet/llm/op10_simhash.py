@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Stage, one_thread, shuffle_partitions
+from .common import Stage, fresh, one_thread, shuffle_partitions
 from .components import components
 
 THRESHOLD = 3
@@ -57,15 +57,14 @@ def fingerprint(text: str | None, words_per: int = 3) -> int:
 
 
 def fingerprints(docs: DataFrame, words_per: int = 3) -> DataFrame:
-    """(doc_id, f): f as a signed long. A null text counts as empty."""
+    """(doc_id, copy, f): copy is the text's xxhash64, f the fingerprint as a signed long. A null text counts as empty."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         one_thread()
-        for pdf in batches:
-            f = np.array([fingerprint(t, words_per) for t in pdf["text"]], dtype=np.uint64).view(np.int64)
-            yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "f": f})
+        for texts in batches:
+            yield pd.Series(np.array([fingerprint(t, words_per) for t in texts], dtype=np.uint64).view(np.int64))
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, f long")
+    return docs.select("doc_id", F.xxhash64("text").alias("copy"), F.pandas_udf(run, "long")(F.col("text")).alias("f"))
 
 
 def _syndrome(half: np.ndarray) -> np.ndarray:
@@ -199,19 +198,28 @@ def links(distinct: DataFrame, stage: Stage, threshold: int = THRESHOLD, block_r
     return out
 
 
-def classes(docs: DataFrame, stage: Stage, threshold: int = THRESHOLD, words_per: int = 3) -> DataFrame:
-    """(doc_id, f, component_id) of every document."""
+def classes(docs: DataFrame, stage: Stage, threshold: int = THRESHOLD, words_per: int = 3) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, f) of every document, and (f, component_id, keep) of every fingerprint; keep is (doc_id, copy) of the component's first row."""
     marked = stage.write(fingerprints(docs, words_per), "fingerprints")
-    # one row for each fingerprint, with its least doc_id: copies never meet each other
-    distinct = stage.write(marked.groupBy("f").agg(F.min("doc_id").alias("low")), "distinct")
-    found = links(distinct, stage, threshold)
-    rooted = components(found, stage)
-    # of linked fingerprints: the least doc_id of each component
-    named = stage.write(rooted.join(distinct, rooted["node"] == distinct["f"]).select("node", "root", "low"), "named")
-    least = named.groupBy("root").agg(F.min("low").alias("least"))
-    linked = named.join(least, "root").select(F.col("node").alias("f"), "least")
-    per = stage.write(distinct.join(linked, "f", "left").select("f", F.coalesce("least", "low").alias("component_id")), "components")
-    return marked.join(per, "f").select("doc_id", "f", "component_id")
+    # one row for each fingerprint: copies never meet each other
+    distinct = stage.write(marked.groupBy("f").agg(F.min("doc_id").alias("low"), F.min(F.struct("doc_id", "copy")).alias("row")), "distinct")
+    rooted = components(links(distinct, stage, threshold), stage)
+    named = stage.write(rooted.join(distinct, rooted["node"] == distinct["f"]).select("node", "root", "low", "row"), "named")
+    least = named.groupBy("root").agg(F.min("low").alias("least"), F.min("row").alias("first"))
+    linked = named.join(least, "root").select(F.col("node").alias("f"), "least", "first", F.lit(True).alias("linked"))
+    chosen = distinct.join(linked, "f", "left")
+    per = chosen.select("f", F.when(F.col("linked"), F.col("least")).otherwise(F.col("low")).alias("component_id"), F.when(F.col("linked"), F.col("first")).otherwise(F.col("row")).alias("keep"))
+    return marked, stage.write(per, "components")
+
+
+def one_of_each(docs: DataFrame, stage: Stage, threshold: int = THRESHOLD) -> DataFrame:
+    """One row of docs for each component, with its columns: the least (doc_id, hash of the text), a null doc_id first."""
+    _, per = classes(docs, stage, threshold)
+    name, copy, mine = fresh(docs, "keep_id"), fresh(docs, "keep_copy"), fresh(docs, "own_copy")
+    kept = per.select(F.col("keep.doc_id").alias(name), F.col("keep.copy").alias(copy)).distinct()
+    here = docs.withColumn(mine, F.xxhash64("text"))
+    out = here.join(kept, F.col("doc_id").eqNullSafe(F.col(name)) & (F.col(mine) == F.col(copy)), "left_semi")
+    return out.dropDuplicates(["doc_id", mine]).drop(mine)
 
 
 def op10_simhash(spark: SparkSession, docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
@@ -223,5 +231,5 @@ def op10_simhash(spark: SparkSession, docs: DataFrame, threshold: int = THRESHOL
     """
     if not 0 <= threshold <= THRESHOLD:
         raise ValueError(f"the anchors cover differences of 0 to {THRESHOLD} bits")
-    out = classes(docs, Stage(spark, "simhash"), threshold)
-    return out.select("doc_id", F.lower(F.lpad(F.hex("f"), 16, "0")).alias("fingerprint"), "component_id")
+    marked, per = classes(docs, Stage(spark, "simhash"), threshold)
+    return marked.select("doc_id", "f").join(per.select("f", "component_id"), "f").select("doc_id", F.lower(F.lpad(F.hex("f"), 16, "0")).alias("fingerprint"), "component_id")

@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import one_thread
+from .common import fresh, one_thread
 
 SLICE = 4096
 
@@ -146,17 +146,20 @@ def held_out(doc_id):
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def scored(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
-    """docs' columns in keep, with quality_score."""
-    schema = docs.select(*[f"`{c}`" for c in keep]).schema
+def score_column(model: Model):
+    """A column function: the score of a column of texts."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            pdf["quality_score"] = model.scores(pdf["text"].tolist())
-            yield pdf
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield pd.Series(model.scores(texts.tolist()), dtype="float64")
 
-    names = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
-    return docs.select(*[f"`{c}`" for c in keep]).mapInPandas(run, f"{names}, quality_score double")
+    return F.pandas_udf(run, "double")
+
+
+def accepted(docs: DataFrame, model: Model) -> DataFrame:
+    """The rows of docs that score at least 0.5, with their columns."""
+    score = fresh(docs, "quality_score")
+    return docs.withColumn(score, score_column(model)(F.col("text"))).where(F.col(score) >= 0.5).drop(score)
 
 
 def learn(docs: DataFrame, labels: DataFrame, sample_docs: int = 1500) -> Model:
@@ -169,5 +172,6 @@ def op3_quality(spark: SparkSession, docs: DataFrame, labels: DataFrame, sample_
     The model learns from labels of documents that are not held out alone; labels and doc_id are never inputs of a score. Nulls: a null text scores as an empty one; a null label is no label; a
     null doc_id is not held out. Without four labels of each kind every score is the labels' base rate. Repeated rows score alike. Empty table: no rows.
     """
-    out = scored(docs, learn(docs, labels, sample_docs), ["doc_id", "text"])
+    model = learn(docs, labels, sample_docs)
+    out = docs.select("doc_id", score_column(model)(F.col("text")).alias("quality_score"))
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("quality_score").alias("score"), (F.col("quality_score") >= 0.5).cast("int").alias("predicted"))

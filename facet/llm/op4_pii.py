@@ -19,6 +19,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import one_thread
 from .tagger import Tagger
@@ -284,3 +285,15 @@ def masked(text: str | None, spans: list[Span]) -> str | None:
             parts.append(f"<{KINDS[kind].upper()}>")
         done = max(done, b)
     return "".join([*parts, text[done:]])
+
+
+def masked_column(model: Tagger):
+    """A column function: texts with every span of all_spans() masked."""
+
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        one_thread()
+        for texts in batches:
+            t = texts.tolist()
+            yield pd.Series([masked(x, spans) for x, (_, spans) in zip(t, all_spans(t, model))], dtype=object)
+
+    return F.pandas_udf(run, "string")

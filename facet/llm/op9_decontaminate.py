@@ -16,12 +16,13 @@ Two windows at similarity 0.8 with 30 shingles differ in about 10 bits of 64, wi
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Stage
+from .common import Stage, fresh
 
 SHINGLE = 5
 RADIUS = 19
@@ -85,7 +86,7 @@ def _item_table(items: DataFrame) -> DataFrame:
 
 
 def contaminated(docs: DataFrame, items: DataFrame, stage: Stage, similarity: float = 0.8, broadcast_shingles: int = 1_000_000) -> DataFrame:
-    """(doc_id, item_id, similarity, start, n_words): per document and item the best window, the first of equals; start in words from 0.
+    """(doc_id, copy, item_id, similarity, start, n): per text and item the best window; copy is the text's xxhash64, start in words from 0.
 
     The items' shingles are broadcast while they number at most broadcast_shingles (about 24 MB), and joined by a shuffle beyond that."""
     table = stage.write(_item_table(items), "items")
@@ -106,7 +107,7 @@ def contaminated(docs: DataFrame, items: DataFrame, stage: Stage, similarity: fl
         found = rows.select("doc_id", F.xxhash64(*[f"w{k}" for k in range(m)]).alias("h")).join(small(known), "h", "left_semi").select("doc_id").distinct()
         hits = found if hits is None else hits.unionByName(found)
     if hits is None:
-        return docs.sparkSession.createDataFrame([], "doc_id long, item_id long, similarity double, start int, n_words int")
+        return docs.sparkSession.createDataFrame([], "doc_id long, copy long, item_id long, similarity double, start int, n int")
     hits = stage.write(hits.distinct(), "hits")
 
     # their shingles' hashes; the documents are read again and joined to the hits, broadcast while they are few
@@ -127,8 +128,8 @@ def contaminated(docs: DataFrame, items: DataFrame, stage: Stage, similarity: fl
         starts = at.join(small(sizes), "h").where(first <= last).select("doc_id", "copy", "n", F.explode(F.sequence(first, last)).alias("start"))
         starts = starts.groupBy("doc_id", "copy").agg(F.collect_set(F.struct("n", "start")).alias("starts"))
         key = held.select(F.col("doc_id").alias("d"), F.col("copy").alias("c"), F.col(f"h{m}").alias("h"))
-        here = starts.join(key, F.col("doc_id").eqNullSafe(F.col("d")) & F.col("copy").eqNullSafe(F.col("c"))).select("doc_id", "h", F.explode("starts").alias("s"))
-        part = here.select("doc_id", F.col("s.n").alias("n"), F.lit(m).alias("m"), F.col("s.start").alias("start"), F.slice("h", F.col("s.start") + 1, F.col("s.n") - m + 1).alias("wh"))
+        here = starts.join(key, F.col("doc_id").eqNullSafe(F.col("d")) & F.col("copy").eqNullSafe(F.col("c"))).select("doc_id", "copy", "h", F.explode("starts").alias("s"))
+        part = here.select("doc_id", "copy", F.col("s.n").alias("n"), F.lit(m).alias("m"), F.col("s.start").alias("start"), F.slice("h", F.col("s.start") + 1, F.col("s.n") - m + 1).alias("wh"))
         windows = part if windows is None else windows.unionByName(part)
 
     # 2. and 3.
@@ -139,21 +140,36 @@ def contaminated(docs: DataFrame, items: DataFrame, stage: Stage, similarity: fl
     per = per.groupBy("item_id", "n", "m").agg(F.collect_list(F.struct("h", "c", weight.alias("w"))).alias("entries"))
     target = table.select("item_id", "n", "m", simhash(F.col("h")).alias("f")).join(per, ["item_id", "n", "m"])
     target = stage.write(target, "targets").select("item_id", "n", "f", "entries", F.inline(_blocks(F.col("f"))))
-    met = marked.select("doc_id", "n", "start", "wh", "wf", F.inline(_blocks(F.col("wf")))).join(small(target), ["n", "k", "value"])
+    met = marked.select("doc_id", "copy", "n", "start", "wh", "wf", F.inline(_blocks(F.col("wf")))).join(small(target), ["n", "k", "value"])
     differ = F.col("wf").bitwiseXOR(F.col("f"))
     first_equal = reduce(lambda c, k: c.when(_block(differ, k) == 0, k), range(len(BLOCKS)), F.when(F.lit(False), -1))
     met = met.where((F.bit_count(differ) <= RADIUS) & (F.col("k") == first_equal))
 
     # 4.
-    alone = F.lit(int(1000 * __import__("math").log(1 + n_items) + 0.5)).cast("long")
+    alone = F.lit(round(1000 * math.log(1 + n_items))).cast("long")
     entry = lambda e: F.struct(e["c"].alias("c"), e["w"].alias("w"), F.size(F.filter("wh", lambda x: x == e["h"])).alias("in_w"))
-    met = met.select("doc_id", "item_id", "n", "start", F.size("wh").alias("shingles"), F.transform("entries", entry).alias("e"))
+    met = met.select("doc_id", "copy", "item_id", "n", "start", F.size("wh").alias("shingles"), F.transform("entries", entry).alias("e"))
     total_of = lambda f: F.aggregate("e", F.lit(0).cast("long"), lambda acc, e: acc + f(e))
     both = total_of(lambda e: F.least(e["c"], e["in_w"]) * e["w"])
     either = total_of(lambda e: F.greatest(e["c"], e["in_w"]) * e["w"]) + (F.col("shingles") - total_of(lambda e: e["in_w"].cast("long"))) * alone
-    met = met.select("doc_id", "item_id", "n", "start", (both / either).alias("similarity")).where(F.col("similarity") >= similarity)
-    best = met.groupBy("doc_id", "item_id").agg(F.max(F.struct("similarity", (-F.col("start")).alias("s"), "n")).alias("b"))
-    return best.select("doc_id", "item_id", F.col("b.similarity").alias("similarity"), (-F.col("b.s")).alias("start"), F.col("b.n").alias("n_words"))
+    met = met.select("doc_id", "copy", "item_id", "n", "start", (both / either).alias("similarity")).where(F.col("similarity") >= similarity)
+    return _best(met, ["doc_id", "copy", "item_id"])
+
+
+def _best(windows: DataFrame, by: list[str]) -> DataFrame:
+    """The best window by the given columns: the most similar, then the first, then the longest."""
+    best = windows.groupBy(*by).agg(F.max(F.struct("similarity", (-F.col("start")).alias("s"), "n")).alias("b"))
+    return best.select(*by, F.col("b.similarity").alias("similarity"), (-F.col("b.s")).alias("start"), F.col("b.n").alias("n"))
+
+
+def clean(docs: DataFrame, items: DataFrame, stage: Stage, similarity: float = 0.8, broadcast_rows: int = 1_000_000) -> DataFrame:
+    """The rows of docs that hold no item, with their columns. Texts of one doc_id are judged each by itself."""
+    found = stage.write(contaminated(docs, items, stage, similarity).select("doc_id", "copy").distinct(), "found")
+    few = found.count() <= broadcast_rows
+    name, copy = fresh(docs, "found_id"), fresh(docs, "found_copy")
+    found = found.select(F.col("doc_id").alias(name), F.col("copy").alias(copy))
+    same = F.col("doc_id").eqNullSafe(F.col(name)) & (F.xxhash64("text") == F.col(copy))
+    return docs.join(F.broadcast(found) if few else found, same, "left_anti")
 
 
 def op9_decontaminate(spark: SparkSession, docs: DataFrame, items: DataFrame, similarity: float = 0.8) -> DataFrame:
@@ -162,7 +178,8 @@ def op9_decontaminate(spark: SparkSession, docs: DataFrame, items: DataFrame, si
     Nulls: a null text, or one without words, holds nothing; an item without words or without item_id is never looked for; a null doc_id is kept as such. Repeated rows of
     one doc_id count as one document. Rows of one item_id with different texts are different items of one name. Empty tables: no rows. Further columns are ignored.
     """
-    return contaminated(docs, items, Stage(spark, "decontaminate"), similarity)
+    found = contaminated(docs, items, Stage(spark, "decontaminate"), similarity)
+    return _best(found, ["doc_id", "item_id"]).withColumnRenamed("n", "n_words")
 
 
 ORACLE_SQL = r"""

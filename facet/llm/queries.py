@@ -57,6 +57,12 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return operator(spark, table(spark, sf_dir, "documents"))
 
 
+def op7_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .op7_lm_score import op7_lm_score as operator
+
+    return operator(spark, table(spark, sf_dir, "documents"))
+
+
 def op8_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .op8_topk import op8_topk as operator
 
@@ -69,7 +75,7 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return operator(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = [op1_token_counts, op2_licences, op3_quality, op4_pii, op5_token_ids, op6_packing, op8_topk, op9_decontaminate, op10_simhash]
+QUERIES = [op1_token_counts, op2_licences, op3_quality, op4_pii, op5_token_ids, op6_packing, op7_lm_score, op8_topk, op9_decontaminate, op10_simhash]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
