@@ -184,7 +184,14 @@ class Store:
 
     def _read(self, c: dict) -> DataFrame:
         spark = self.spark
-        fields = T.StructType.fromJson(c["spark"]) if c["spark"] else Schema.from_json(c["schema"]).spark()
+        stored = T.StructType.fromJson(c["spark"]) if c["spark"] else T.StructType([])
+        declared = Schema.from_json(c["schema"])
+        have = {f.name: f for f in stored.fields}
+        # declared fields first; a strict schema hides stored fields that it has dropped
+        fields = T.StructType([have.get(f.name, f) for f in declared.spark().fields])
+        if declared.mode in ("dynamic", "declared"):
+            names = {f.name for f in fields.fields}
+            fields = T.StructType([*fields.fields, *[f for f in stored.fields if f.name not in names]])
         schema = T.StructType([T.StructField(ID, T.LongType(), False), *[T.StructField(f.name, f.dataType, True) for f in fields.fields]])
         out = None
         gone: DataFrame | None = None
