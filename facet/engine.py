@@ -14,7 +14,7 @@ from .optimizer.registry import at_level, cache_size
 from .optimizer.telemetry import Telemetry
 from .optimizer.views import View
 from .plans.compiler import compile_plan
-from .plans.logical import Join, Op
+from .plans.logical import GetById, Join, Op
 from .plans.sql import parse
 from .sources.store import NoSuchCollection, Store
 
@@ -22,16 +22,21 @@ from .sources.store import NoSuchCollection, Store
 class Engine:
     """Reads registered DataFrames (with an _id column) and the collections of a store.
 
-    level: which optimizations are on, 0 to 10. root: a folder for layouts. exact_sums: scale for sums of doubles by way of decimals, which are the same whatever the order of rows; None for plain doubles.
+    level: which optimizations are on, 0 to 10. root: a folder for layouts. small_rows: results and looked-up collections of at most so many rows, by count, may be held on the driver; larger ones stay in Spark. slow_seconds: queries that take longer
+    are kept in `slow`. exact_sums: scale for sums of doubles by way of decimals, which are the same whatever the order of rows; None for plain doubles.
     """
 
-    def __init__(self, spark: SparkSession, store: Store | None = None, root: str | None = None, level: int = 0, exact_sums: int | None = None, driver: AdaptiveDriver | None = None):
+    def __init__(self, spark: SparkSession, store: Store | None = None, root: str | None = None, level: int = 0, exact_sums: int | None = None, driver: AdaptiveDriver | None = None, small_rows: int = 10_000, slow_seconds: float | None = None):
         self.spark, self.store, self.root, self.exact_sums = spark, store, root, exact_sums
         self.frames: dict[str, DataFrame] = {}
         self.epochs: dict[str, int] = {}
         self.layouts: list[L.Layout] = []
         self.views: list[View] = []
-        self.results: OrderedDict[str, tuple[dict, DataFrame]] = OrderedDict()
+        self.results: OrderedDict[str, tuple[dict, list[Row] | None, DataFrame | None]] = OrderedDict()
+        self.small_rows, self.slow_seconds = small_rows, slow_seconds
+        self.slow: list[tuple[float, str]] = []
+        self.lookups: dict[str, int] = {}
+        self.prepared: dict[str, tuple[int, dict[int, Row] | None]] = {}
         self.decisions: OrderedDict[tuple, str] = OrderedDict()
         self.telemetry = Telemetry()
         self.driver = driver
@@ -112,15 +117,30 @@ class Engine:
         """The answer as a DataFrame, lazily; its rows are in the plan's order."""
         return R.result(self._answer(plan, self._layouts()), ordered)
 
-    def collect(self, plan: Op | str) -> list[Row]:
-        """The answer's rows. Runs the query now, so this is where results are cached, telemetry is taken and experiments compare."""
+    def collect(self, plan: Op | str, tag: str | None = None) -> list[Row]:
+        """The answer's rows. Runs the query now, so this is where results are cached, telemetry is taken and experiments compare. A tagged query can be stopped by cancel(tag) from another thread."""
         plan = parse(plan) if isinstance(plan, str) else plan
         began = time.perf_counter()
-        out = self._collect(plan)
-        self.telemetry.record(plan, time.perf_counter() - began)
+        if tag:
+            self.spark.addTag(tag)
+        try:
+            out = self._collect(plan)
+        finally:
+            if tag:
+                self.spark.removeTag(tag)
+        took = time.perf_counter() - began
+        self.telemetry.record(plan, took)
+        if self.slow_seconds is not None and took > self.slow_seconds:
+            self.slow.append((took, plan.explain()))
         return out
 
+    def cancel(self, tag: str) -> None:
+        self.spark.interruptTag(tag)
+
     def _collect(self, plan: Op) -> list[Row]:
+        if isinstance(plan, GetById) and (held := self._prepared(plan.collection)) is not None:
+            row = held.get(plan.id)
+            return [] if row is None else [row]
         e = self.experiment
         if e and e.state in ("shadow", "canary") and serves(e.proposal.change, plan, self.epoch(e.proposal.collection)):
             return self._tried(plan, e)
@@ -130,18 +150,37 @@ class Engine:
         if (held := self.results.get(key)) and held[0] == at:
             self.results.move_to_end(key)
             self.telemetry.caches["result", "hit"] += 1
-            return held[1].collect()
+            return list(held[1]) if held[1] is not None else held[2].collect()
         self.telemetry.caches["result", "miss"] += 1
         if held:
-            held[1].unpersist()
-        rel = self._answer(plan, self._layouts())
-        df = R.result(rel).persist()
+            self._release(key)
+        df = self.query(plan)
         out = df.collect()
-        self.results[key] = (at, df)
+        # small results are kept as rows; of others the DataFrame is persisted, and filled when it is asked again
+        small = len(out) <= self.small_rows
+        self.results[key] = (at, list(out) if small else None, None if small else df.persist())
         while len(self.results) > cache_size("result_cache", self.level):
-            self.results.popitem(last=False)[1][1].unpersist()
+            self._release(next(iter(self.results)))
         return out
 
+    def _prepared(self, name: str, after: int = 256) -> dict[int, Row] | None:
+        """A collection's rows by id, once it has been looked up `after` times at its current epoch and has at most small_rows rows."""
+        if "direct_lookup" not in self.on:
+            return None
+        epoch = self.epoch(name)
+        if (got := self.prepared.get(name)) and got[0] == epoch:
+            return got[1]
+        self.lookups[name] = self.lookups.get(name, 0) + 1
+        if self.lookups[name] < after:
+            return None
+        rows = self.rows(name)
+        fields = [c for c in rows.columns if c != R.ID]
+        some = rows.limit(self.small_rows + 1).collect()
+        held = {r[R.ID]: Row(**{c: r[c] for c in fields}) for r in some} if len(some) <= self.small_rows else None
+        self.prepared[name] = (epoch, held)
+        self.lookups[name] = 0
+        return held
+
     def _tried(self, plan: Op, e: Experiment) -> list[Row]:
         change = e.proposal.change
         t0 = time.perf_counter()
@@ -196,10 +235,14 @@ class Engine:
         physical = self.query(plan)._jdf.queryExecution().executedPlan().toString()
         return "\n".join([*lines, physical])
 
-    def _forget(self) -> None:
-        for _, df in self.results.values():
+    def _release(self, key: str) -> None:
+        df = self.results.pop(key)[2]
+        if df is not None:
             df.unpersist()
-        self.results.clear()
+
+    def _forget(self) -> None:
+        for key in list(self.results):
+            self._release(key)
 
     # the loop
 

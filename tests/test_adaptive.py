@@ -142,3 +142,27 @@ def test_exact_arithmetic(spark):
     assert holds(f("d") + Decimal("0.50") == Decimal("10.50")) and holds(f("a") / 2 == 3) and holds(f("b") / 2 == -3)
     assert holds(f("d") / 3 == Decimal("3.33")) and not holds(f("a") / 0 == 0) and not holds(~(f("a") / 0 == 0))
     assert holds(f("big") * 4 == 2**64) and holds(f("a") / 2.0 == 3.5) and holds(f("big") * f("big") * f("big") > 1e55)
+
+
+def test_large_results_stay_in_spark(spark):
+    e = Engine(spark, level=1, small_rows=3)
+    e.register("c", spark.range(5).selectExpr("id as _id", "id as v"))
+    assert len(e.collect(scan("c"))) == 5 == len(e.collect(scan("c")))
+    assert e.results[scan("c").key()][1] is None
+    assert len(e.collect(scan("c").limit(2))) == 2 and e.results[scan("c").limit(2).key()][2] is None
+    e.set_level(0)
+    assert not e.results
+
+
+def test_prepared_lookups_follow_writes(spark):
+    e = Engine(spark, level=10, slow_seconds=0.0)
+    e.set_level(10, off=("result_cache",))
+    e.register("c", spark.range(5).selectExpr("id as _id", "id * 2 as v", "id as w"))
+    want = e.collect(get("c", 3))
+    e.lookups["c"] = 255
+    assert e.collect(get("c", 3)) == want and e.prepared["c"][1] is not None
+    assert e.collect(get("c", 3), tag="t") == want and e.collect(get("c", 99)) == [] and e.collect(get("c", 3))[0].__fields__ == ["v", "w"]
+    e.register("c", spark.range(5).selectExpr("id as _id", "id * 3 as v", "id as w"))
+    assert e.collect(get("c", 3))[0]["v"] == 9
+    e.cancel("t")
+    assert len(e.slow) == 6 and "GetById c 3" in e.slow[0][1]
