@@ -140,7 +140,7 @@ def forest(homes: np.ndarray, guests: np.ndarray, threshold: int = THRESHOLD) ->
 LINKS = "u long, v long"
 
 
-def links(distinct: DataFrame, stage: Stage, threshold: int = THRESHOLD, block_rows: int = 2000) -> DataFrame:
+def links(distinct: DataFrame, stage: Stage, threshold: int = THRESHOLD, block_rows: int = 500) -> DataFrame:
     """Links (u, v) that connect what links at the threshold connects, over the different fingerprints in distinct (f).
 
     Anchors are counted first; anchors without a home or with one fingerprint alone go no further."""

@@ -193,7 +193,7 @@ class Scorer:
         return [tuple(o) for o in out]
 
 
-def _average(copies: DataFrame, stage: Stage, fan: int = 32) -> np.ndarray:
+def _average(copies: DataFrame, stage: Stage, fan: int = 8) -> np.ndarray:
     """Weighted mean of (part, n, flat) in a tree: groups of about `fan` copies are averaged until one is left."""
 
     def mean(pdf: pd.DataFrame) -> pd.DataFrame:
