@@ -2,7 +2,7 @@
 
 The plan is made on the histogram of piece lengths, which has at most `room` entries however many documents there are:
 
-1. Linear grouping: pieces over a third of the room are grouped, by length, into groups of equal cardinality, and every length counts as
+1. Linear grouping: pieces over half or a third of the room are grouped, by length, into groups of equal cardinality, and every length counts as
    the largest of its group.
 2. Configurations: a linear programme over "which groups fill one sequence" is solved by column generation (the
    pricing problem is a knapsack). Its whole parts are taken; the few pieces left over are packed one sequence at a time, largest first
@@ -128,12 +128,19 @@ def _complete(left: dict[int, int], room: int) -> list[int]:
 
 
 def plan(counts: dict[int, int], room: int = ROOM, groups: int = 64) -> list[tuple[int, tuple[int, ...]]]:
-    """Runs of equal sequences: (how many, lengths in each). counts: pieces by length, 1 to room."""
+    """Runs of equal sequences: (how many, lengths in each). counts: pieces by length, 1 to room.
+
+    Where large ends and small begins decides how much rounding costs and how much best fit must mend; a half and a third of the room are both tried, and the plan with fewer sequences is kept."""
+    return min((plan_above(counts, room, limit, groups) for limit in (room // 2, room // 3)), key=lambda runs: sum(t for t, _ in runs))
+
+
+def plan_above(counts: dict[int, int], room: int, limit: int, groups: int = 64) -> list[tuple[int, tuple[int, ...]]]:
+    """The plan in which pieces longer than limit are large."""
     counts = {int(k): int(v) for k, v in counts.items() if v}
     runs: list[tuple[int, list[int]]] = []
     if n := counts.pop(room, 0):
         runs.append((n, [room]))
-    large = sorted((x for x in counts if x > room // 3), reverse=True)
+    large = sorted((x for x in counts if x > limit), reverse=True)
     left = {x: counts[x] for x in large}
     if large:
         total = sum(left.values())
@@ -192,7 +199,7 @@ def plan(counts: dict[int, int], room: int = ROOM, groups: int = 64) -> list[tup
     open_rooms = np.zeros(room + 1, dtype=bool)
     for r in by_room:
         open_rooms[r] = True
-    for length in sorted((x for x in counts if x <= room // 3), reverse=True):
+    for length in sorted((x for x in counts if x <= limit), reverse=True):
         n = counts[length]
         while n:
             fits = np.flatnonzero(open_rooms[length:])
