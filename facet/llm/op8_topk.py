@@ -21,6 +21,9 @@ from pyspark.sql import functions as F
 from .common import Stage, one_thread
 
 
+VALUES = 4_000_000
+
+
 class Tree:
     """KD-tree over whole-number vectors x (float64 where all products and sums are exact in it, else Python integers)."""
 
@@ -106,7 +109,9 @@ FOUND = "query_id long, vec_id long, score long"
 def top_k(rows: DataFrame, k: int, query_every: int, stage: Stage, shard_rows: int = 8192, query_rows: int = 4096, leaf_rows: int = 64) -> DataFrame:
     """query_id, rank, vec_id, score. rows: (vec_id, v) with v an array of whole-number doubles, one row for each vec_id."""
     held = stage.write(rows.withColumn("d", F.size("v")), "vectors")
-    n = held.count()
+    n, wide = held.agg(F.count(F.lit(1)), F.coalesce(F.max("d"), F.lit(1))).first()
+    # long vectors make smaller shards and blocks: a task holds at most about VALUES numbers of either
+    shard_rows, query_rows = (max(1, min(r, VALUES // max(1, wide))) for r in (shard_rows, query_rows))
     shards, blocks = max(1, -(-n // shard_rows)), max(1, -(-n // (query_every * query_rows)))
     held = held.withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int"))
     asked = F.col("vec_id") % query_every == 0

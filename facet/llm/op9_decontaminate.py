@@ -88,7 +88,8 @@ def _item_table(items: DataFrame) -> DataFrame:
 def contaminated(docs: DataFrame, items: DataFrame, stage: Stage, similarity: float = 0.8, broadcast_shingles: int = 1_000_000) -> DataFrame:
     """(doc_id, copy, item_id, similarity, start, n): per text and item the best window; copy is the text's xxhash64, start in words from 0.
 
-    The items' shingles are broadcast while they number at most broadcast_shingles (about 24 MB), and joined by a shuffle beyond that."""
+    The items' shingles are broadcast while they number at most broadcast_shingles (about 24 MB), and joined by a shuffle beyond that; so are the items' blocks, which hold
+    each shingle once for every block."""
     table = stage.write(_item_table(items), "items")
     shingles = stage.write(table.select("item_id", "n", "m", F.explode("h").alias("h")), "shingles")
     total = shingles.count()
@@ -140,7 +141,7 @@ def contaminated(docs: DataFrame, items: DataFrame, stage: Stage, similarity: fl
     per = per.groupBy("item_id", "n", "m").agg(F.collect_list(F.struct("h", "c", weight.alias("w"))).alias("entries"))
     target = table.select("item_id", "n", "m", simhash(F.col("h")).alias("f")).join(per, ["item_id", "n", "m"])
     target = stage.write(target, "targets").select("item_id", "n", "f", "entries", F.inline(_blocks(F.col("f"))))
-    met = marked.select("doc_id", "copy", "n", "start", "wh", "wf", F.inline(_blocks(F.col("wf")))).join(small(target), ["n", "k", "value"])
+    met = marked.select("doc_id", "copy", "n", "start", "wh", "wf", F.inline(_blocks(F.col("wf")))).join(F.broadcast(target) if total * len(BLOCKS) <= broadcast_shingles else target, ["n", "k", "value"])
     differ = F.col("wf").bitwiseXOR(F.col("f"))
     first_equal = reduce(lambda c, k: c.when(_block(differ, k) == 0, k), range(len(BLOCKS)), F.when(F.lit(False), -1))
     met = met.where((F.bit_count(differ) <= RADIUS) & (F.col("k") == first_equal))
