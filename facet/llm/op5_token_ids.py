@@ -37,12 +37,12 @@ from .common import Stage, one_thread, shuffle_partitions
 from .tokens import encoder
 
 MAGIC = b"FTS1"
-BLOCK = 4096
+BLOCK = 2048
 #: log2 of: context slots, mixing total, order-0 total.
-CONTEXT_BITS, MIX_BITS, ID_BITS = 12, 12, 18
+CONTEXT_BITS, MIX_BITS, ID_BITS = 11, 12, 18
 TOTAL_BITS = MIX_BITS + ID_BITS
 #: Ids of a segment, documents kept whole.
-SEGMENT_IDS = 4_000_000
+SEGMENT_IDS = 3_000_000
 _MIX = 1 << MIX_BITS
 _U32 = np.uint64(32)
 
@@ -84,15 +84,15 @@ def _cumulative_before(group: np.ndarray, event: np.ndarray) -> tuple[np.ndarray
     first = np.flatnonzero(~same)
     sizes = np.diff(np.r_[first, len(same)])
     e = event.ravel()[order]
-    out = []
-    for k in range(3):
-        hit = (e == k).astype(np.int32)
-        c = np.cumsum(hit, dtype=np.int32) - hit
-        c -= np.repeat(c[first], sizes)
-        back = np.empty_like(c)
-        back[order] = c
-        out.append(back.reshape(group.shape))
-    return tuple(out)
+    # three running counts in one number, 21 bits each
+    one = np.array([1, 1 << 21, 1 << 42], dtype=np.int64)[e]
+    c = np.cumsum(one) - one
+    c -= np.repeat(c[first], sizes)
+    back = np.empty_like(c)
+    back[order] = c
+    back = back.reshape(group.shape)
+    part = (1 << 21) - 1
+    return (back & part).astype(np.int32), ((back >> 21) & part).astype(np.int32), (back >> 42).astype(np.int32)
 
 
 def _shares(n0, n1, n2):
@@ -235,57 +235,64 @@ def decode_segment(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     pos = np.full(lanes, 2, dtype=np.int64)
     span = np.full(lanes, (1 << 64) - 1, dtype=np.uint64)
     lane = every << CONTEXT_BITS
-    tables = [(np.zeros(lanes << CONTEXT_BITS, dtype=np.int32), np.zeros(lanes << CONTEXT_BITS, dtype=np.int8)) for _ in range(2)]
-    counts = np.zeros((lanes * 32, 3), dtype=np.int64)
-    flat_counts = counts.reshape(-1)
-    last = np.zeros(lanes, dtype=np.int64)
-    before = last
+    # a slot holds symbol << 2 | trust; a class holds its three counts in one number, 21 bits each (a block is shorter than that)
+    table2, table1 = (np.zeros(lanes << CONTEXT_BITS, dtype=np.int32) for _ in range(2))
+    counts = np.zeros(lanes * 32, dtype=np.int64)
+    plus = np.array([1, 1 << 21, 1 << 42], dtype=np.int64)
+    last, h1_last, h2_before = (np.zeros(lanes, dtype=np.int64) for _ in range(3))
     out = np.empty((block, lanes), dtype=np.int32)
     group0 = every * 32
     shift, least, low_bits = np.uint64(TOTAL_BITS), np.uint64(1 << 32), (1 << ID_BITS) - 1
     code_flat, width = code.reshape(-1), code.shape[1]
     base = every * width
-    (table2, trust2), (table1, trust1) = tables
+    mask, part = (1 << CONTEXT_BITS) - 1, (1 << 21) - 1
     for k in range(block):
-        a, b = _slots(before, last)
-        a += lane
-        b += lane
-        p2, p1 = table2[a], table1[b]
-        t2, t1 = trust2[a], trust1[b]
-        group = (group0 + t2 * 8 + t1 * 2 + (p2 == p1)) * 3
-        n0, n1, n2 = flat_counts[group], flat_counts[group + 1], flat_counts[group + 2]
-        s0, s1 = _shares(n0, n1, n2)
+        a = (((h1_last + h2_before) >> 3) & mask) + lane
+        b = ((h1_last >> 2) & mask) + lane
+        x2, x1 = table2[a], table1[b]
+        p2, p1 = x2 >> 2, x1 >> 2
+        t2, t1 = x2 & 3, x1 & 3
+        equal = p2 == p1
+        group = group0 + (t2 * 8 + t1 * 2 + equal)
+        c = counts[group]
+        n0, n1 = c & part, (c >> 21) & part
+        s0, s1 = _shares(n0, n1, c >> 42)
         r = span >> shift
         v = (off // r).astype(np.int64)
-        m = v >> ID_BITS
         s01 = s0 + s1
-        event = (m >= s0).astype(np.int64) + (m >= s01)
-        rest = _MIX - s01
-        sym = np.where(event == 0, p2, p1).astype(np.int64)
-        start = np.where(event == 0, 0, s0) << ID_BITS
-        size = np.where(event == 0, s0, s1) << ID_BITS
-        by0 = np.flatnonzero(event == 2)
+        m = v >> ID_BITS
+        not2 = m >= s0
+        by0 = np.flatnonzero(m >= s01)
+        sym = np.where(not2, p1, p2)
+        start = np.where(not2, s0, 0)
+        size = np.where(not2, s1, s0)
+        start <<= ID_BITS
+        size <<= ID_BITS
+        event = not2.astype(np.int8)
         if len(by0):
-            begin = s01[by0] << ID_BITS
-            share = rest[by0]
-            x = found[np.minimum((v[by0] - begin) // share, low_bits)].astype(np.int64)
+            begin = s01[by0]
+            share = _MIX - begin
+            begin <<= ID_BITS
+            x = found[np.minimum((v[by0] - begin) // share, low_bits)]
             sym[by0] = x
             start[by0] = begin + share * start1[x]
             size[by0] = share * freq1[x]
+            event[by0] = 2
         off -= r * start.astype(np.uint64)
         span = r * size.astype(np.uint64)
         need = np.flatnonzero(span < least)
         if len(need):
-            off[need] = (off[need] << _U32) | code_flat[base[need] + np.minimum(pos[need], width - 1)]
+            at = pos[need]
+            off[need] = (off[need] << _U32) | code_flat[base[need] + np.minimum(at, width - 1)]
             span[need] <<= _U32
-            pos[need] += 1
-        flat_counts[group + event] += 1
-        trust2[a] = np.where((p2 == sym) & (p2 != 0), np.minimum(t2 + 1, 3), 0)
-        trust1[b] = np.where((p1 == sym) & (p1 != 0), np.minimum(t1 + 1, 3), 0)
-        table2[a] = sym
-        table1[b] = sym
+            pos[need] = at + 1
+        counts[group] = c + plus[event]
+        shifted = sym << 2
+        table2[a] = shifted | np.where(p2 == sym, np.minimum(t2 + 1, 3), 0)
+        table1[b] = shifted | np.where(p1 == sym, np.minimum(t1 + 1, 3), 0)
         out[k] = sym
-        before, last = last, sym
+        h2_before, last = last * 30011, sym.astype(np.int64)
+        h1_last = last * 40503
     ids = symbols[out.T.reshape(-1)[:n] - 1]
     return ids.astype(np.uint32), doc_ids, lengths
 

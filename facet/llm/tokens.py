@@ -10,7 +10,9 @@ from __future__ import annotations
 
 import array
 import re
+import struct
 from collections.abc import Iterable
+from itertools import chain, islice
 
 from .common import one_thread
 
@@ -22,11 +24,29 @@ WITH_SPACE = re.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+")
 WITHOUT_SPACE = re.compile(f"[^{WHITE}]+")
 
 
+pack = struct.Struct("<I").pack
 #: Letters that no normaliser of the vocabularies changes but by lower-casing, and marks that stand in one pre-token.
 _LETTERS = "A-Za-z\\xc0-\\xd6\\xd8-\\xf6\\xf8-\\xff"
 SIMPLE = re.compile(f"([ \\n]?)([{_LETTERS}]+)([.,!?;:|#$%&*]*)").fullmatch
 
 
+# The vocabularies' own patterns of pre-tokens, for texts of Latin-1 characters alone, where every library agrees on what is a letter or a number.
+_L, _N, _S = "A-Za-z\\xaa\\xb5\\xba\\xc0-\\xd6\\xd8-\\xf6\\xf8-\\xff", "0-9\\xb2\\xb3\\xb9\\xbc-\\xbe", "\\t-\\r \\x85\\xa0"
+_SUFFIX = "'(?:s|t|re|ve|m|ll|d)"
+PIECES_WITHOUT_SPACE = re.compile(f"[{_L}]+|{_SUFFIX}|[{_N}]|[^{_S}{_L}{_N}]+")
+PIECES_WITH_SPACE = re.compile(f"{_SUFFIX}| ?[{_L}]+| ?[{_N}]+| ?[^{_S}{_L}{_N}]+|[{_S}]+(?![^{_S}])|[{_S}]+")
+
+
+def latin(text: str) -> bool:
+    if text.isascii():
+        return True
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
+
+
 def byte_alphabet() -> dict[int, str]:
     """Byte-level vocabularies write each byte as a printable character: printable Latin-1 stands for itself, and the
     rest follow from code point 256 on."""
@@ -35,13 +55,19 @@ def byte_alphabet() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(other)}
 
 
+def older_half(cache: dict) -> dict:
+    """What came first comes most often: a full cache keeps its older half."""
+    return dict(islice(cache.items(), len(cache) // 2))
+
+
 class CachedEncoder:
     """Encodes texts to little-endian unsigned 32-bit ids, as bytes.
 
     path: the vocabulary file, for the tokenizers library. drops_space: the vocabulary lower-cases and drops white space
     (word_bpe_49k); else it keeps both (byte_bpe_50k). A chunk that is a plain word with marks behind it goes straight
     to the library's merge model, word and marks apart; any other chunk goes through the library's whole encoder. At
-    most cache_entries chunks and as many words are kept; chunks over 40 characters never are.
+    most cache_entries chunks and as many words are kept, the older half when they are full; chunks over 40 characters
+    never are. More distinct chunks at once than that are held for as long as their batch.
     """
 
     def __init__(self, path: str, drops_space: bool, cache_entries: int = 500_000):
@@ -53,73 +79,86 @@ class CachedEncoder:
         self.model = self.tokenizer.model
         self.drops_space = drops_space
         self.chunks = (WITHOUT_SPACE if drops_space else WITH_SPACE).findall
+        self.pieces = (PIECES_WITHOUT_SPACE if drops_space else PIECES_WITH_SPACE).findall
         self.cache: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {}
         self.most = cache_entries
         self.alphabet = byte_alphabet()
 
+    def split(self, text: str) -> list[str]:
+        """Parts of a text whose ids, joined, are the text's: pre-tokens, of which fewer are different, or else chunks."""
+        if latin(text):
+            return self.pieces(text.lower() if self.drops_space else text)
+        return self.chunks(text)
+
+    def _fresh(self, piece: str) -> bytes:
+        tokens = self.model.tokenize(piece if piece.isascii() and piece.isalpha() else piece.encode().decode("latin-1").translate(self.alphabet))
+        return pack(tokens[0].id) if len(tokens) == 1 else b"".join([pack(t.id) for t in tokens])
+
     def _piece(self, piece: str) -> bytes:
         """Ids of one pre-token."""
         if (got := self.words.get(piece)) is None:
-            written = piece if piece.isascii() and piece.isalpha() else piece.encode().decode("latin-1").translate(self.alphabet)
-            got = array.array("I", [t.id for t in self.model.tokenize(written)]).tobytes()
+            got = self._fresh(piece)
             if len(self.words) >= self.most:
-                self.words.clear()
+                self.words = older_half(self.words)
             self.words[piece] = got
         return got
 
     def _encode(self, chunks: list[str]) -> list[bytes]:
         out: list[bytes | None] = []
+        add, piece, fresh, simple, drops = out.append, self._piece, self._fresh, SIMPLE, self.drops_space
         odd = []
         for c in chunks:
-            if m := SIMPLE(c):
+            if m := simple(c):
                 space, word, marks = m.groups()
-                if self.drops_space:
-                    ids = self._piece(word.lower())
+                if drops:
+                    word = word.lower()
                 elif space == " ":
-                    ids = self._piece(" " + word)
-                else:
-                    ids = self._piece(space) + self._piece(word) if space else self._piece(word)
-                out.append(ids + self._piece(marks) if marks else ids)
+                    word = " " + word
+                if not marks and space != "\n":
+                    add(fresh(word))  # a pre-token: the cache alone will keep it
+                    continue
+                ids = piece(word)
+                if not drops and space == "\n":
+                    ids = piece(space) + ids
+                add(ids + piece(marks) if marks else ids)
             else:
                 odd.append(c)
-                out.append(None)
+                add(None)
         if odd:
             rest = iter(self.tokenizer.encode_batch_fast(odd, add_special_tokens=False))
             out = [array.array("I", next(rest).ids).tobytes() if x is None else x for x in out]
         return out
 
-    def encode_split(self, split: list[list[str]]) -> list[bytes]:
-        """One bytes object for each list of chunks."""
+    def _learn(self, chunks: Iterable[str]) -> list[str]:
+        """Puts what the cache lacks of some chunks into it; returns the long ones, to be dropped again."""
         cache = self.cache
-        new = list({c for chunks in split for c in chunks if c not in cache})
+        distinct = set(chunks)
+        new = distinct.difference(cache)
         if len(new) + len(cache) > self.most:
-            cache.clear()
-            new = list({c for chunks in split for c in chunks})
+            cache = self.cache = older_half(cache)
+            new = distinct.difference(cache)
+        new = list(new)
         for k in range(0, len(new), 8192):
             part = new[k : k + 8192]
             cache.update(zip(part, self._encode(part)))
-        get = cache.__getitem__
+        return [c for c in new if len(c) > 40]
+
+    def encode_split(self, split: list[list[str]]) -> list[bytes]:
+        """One bytes object for each list of chunks."""
+        long = self._learn(chain.from_iterable(split))
+        get = self.cache.__getitem__
         out = [b"".join(map(get, chunks)) for chunks in split]
-        for c in new:
-            if len(c) > 40:
-                del cache[c]
+        for c in long:
+            del self.cache[c]
         return out
 
     def counts(self, chunks: list[str]) -> list[int]:
         """How many ids each chunk has."""
-        cache = self.cache
-        new = list({c for c in chunks if c not in cache})
-        if len(new) + len(cache) > self.most:
-            cache.clear()
-            new = list(set(chunks))
-        for k in range(0, len(new), 8192):
-            part = new[k : k + 8192]
-            cache.update(zip(part, self._encode(part)))
-        out = [len(cache[c]) >> 2 for c in chunks]
-        for c in new:
-            if len(c) > 40:
-                del cache[c]
+        long = self._learn(chunks)
+        out = [len(x) >> 2 for x in map(self.cache.__getitem__, chunks)]
+        for c in long:
+            del self.cache[c]
         return out
 
     def encode(self, texts: Iterable[str | None], batch_chars: int = 1_000_000) -> Iterable[bytes]:
@@ -127,7 +166,7 @@ class CachedEncoder:
         held: list[list[str]] = []
         size = 0
         for t in texts:
-            held.append(self.chunks(t or ""))
+            held.append(self.split(t or ""))
             size += len(t or "")
             if size >= batch_chars:
                 yield from self.encode_split(held)
