@@ -150,6 +150,7 @@ def score_column(model: Model):
     """A column function: the score of a column of texts."""
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        one_thread()
         for texts in batches:
             yield pd.Series(model.scores(texts.tolist()), dtype="float64")
 

@@ -70,7 +70,7 @@ class CachedEncoder:
     never are. More distinct chunks at once than that are held for as long as their batch.
     """
 
-    def __init__(self, path: str, drops_space: bool, cache_entries: int = 500_000):
+    def __init__(self, path: str, drops_space: bool, cache_entries: int = 150_000):
         one_thread()
         from tokenizers import Tokenizer
 
