@@ -203,18 +203,28 @@ def classes(docs: DataFrame, stage: Stage, threshold: int = THRESHOLD, words_per
     marked = stage.write(fingerprints(docs, words_per), "fingerprints")
     # one row for each fingerprint: copies never meet each other
     distinct = stage.write(marked.groupBy("f").agg(F.min("doc_id").alias("low"), F.min(F.struct("doc_id", "copy")).alias("row")), "distinct")
-    rooted = components(links(distinct, stage, threshold), stage)
+    return marked, named_components(distinct, links(distinct, stage, threshold), stage)
+
+
+def named_components(distinct: DataFrame, found: DataFrame, stage: Stage) -> DataFrame:
+    """(f, component_id, keep) of every f in distinct (f, low, row), over the links found."""
+    rooted = components(found, stage)
     named = stage.write(rooted.join(distinct, rooted["node"] == distinct["f"]).select("node", "root", "low", "row"), "named")
     least = named.groupBy("root").agg(F.min("low").alias("least"), F.min("row").alias("first"))
     linked = named.join(least, "root").select(F.col("node").alias("f"), "least", "first", F.lit(True).alias("linked"))
     chosen = distinct.join(linked, "f", "left")
     per = chosen.select("f", F.when(F.col("linked"), F.col("least")).otherwise(F.col("low")).alias("component_id"), F.when(F.col("linked"), F.col("first")).otherwise(F.col("row")).alias("keep"))
-    return marked, stage.write(per, "components")
+    return stage.write(per, "components")
 
 
 def one_of_each(docs: DataFrame, stage: Stage, threshold: int = THRESHOLD) -> DataFrame:
     """One row of docs for each component, with its columns: the least (doc_id, hash of the text), a null doc_id first."""
     _, per = classes(docs, stage, threshold)
+    return keep_first(docs, per)
+
+
+def keep_first(docs: DataFrame, per: DataFrame) -> DataFrame:
+    """The rows of docs that per names in keep, one of each."""
     name, copy, mine = fresh(docs, "keep_id"), fresh(docs, "keep_copy"), fresh(docs, "own_copy")
     kept = per.select(F.col("keep.doc_id").alias(name), F.col("keep.copy").alias(copy)).distinct()
     here = docs.withColumn(mine, F.xxhash64("text"))

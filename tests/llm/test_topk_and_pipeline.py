@@ -96,3 +96,50 @@ def test_pipeline_is_registered():
 
     names = set(entry.queries())
     assert "pipeline" in names and all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 11))
+
+
+def test_near_copies_of_the_pipeline_by_exact_similarity(spark, edge, empty, tmp_path):
+    import corpus_pipeline
+    from facet.llm.near_copies import links, one_of_each, shingle_set, signatures
+    from facet.llm.op10_simhash import fingerprint
+    from pyspark.sql import functions as F
+
+    r = random.Random(11)
+    texts, near, apart, far_bits = [], [], [], 0
+    for k in range(40):
+        w = prose(r, 150).split()
+        changed, cut = list(w), list(w)
+        for at in r.sample(range(5, 145), 2):
+            changed[at] = f"new{k}"
+        for at in range(10, 140, 12):
+            cut[at] = f"other{k}"
+        texts += [(3 * k, " ".join(w)), (3 * k + 1, " ".join(changed)), (3 * k + 2, " ".join(cut))]
+        far_bits += (fingerprint(" ".join(w)) ^ fingerprint(" ".join(changed))).bit_count() > 3
+    assert far_bits > 20
+    sets = {i: set(shingle_set(t).tolist()) for i, t in texts}
+    root = {i: i for i in sets}
+    for i in sorted(sets):
+        for j in sets:
+            if i < j and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                root = {x: root[i] if y == root[j] else y for x, y in root.items()}
+    want = sorted(set(root.values()))
+    assert 60 < len(want) < 100
+    docs = odd(spark, texts)
+    got = corpus_pipeline.near_dedup(spark, docs, str(tmp_path))
+    assert got.columns == docs.columns and sorted(x["doc_id"] for x in got.collect()) == want
+    # blocks lose no link
+    many = odd(spark, [(i, " ".join(["same words of all copies in this text"] * 1 + [f"w{k}" for k in range(100)] + [f"end{i}"])) for i in range(60)])
+    d = signatures(many).groupBy("f").agg(F.min(F.struct("doc_id", "copy")).alias("row"), F.first("buckets").alias("buckets"))
+    joined = links(d, many, Stage(spark, "t"), block_rows=7).collect()
+    nodes = {x for e in joined for x in e}
+    seen, todo = set(), [next(iter(nodes))]
+    while todo:
+        x = todo.pop()
+        if x not in seen:
+            seen.add(x)
+            todo += [b if a == x else a for a, b in joined if x in (a, b)]
+    assert len(seen) == 60
+    kept = one_of_each(edge, Stage(spark, "t"))
+    assert kept.columns == edge.columns and one_of_each(empty, Stage(spark, "t")).count() == 0
+    ids = [x["doc_id"] for x in kept.collect()]
+    assert 0 in ids and 1 not in ids and 2 not in ids and 4 in ids and 5 not in ids and ids.count(7) == 1 and None in ids
