@@ -6,7 +6,7 @@ hash. Words are numbered by frequency and dealt to clusters of `cluster` numbers
 The network: embeddings of the `reach` words at either side are joined, pass one hidden layer (tanh), and that gives both softmaxes. It never sees the word itself. A document's score is the sum over its words of
 log P(word | both sides), with the number of words and the mean.
 
-Training takes windows from all documents, one of `every` positions by a hash of the document and the position, so that it grows with the corpus. Each task trains a copy of the shared first parameters on its own windows,
+Training takes the windows at all positions of all documents: they are dealt to `every` shares by a hash of the document and the position, and round k trains on share k, so that `rounds` must be at least `every`. Each task trains a copy of the shared first parameters on its own windows,
 and the copies are averaged in a tree of shuffles, weighted by windows, `rounds` times over; the driver only gets the last average.
 """
 
@@ -146,8 +146,9 @@ class Network:
         d = dh * (1 - h * h)
         g["w"], g["b"] = ex.T @ d, d.sum(axis=0)
         de = (d @ p["w"].T).reshape(n * x.shape[1], -1)
-        g["e"] = np.zeros_like(p["e"])
-        np.add.at(g["e"], x.ravel(), de)
+        size, embed = p["e"].shape
+        at = x.reshape(-1, 1).astype(np.int64) * embed + np.arange(embed)
+        g["e"] = np.bincount(at.ravel(), weights=de.ravel(), minlength=size * embed).reshape(size, embed).astype(np.float32)
         for name, v in g.items():
             sums[name] += v * v
             p[name] -= rate * v / (np.sqrt(sums[name]) + 1e-6)
@@ -209,7 +210,9 @@ def _average(copies: DataFrame, stage: Stage, fan: int = 8) -> np.ndarray:
     return np.frombuffer(bytes(row["flat"]), "<f4") if row is not None else None
 
 
-def train(docs: DataFrame, stage: Stage, vocabulary: int = 4032, spare: int = 63, reach: int = 2, every: int = 16, rounds: int = 2, batch: int = 2048, rate: float = 0.15) -> Scorer:
+def train(docs: DataFrame, stage: Stage, vocabulary: int = 4032, spare: int = 63, reach: int = 2, every: int = 2, rounds: int = 2, batch: int = 2048, rate: float = 0.15) -> Scorer:
+    if rounds < every:
+        raise ValueError(f"{rounds} rounds leave shares of {every} untrained")
     counts = stage.write(word_counts(docs), "counts")
     top = [bytes(r["word"]) for r in counts.orderBy(F.desc("n"), "word").limit(vocabulary).collect()]
     words = Vocabulary(top, spare)

@@ -197,6 +197,15 @@ def test_scores_tell_word_order(spark, edge, empty):
     assert op7_lm_score(spark, empty).count() == 0
 
 
+def test_every_position_is_trained(spark):
+    r = random.Random(6)
+    texts = [(i, prose(r, r.choice([1, 2, 3, 90]))) for i in range(60)]
+    stage = Stage(spark, "t")
+    train(odd(spark, texts).select("text"), stage)
+    trained_on = sum(x["n"] for x in spark.read.parquet(f"{stage.root}/*-copies").collect())
+    assert trained_on == sum(len(t.split()) for _, t in texts)
+
+
 # decontamination
 
 
