@@ -1,7 +1,7 @@
 """Masked pseudo-likelihood: a bidirectional window network predicts every word from both sides.
 
 Words are lower-cased runs between ASCII white space. The vocabulary is the `vocabulary` most frequent words of the whole corpus, by exact counts; every other word is one of `spare` classes of rare words, by a
-hash. Words are numbered by frequency and dealt to clusters of `cluster` numbers each, so that a word's probability is that of its cluster times that within the cluster, two small softmaxes instead of a large one.
+hash. A rare word's probability is that of its class times its share of the class, count(word) / count(class), by the exact counts over the corpus, joined in Spark: probabilities are of words, never of classes. Words are numbered by frequency and dealt to clusters of `cluster` numbers each, so that a word's probability is that of its cluster times that within the cluster, two small softmaxes instead of a large one.
 
 The network: embeddings of the `reach` words at either side are joined, pass one hidden layer (tanh), and that gives both softmaxes. It never sees the word itself. A document's score is the sum over its words of
 log P(word | both sides), with the number of words and the mean.
@@ -57,6 +57,10 @@ class Vocabulary:
         self.spare = spare
         self.size = len(words) + 1 + spare
 
+    def rare(self, words: list[bytes]) -> Counter[bytes]:
+        """The words that have no number of their own, with their counts."""
+        return Counter(w for w in words if w not in self.number)
+
     def ids(self, words: list[bytes]) -> np.ndarray:
         get, first, spare, crc = self.number.get, self.first_spare, self.spare, zlib.crc32
         return np.array([get(w) or first + crc(w) % spare for w in words], dtype=np.int32)
@@ -210,10 +214,10 @@ def _average(copies: DataFrame, stage: Stage, fan: int = 8) -> np.ndarray:
     return np.frombuffer(bytes(row["flat"]), "<f4") if row is not None else None
 
 
-def train(docs: DataFrame, stage: Stage, vocabulary: int = 4032, spare: int = 63, reach: int = 2, every: int = 2, rounds: int = 2, batch: int = 2048, rate: float = 0.15) -> Scorer:
+def train(docs: DataFrame, stage: Stage, counts: DataFrame | None = None, vocabulary: int = 4032, spare: int = 63, reach: int = 2, every: int = 2, rounds: int = 2, batch: int = 2048, rate: float = 0.15) -> Scorer:
     if rounds < every:
         raise ValueError(f"{rounds} rounds leave shares of {every} untrained")
-    counts = stage.write(word_counts(docs), "counts")
+    counts = stage.write(word_counts(docs), "counts") if counts is None else counts
     top = [bytes(r["word"]) for r in counts.orderBy(F.desc("n"), "word").limit(vocabulary).collect()]
     words = Vocabulary(top, spare)
     network = Network(words.size, reach)
@@ -253,10 +257,21 @@ def train(docs: DataFrame, stage: Stage, vocabulary: int = 4032, spare: int = 63
     return Scorer(words, network)
 
 
-SCORES = "doc_id long, n_words long, log_likelihood double, mean_log_likelihood double"
+def rare_shares(counts: DataFrame, words: Vocabulary) -> DataFrame:
+    """(word, share) of every word without a number of its own: the log of its part of its class's count, by counts (word, n) of the whole corpus."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            pdf = pdf[[bytes(w) not in words.number for w in pdf["word"]]]
+            yield pd.DataFrame({"word": pdf["word"], "n": pdf["n"], "class": [zlib.crc32(w) % words.spare for w in pdf["word"]]})
 
+    rare = counts.select("word", "n").mapInPandas(run, "word binary, n long, class int")
+    whole = rare.groupBy("class").agg(F.sum("n").alias("whole"))  # as many rows as classes
+    return rare.join(F.broadcast(whole), "class").select("word", F.log(F.col("n") / F.col("whole")).alias("share"))
 
-def scored(docs: DataFrame, scorer: Scorer) -> DataFrame:
+
+def scored(docs: DataFrame, scorer: Scorer, stage: Stage | None = None, counts: DataFrame | None = None) -> DataFrame:
+    """Scores of docs. With counts (word, n) of a corpus that holds all words of docs, rare words are scored as themselves; without, as their class."""
     spark = docs.sparkSession
     sent = spark.sparkContext.broadcast(scorer)  # fixed size: set by vocabulary and layers
 
@@ -266,9 +281,34 @@ def scored(docs: DataFrame, scorer: Scorer) -> DataFrame:
             got = sent.value.scores(pdf["text"].tolist())
             n = np.array([g[0] for g in got], dtype=np.int64)
             s = np.array([g[1] for g in got], dtype=np.float64)
-            yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "n_words": n, "log_likelihood": s, "mean_log_likelihood": np.where(n > 0, s / np.maximum(n, 1), 0.0)})
+            yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "key": pdf["key"], "n_words": n, "log_likelihood": s})
+
+    keyed = docs.select("doc_id", F.xxhash64("text").alias("key"), "text")
+    out = keyed.mapInPandas(run, "doc_id long, key long, n_words long, log_likelihood double")
+    if counts is not None:
+        out = stage.write(out, "scores")
 
-    return docs.select("doc_id", "text").mapInPandas(run, SCORES)
+        def rare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                keys, held, times, whole = [], [], [], []
+                for key, t in zip(pdf["key"], pdf["text"]):
+                    c = sent.value.vocabulary.rare(split_words(t))
+                    keys += [key] * len(c)
+                    held += c.keys()
+                    times += c.values()
+                    whole += [c.total()] * len(c)
+                    if len(keys) > 200_000:
+                        yield pd.DataFrame({"key": keys, "word": held, "c": times, "whole": whole})
+                        keys, held, times, whole = [], [], [], []
+                if keys:
+                    yield pd.DataFrame({"key": keys, "word": held, "c": times, "whole": whole})
+
+        # a score depends on the text alone: rows of equal texts are added up and divided by their number, sum(c) / whole
+        shares = rare_shares(counts, scorer.vocabulary)
+        words = keyed.select("key", "text").mapInPandas(rare, "key long, word binary, c long, whole long").join(shares, "word")
+        more = words.groupBy("key").agg((F.sum(F.col("c") * F.col("share")) * F.max("whole") / F.sum("c")).alias("more"))
+        out = stage.write(out.join(stage.write(more, "rare"), "key", "left").withColumn("log_likelihood", F.col("log_likelihood") + F.coalesce("more", F.lit(0.0))), "scored")
+    return out.select("doc_id", "n_words", "log_likelihood", F.when(F.col("n_words") > 0, F.col("log_likelihood") / F.col("n_words")).otherwise(0.0).alias("mean_log_likelihood"))
 
 
 def op7_lm_score(spark: SparkSession, docs: DataFrame) -> DataFrame:
@@ -277,4 +317,6 @@ def op7_lm_score(spark: SparkSession, docs: DataFrame) -> DataFrame:
     Nulls: a null text is an empty one, with 0 words and score 0; a null doc_id stays null. Repeated rows score alike. A corpus without words leaves the network as it starts. Empty table: no rows.
     Further columns are ignored.
     """
-    return scored(docs, train(docs.select("text"), Stage(spark, "lm-score")))
+    stage = Stage(spark, "lm-score")
+    counts = stage.write(word_counts(docs), "counts")
+    return scored(docs, train(docs.select("text"), stage, counts), stage, counts)

@@ -197,6 +197,38 @@ def test_scores_tell_word_order(spark, edge, empty):
     assert op7_lm_score(spark, empty).count() == 0
 
 
+def test_rare_words_are_scored_as_themselves(spark):
+    r = random.Random(7)
+    texts = [(i, " ".join(r.choice(["often", "seen", "rare" + str(min(r.randrange(40), r.randrange(40)))]) for _ in range(r.randint(1, 60)))) for i in range(50)]
+    texts += [(50, "rare39"), (51, "rare39"), (52, "rare39 rare0 often rare39"), (53, "rare39 rare0 often rare39"), (54, None), (None, "often seen")]
+    docs, stage = odd(spark, texts), Stage(spark, "t")
+    counts = stage.write(word_counts(docs), "counts")
+    scorer = train(docs.select("text"), stage, counts, vocabulary=2, spare=3)
+    v = scorer.vocabulary
+    n = {}
+    for _, t in texts:
+        for w in split_words(t):
+            n[w] = n.get(w, 0) + 1
+    whole = {}
+    for w, k in n.items():
+        if w not in v.number:
+            whole[zlib.crc32(w) % 3] = whole.get(zlib.crc32(w) % 3, 0) + k
+    assert len(whole) == 3
+    share = {w: math.log(k / whole[zlib.crc32(w) % 3]) for w, k in n.items() if w not in v.number}
+    got = sorted(rows(scored(docs, scorer, stage, counts), "doc_id", "n_words", "log_likelihood", "mean_log_likelihood"), key=str)
+    plain = scorer.scores([t for _, t in texts])
+    want = sorted([(i, k, s + sum(share.get(w, 0.0) for w in split_words(t)), (s + sum(share.get(w, 0.0) for w in split_words(t))) / max(k, 1)) for (i, t), (k, s) in zip(texts, plain)], key=str)
+    assert [g[:2] for g in got] == [w[:2] for w in want]
+    assert all(g[2:] == pytest.approx(w[2:], rel=1e-4) for g, w in zip(got, want))
+    # the probabilities of all words at one place add up to one
+    x = scorer.network.contexts(v.ids([b"often", b"seen", b"often"]))[1:2]
+    lp = scorer.network.log_probabilities(np.repeat(x, len(n), axis=0), v.ids(list(n)))
+    beyond = scorer.network.log_probabilities(x, np.zeros(1, np.int32))  # the number of the place beyond a text
+    assert sum(math.exp(a + share.get(w, 0.0)) for a, w in zip(lp, n)) + math.exp(beyond[0]) == pytest.approx(1, abs=1e-3)
+    few = rows(op7_lm_score(spark, docs), "doc_id", "n_words")
+    assert sorted(few, key=str) == [g[:2] for g in got]
+
+
 def test_every_position_is_trained(spark):
     r = random.Random(6)
     texts = [(i, prose(r, r.choice([1, 2, 3, 90]))) for i in range(60)]
