@@ -85,8 +85,9 @@ def _item_table(items: DataFrame) -> DataFrame:
     return w.select("item_id", "n", "m", h.alias("h")).distinct()
 
 
-def contaminated(docs: DataFrame, items: DataFrame, stage: Stage, similarity: float = 0.8, broadcast_shingles: int = 1_000_000) -> DataFrame:
+def contaminated(docs: DataFrame, items: DataFrame, stage: Stage, similarity: float = 0.8, broadcast_shingles: int = 1_000_000, short: bool = False) -> DataFrame:
     """(doc_id, copy, item_id, similarity, start, n): per text and item the best window; copy is the text's xxhash64, start in words from 0.
+    With short, a text of fewer words than the item is one window, all of it; ORACLE_SQL has no window there, so that the query leaves it out.
 
     The items' shingles are broadcast while they number at most broadcast_shingles (about 24 MB), and joined by a shuffle beyond that; so are the items' blocks, which hold
     each shingle once for every block."""
@@ -125,7 +126,8 @@ def contaminated(docs: DataFrame, items: DataFrame, stage: Stage, similarity: fl
         at = held.select("doc_id", "copy", "size", F.posexplode(f"h{m}").alias("pos", "h"))
         sizes = shingles.where(F.col("m") == m).select("h", "n").distinct()
         first = F.greatest(F.lit(0), F.col("pos") - (F.col("n") - m))
-        last = F.least(F.col("pos"), F.col("size") - F.col("n"))
+        beyond = F.col("size") - F.col("n")
+        last = F.least(F.col("pos"), F.greatest(F.lit(0), beyond) if short else beyond)
         starts = at.join(small(sizes), "h").where(first <= last).select("doc_id", "copy", "n", F.explode(F.sequence(first, last)).alias("start"))
         starts = starts.groupBy("doc_id", "copy").agg(F.collect_set(F.struct("n", "start")).alias("starts"))
         key = held.select(F.col("doc_id").alias("d"), F.col("copy").alias("c"), F.col(f"h{m}").alias("h"))
@@ -164,8 +166,8 @@ def _best(windows: DataFrame, by: list[str]) -> DataFrame:
 
 
 def clean(docs: DataFrame, items: DataFrame, stage: Stage, similarity: float = 0.8, broadcast_rows: int = 1_000_000) -> DataFrame:
-    """The rows of docs that hold no item, with their columns. Texts of one doc_id are judged each by itself."""
-    found = stage.write(contaminated(docs, items, stage, similarity).select("doc_id", "copy").distinct(), "found")
+    """The rows of docs that hold no item, and are none but for a few words, with their columns. Texts of one doc_id are judged each by itself."""
+    found = stage.write(contaminated(docs, items, stage, similarity, short=True).select("doc_id", "copy").distinct(), "found")
     few = found.count() <= broadcast_rows
     name, copy = fresh(docs, "found_id"), fresh(docs, "found_copy")
     found = found.select(F.col("doc_id").alias(name), F.col("copy").alias(copy))

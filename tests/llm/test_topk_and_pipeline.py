@@ -143,3 +143,20 @@ def test_near_copies_of_the_pipeline_by_exact_similarity(spark, edge, empty, tmp
     assert kept.columns == edge.columns and one_of_each(empty, Stage(spark, "t")).count() == 0
     ids = [x["doc_id"] for x in kept.collect()]
     assert 0 in ids and 1 not in ids and 2 not in ids and 4 in ids and 5 not in ids and ids.count(7) == 1 and None in ids
+
+
+def test_the_pipeline_drops_items_short_of_a_word(spark, tmp_path):
+    import corpus_pipeline
+
+    r = random.Random(12)
+    item = [f"w{k}" for k in range(59)]
+    cut = lambda *at: " ".join(w for k, w in enumerate(item) if k not in at)
+    texts = [(0, cut(58)), (1, cut(0)), (2, cut(29)), (3, cut(56, 57, 58)), (4, " ".join(item)), (5, cut(*range(20, 59))), (6, cut(29, 12)), (7, prose(r, 20)), (8, "w0"), (9, None), (10, "")]
+    spark.createDataFrame([(1, " ".join(item)), (2, "one two three")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    sh = lambda w: {tuple(w[k : k + 5]) for k in range(len(w) - 4)}
+    alike = lambda t: len(sh(t.split()) & sh(item)) >= 0.8 * len(sh(t.split()) | sh(item))
+    want = [i for i, t in texts if not alike(t or "")]
+    assert not {0, 1, 2, 3, 4} & set(want) and {5, 6, 7, 8, 9, 10} <= set(want)
+    docs = odd(spark, texts)
+    got = corpus_pipeline.decontaminate(spark, docs, str(tmp_path))
+    assert got.columns == docs.columns and sorted(x["doc_id"] for x in got.collect()) == want
