@@ -3,21 +3,12 @@
 Layout of a segment (little-endian; one row of the output table, written and committed by Spark, so that a lost task
 leaves no half file):
 
-    magic "FTS1", u32 crc32 of all that follows,
-    u32 n_ids, u32 n_docs, u32 block_size, u32 n_symbols, u32 n_blocks, u32 words of each block ..., u32 crc32 of each block ...,
-    u32 length of the zstandard frame, frame: doc_id i64[n_docs], n_tokens u32[n_docs], symbol u32[n_symbols], frequency u32[n_symbols]
-    the blocks' code words, u32 each.
+    magic "FTS2", u32 crc32 of the rest of the head, u32 n_docs, u32 n_blocks, u32 length of the zstandard frame,
+    u32 bytes of each block ..., the frame: doc_id i64[n_docs], n_tokens i64[n_docs], u8[n_docs] 1 where the doc_id is null,
+    the blocks.
 
-Ids are coded in blocks of block_size. Each block has its own range coder and its own adaptive state, reset at its start,
-and its own checksum, so that a block can be decoded without its neighbours. In a block, an order-2 and an order-1 context
-each predict the id that followed it last; order 0 is the segment's table of id frequencies. The three predictions are
-mixed: the shares of the interval that go to "as order 2 says", "as order 1 says" and "by order 0" come from counts that
-adapt in the class given by how often either context has been right of late. One arithmetic-coding step codes an id.
-
-All blocks of a segment are coded in lock-step, a numpy lane for each block. The encoder knows the ids, so that it finds
-the contexts' predictions and the adaptive counts by sorting and only the coder's interval runs step by step; the decoder runs
-everything step by step. Contexts are hashed to table_bits; both sides use the same hash, so that a collision costs bits
-and never correctness.
+A block holds up to 2**20 ids, whatever documents they belong to, and is coded by id_coder.py: context mixing of order-2 to order-0 predictions that adapt within the block, its own range coders and
+its own checksum. It is reset at its start and is decoded by itself, without the head or its neighbours.
 """
 
 from __future__ import annotations
@@ -27,346 +18,143 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Stage, one_thread, shuffle_partitions
-from .tokens import encoder
+from .id_coder import MOST_IDS, decode_block, encode_block
+from .tokens import column_encoder
 
-MAGIC = b"FTS1"
-BLOCK = 2048
-#: log2 of: context slots, mixing total, order-0 total.
-CONTEXT_BITS, MIX_BITS, ID_BITS = 11, 12, 18
-TOTAL_BITS = MIX_BITS + ID_BITS
+MAGIC = b"FTS2"
 #: Ids of a segment, documents kept whole.
-SEGMENT_IDS = 3_000_000
-_MIX = 1 << MIX_BITS
-_U32 = np.uint64(32)
-
-
-def _slots(before: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Slots of the order-2 and the order-1 context."""
-    mask = (1 << CONTEXT_BITS) - 1
-    h1 = last.astype(np.int64) * 40503
-    return ((h1 + before.astype(np.int64) * 30011) >> 3) & mask, (h1 >> 2) & mask
-
-
-def _scaled(counts: np.ndarray, total: int) -> np.ndarray:
-    """Whole-number frequencies of at least 1 with the given sum."""
-    if len(counts) > total // 2:
-        raise ValueError(f"{len(counts)} different ids; a segment codes at most {total // 2}")
-    f = np.maximum(1, counts * (total - len(counts)) // max(1, counts.sum())).astype(np.int64)
-    left = total - int(f.sum())
-    f[np.argmax(f)] += left  # positive or a little negative; the largest can take it
-    return f
-
-
-def _by_lane(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Flat positions of keys[lane, step] in stable order of the key within each lane, and whether each has the key of the
-    one before it. 16-bit keys are sorted by radix."""
-    lanes, n = keys.shape
-    order = np.argsort(keys.astype(np.uint16), axis=1, kind="stable").astype(np.int32)
-    order += (np.arange(lanes, dtype=np.int32) * n)[:, None]
-    order = order.ravel()
-    k = keys.ravel()[order]
-    same = np.empty(len(k), dtype=bool)
-    same[1:] = k[1:] == k[:-1]
-    same[::n] = False
-    return order, same
-
-
-def _cumulative_before(group: np.ndarray, event: np.ndarray) -> tuple[np.ndarray, ...]:
-    """For each position, how often each of the three events came before in the same group of its lane."""
-    order, same = _by_lane(group)
-    first = np.flatnonzero(~same)
-    sizes = np.diff(np.r_[first, len(same)])
-    e = event.ravel()[order]
-    # three running counts in one number, 21 bits each
-    one = np.array([1, 1 << 21, 1 << 42], dtype=np.int64)[e]
-    c = np.cumsum(one) - one
-    c -= np.repeat(c[first], sizes)
-    back = np.empty_like(c)
-    back[order] = c
-    back = back.reshape(group.shape)
-    part = (1 << 21) - 1
-    return (back & part).astype(np.int32), ((back >> 21) & part).astype(np.int32), (back >> 42).astype(np.int32)
-
-
-def _shares(n0, n1, n2):
-    """The mixture's shares of order 2 and order 1 out of _MIX, from what has happened in the class; the rest is order 0's."""
-    total = n0 + n1 + n2 + 3
-    room = _MIX - 3
-    return 1 + (n0 + 1) * room // total, 1 + (n1 + 1) * room // total
-
-
-def _model(sym: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For sym[lane, step]: event (0: as order 2 says, 1: as order 1 says, 2: by order 0) and the shares of orders 2 and 1."""
-    last = np.zeros_like(sym)
-    last[:, 1:] = sym[:, :-1]
-    before = np.zeros_like(sym)
-    before[:, 2:] = sym[:, :-2]
-    flat = sym.ravel()
-    m = np.arange(len(flat), dtype=np.int32)
-    said, trust = [], []
-    for slot in _slots(before, last):
-        order, same = _by_lane(slot)
-        v = flat[order]
-        prev = np.zeros_like(v)
-        prev[1:] = v[:-1]
-        prev[~same] = 0
-        # how many predictions in a row were right in this slot before this one: 0 to 3
-        miss = np.maximum.accumulate(np.where(same & (prev == v), -1, m))
-        run = np.minimum(m - miss, 3).astype(np.int8)
-        t = np.zeros_like(run)
-        t[1:] = run[:-1]
-        t[~same] = 0
-        p, c = np.empty_like(prev), np.empty_like(t)
-        p[order], c[order] = prev, t
-        said.append(p.reshape(sym.shape))
-        trust.append(c.reshape(sym.shape))
-    event = np.where(sym == said[0], 0, np.where(sym == said[1], 1, 2)).astype(np.int8)
-    n0, n1, n2 = _cumulative_before(trust[0] * 8 + trust[1] * 2 + (said[0] == said[1]), event)
-    return event, *_shares(n0, n1, n2)
-
-
-def encode_segment(ids: np.ndarray, doc_ids: np.ndarray, lengths: np.ndarray, block: int = BLOCK) -> bytes:
-    """Bytes of one segment. ids: u32, of all its documents in order."""
-    n = len(ids)
-    seen = np.bincount(ids) if n else np.zeros(0, dtype=np.int64)
-    symbols = np.flatnonzero(seen)
-    counts = seen[symbols]
-    rank = np.zeros(len(seen), dtype=np.int32)
-    rank[symbols] = np.arange(1, len(symbols) + 1)  # 0 stands for "nothing yet" in the contexts
-    freq = _scaled(counts, 1 << ID_BITS) if n else np.zeros(0, dtype=np.int64)
-    lanes = max(1, -(-n // block)) if n else 0
-    words: list[np.ndarray] = []
-    sums: list[int] = []
-    if n:
-        # the last block is filled up with symbol 1; the decoder drops what is beyond n_ids
-        sym = np.ones(lanes * block, dtype=np.int32)
-        sym[:n] = rank[ids]
-        sym = sym.reshape(lanes, block)
-        event, s0, s1 = _model(sym)
-        start0 = np.r_[0, np.cumsum(freq)[:-1]].astype(np.int32)
-        freq = freq.astype(np.int32)
-        at, wide = start0[sym - 1], freq[sym - 1]
-        rest = _MIX - s0 - s1
-        scale = 1 << ID_BITS
-        # both below 2**30
-        start = np.where(event == 0, 0, np.where(event == 1, s0 * scale, (s0 + s1) * scale + rest * at)).astype(np.uint32)
-        size = np.where(event == 0, s0 * scale, np.where(event == 1, s1 * scale, rest * wide)).astype(np.uint32)
-        start, size = start.T.astype(np.uint64, order="C"), size.T.astype(np.uint64, order="C")
-        low = np.zeros(lanes, dtype=np.uint64)
-        span = np.full(lanes, (1 << 64) - 1, dtype=np.uint64)
-        out = np.zeros((lanes, block + 4), dtype=np.uint32)
-        pos = np.zeros(lanes, dtype=np.int64)
-        shift, least = np.uint64(TOTAL_BITS), np.uint64(1 << 32)
-        for k in range(block):
-            r = span >> shift
-            new = low + r * start[k]
-            over = np.flatnonzero(new < low)
-            if len(over):
-                _carry(out, over, pos)
-            low = new
-            span = r * size[k]
-            emit = np.flatnonzero(span < least)
-            if len(emit):
-                x = low[emit]
-                out[emit, pos[emit]] = x >> _U32
-                pos[emit] += 1
-                low[emit] = x << _U32
-                span[emit] <<= _U32
-        for _ in range(2):
-            out[np.arange(lanes), pos] = low >> _U32
-            low <<= _U32
-            pos += 1
-        words = [out[j, : pos[j]] for j in range(lanes)]
-        sums = [zlib.crc32(w.astype("<u4").tobytes()) for w in words]
-    frame = zstandard.ZstdCompressor(level=3).compress(
-        doc_ids.astype("<i8").tobytes() + lengths.astype("<u4").tobytes() + symbols.astype("<u4").tobytes() + freq.astype("<u4").tobytes()
-    )
-    head = struct.pack("<5I", n, len(doc_ids), block, len(symbols), lanes)
-    head += np.array([len(w) for w in words] + sums, dtype="<u4").tobytes() + struct.pack("<I", len(frame)) + frame
-    body = head + b"".join(w.astype("<u4").tobytes() for w in words)
-    return MAGIC + struct.pack("<I", zlib.crc32(body)) + body
+SEGMENT_IDS = 4 * MOST_IDS
+#: Texts are encoded in slices of about so many bytes.
+SLICE_BYTES = 24_000_000
+_HEAD = struct.Struct("<3I")
+
+
+def encode_segment(ids: np.ndarray, doc_ids: np.ndarray, lengths: np.ndarray, nulls: np.ndarray | None = None, block: int = MOST_IDS) -> bytes:
+    """Bytes of one segment. ids: u32, of all its documents in order; nulls: where the doc_id is null."""
+    blocks = [encode_block(ids[k : k + block]) for k in range(0, len(ids), block)]
+    nulls = np.zeros(len(doc_ids), np.uint8) if nulls is None else nulls.astype(np.uint8)
+    frame = zstandard.ZstdCompressor(level=3).compress(doc_ids.astype("<i8").tobytes() + lengths.astype("<i8").tobytes() + nulls.tobytes())
+    head = _HEAD.pack(len(doc_ids), len(blocks), len(frame)) + np.array([len(b) for b in blocks], dtype="<u4").tobytes() + frame
+    return b"".join([MAGIC, struct.pack("<I", zlib.crc32(head)), head, *blocks])
+
+
+def blocks_of(data: bytes) -> tuple[list[memoryview], np.ndarray, np.ndarray, np.ndarray]:
+    """The blocks of a segment as they are, doc_ids, lengths, nulls. Raises ValueError where the head's checksum doesn't hold."""
+    if data[:4] != MAGIC or len(data) < 8 + _HEAD.size:
+        raise ValueError("not a segment")
+    n_docs, n_blocks, n_frame = _HEAD.unpack_from(data, 8)
+    at = 8 + _HEAD.size
+    end = at + 4 * n_blocks + n_frame
+    view = memoryview(data)
+    if zlib.crc32(view[8:end]) != struct.unpack_from("<I", data, 4)[0]:
+        raise ValueError("damaged segment")
+    sizes = np.frombuffer(data, "<u4", n_blocks, at).astype(np.int64)
+    frame = zstandard.ZstdDecompressor().decompress(view[end - n_frame : end])
+    ends = end + np.cumsum(sizes)
+    blocks = [view[b - n : b] for b, n in zip(ends.tolist(), sizes.tolist())]
+    return blocks, np.frombuffer(frame, "<i8", n_docs), np.frombuffer(frame, "<i8", n_docs, 8 * n_docs), np.frombuffer(frame, np.uint8, n_docs, 16 * n_docs).astype(bool)
 
 
-def _carry(out: np.ndarray, lanes: np.ndarray, pos: np.ndarray) -> None:
-    at = pos[lanes] - 1
-    while len(lanes):
-        out[lanes, at] += np.uint32(1)
-        more = out[lanes, at] == 0
-        lanes, at = lanes[more], at[more] - 1
+def decode_segment(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """ids u32, doc_ids, lengths, nulls. Raises ValueError where a checksum doesn't hold."""
+    blocks, doc_ids, lengths, nulls = blocks_of(data)
+    ids = [decode_block(b) for b in blocks]
+    return np.concatenate(ids) if ids else np.zeros(0, np.uint32), doc_ids, lengths, nulls
 
 
-def decode_segment(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """ids u32, doc_ids, lengths. Raises ValueError where a checksum doesn't hold."""
-    if data[:4] != MAGIC or struct.unpack_from("<I", data, 4)[0] != zlib.crc32(memoryview(data)[8:]):
-        raise ValueError("damaged segment")
-    n, n_docs, block, n_symbols, lanes = struct.unpack_from("<5I", data, 8)
-    at = 28
-    sizes = np.frombuffer(data, "<u4", lanes, at).astype(np.int64)
-    sums = np.frombuffer(data, "<u4", lanes, at + 4 * lanes)
-    at += 8 * lanes
-    (length,) = struct.unpack_from("<I", data, at)
-    frame = zstandard.ZstdDecompressor().decompress(data[at + 4 : at + 4 + length])
-    at += 4 + length
-    doc_ids = np.frombuffer(frame, "<i8", n_docs)
-    lengths = np.frombuffer(frame, "<u4", n_docs, 8 * n_docs)
-    symbols = np.frombuffer(frame, "<u4", n_symbols, 12 * n_docs)
-    freq = np.frombuffer(frame, "<u4", n_symbols, 12 * n_docs + 4 * n_symbols).astype(np.int64)
-    if not n:
-        return np.zeros(0, dtype=np.uint32), doc_ids, lengths
-    ends = np.cumsum(sizes)
-    code = np.zeros((lanes, int(sizes.max()) + 2), dtype=np.uint64)
-    for j in range(lanes):
-        raw = data[at + 4 * int(ends[j] - sizes[j]) : at + 4 * int(ends[j])]
-        if zlib.crc32(raw) != sums[j]:
-            raise ValueError(f"damaged block {j}")
-        code[j, : sizes[j]] = np.frombuffer(raw, "<u4")
-    found = np.repeat(np.arange(1, n_symbols + 1, dtype=np.uint16 if n_symbols < 65_535 else np.uint32), freq)
-    freq1 = np.r_[0, freq]
-    start1 = np.r_[0, 0, np.cumsum(freq)[:-1]]
-    every = np.arange(lanes)
-    off = (code[:, 0] << _U32) | code[:, 1]
-    pos = np.full(lanes, 2, dtype=np.int64)
-    span = np.full(lanes, (1 << 64) - 1, dtype=np.uint64)
-    lane = every << CONTEXT_BITS
-    # a slot holds symbol << 2 | trust; a class holds its three counts in one number, 21 bits each (a block is shorter than that)
-    table2, table1 = (np.zeros(lanes << CONTEXT_BITS, dtype=np.int32) for _ in range(2))
-    counts = np.zeros(lanes * 32, dtype=np.int64)
-    plus = np.array([1, 1 << 21, 1 << 42], dtype=np.int64)
-    last, h1_last, h2_before = (np.zeros(lanes, dtype=np.int64) for _ in range(3))
-    out = np.empty((block, lanes), dtype=np.int32)
-    group0 = every * 32
-    shift, least, low_bits = np.uint64(TOTAL_BITS), np.uint64(1 << 32), (1 << ID_BITS) - 1
-    code_flat, width = code.reshape(-1), code.shape[1]
-    base = every * width
-    mask, part = (1 << CONTEXT_BITS) - 1, (1 << 21) - 1
-    for k in range(block):
-        a = (((h1_last + h2_before) >> 3) & mask) + lane
-        b = ((h1_last >> 2) & mask) + lane
-        x2, x1 = table2[a], table1[b]
-        p2, p1 = x2 >> 2, x1 >> 2
-        t2, t1 = x2 & 3, x1 & 3
-        equal = p2 == p1
-        group = group0 + (t2 * 8 + t1 * 2 + equal)
-        c = counts[group]
-        n0, n1 = c & part, (c >> 21) & part
-        s0, s1 = _shares(n0, n1, c >> 42)
-        r = span >> shift
-        v = (off // r).astype(np.int64)
-        s01 = s0 + s1
-        m = v >> ID_BITS
-        not2 = m >= s0
-        by0 = np.flatnonzero(m >= s01)
-        sym = np.where(not2, p1, p2)
-        start = np.where(not2, s0, 0)
-        size = np.where(not2, s1, s0)
-        start <<= ID_BITS
-        size <<= ID_BITS
-        event = not2.astype(np.int8)
-        if len(by0):
-            begin = s01[by0]
-            share = _MIX - begin
-            begin <<= ID_BITS
-            x = found[np.minimum((v[by0] - begin) // share, low_bits)]
-            sym[by0] = x
-            start[by0] = begin + share * start1[x]
-            size[by0] = share * freq1[x]
-            event[by0] = 2
-        off -= r * start.astype(np.uint64)
-        span = r * size.astype(np.uint64)
-        need = np.flatnonzero(span < least)
-        if len(need):
-            at = pos[need]
-            off[need] = (off[need] << _U32) | code_flat[base[need] + np.minimum(at, width - 1)]
-            span[need] <<= _U32
-            pos[need] = at + 1
-        counts[group] = c + plus[event]
-        shifted = sym << 2
-        table2[a] = shifted | np.where(p2 == sym, np.minimum(t2 + 1, 3), 0)
-        table1[b] = shifted | np.where(p1 == sym, np.minimum(t1 + 1, 3), 0)
-        out[k] = sym
-        h2_before, last = last * 30011, sym.astype(np.int64)
-        h1_last = last * 40503
-    ids = symbols[out.T.reshape(-1)[:n] - 1]
-    return ids.astype(np.uint32), doc_ids, lengths
+SEGMENTS = "file_no int, segment_no int, first long, n_ids long, n_docs long, payload binary"
+_SEGMENTS = pa.schema([("file_no", pa.int32()), ("segment_no", pa.int32()), ("first", pa.int64()), ("n_ids", pa.int64()), ("n_docs", pa.int64()), ("payload", pa.binary())])
+FOUND = "doc_id long, start long, n_tokens long, ids_crc32 long"
 
 
-SEGMENTS = "file_no int, segment_no int, first long, n_ids long, n_docs long, payload binary"
+def _slices(batch: pa.RecordBatch) -> Iterator[tuple[pa.Array, pa.Array]]:
+    """(doc_ids, texts) in slices of about SLICE_BYTES."""
+    names, texts = batch.column(0), batch.column(1)
+    step = max(1, int(len(texts) * SLICE_BYTES / max(1, texts.nbytes)))
+    for k in range(0, len(texts), step):
+        yield names.slice(k, step), texts.slice(k, step)
 
 
-def write_segments(docs: DataFrame, tokenizer_path: str, end_id: int, drops_space: bool = True, segment_ids: int = SEGMENT_IDS) -> DataFrame:
-    """Segments of all documents (doc_id, text), in ascending doc_id order over file_no, segment_no; equal doc_ids follow
-    their text. A null text has only the end id; a null doc_id is refused. The texts are dealt by ranges of doc_id, as many as
-    there are shuffle partitions; a task holds one segment at a time."""
+def write_segments(docs: DataFrame, tokenizer_path: str, end_id: int, segment_ids: int = SEGMENT_IDS) -> DataFrame:
+    """Segments of all documents (doc_id, text), in ascending doc_id order over file_no, segment_no: null doc_ids first, equal ones in the order
+    of their texts' xxhash64, then of their texts. A null text has only the end id. The rows are dealt by ranges of (doc_id, hash), as many as
+    there are shuffle partitions, so that a doc_id of very many texts is split; a task holds one segment at a time, which is as large as the largest document if that has more than segment_ids ids."""
     n = shuffle_partitions(docs.sparkSession)
-    dealt = docs.select("doc_id", "text").repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
+    hashed = docs.select("doc_id", "text", F.xxhash64("text").alias("h"))
+    dealt = hashed.repartitionByRange(n, "doc_id", "h").sortWithinPartitions("doc_id", "h", "text").select(F.col("doc_id").cast("long"), "text")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one_thread()
-        enc = encoder(tokenizer_path, drops_space)
-        end = struct.pack("<I", end_id)
+        enc = column_encoder(tokenizer_path)
         file_no = TaskContext.get().partitionId()
-        held: list[bytes] = []
-        names: list[int] = []
+        held: list[np.ndarray] = []
+        names: list[np.ndarray] = []
+        lengths: list[np.ndarray] = []
+        nulls: list[np.ndarray] = []
         size = number = first = 0
 
-        def flush():
-            ids = np.frombuffer(b"".join(held), dtype="<u4")
-            lengths = np.array([len(x) // 4 for x in held], dtype=np.int64)
-            data = encode_segment(ids, np.array(names, dtype=np.int64), lengths)
-            return pd.DataFrame({"file_no": [file_no], "segment_no": [number], "first": [first], "n_ids": [len(ids)], "n_docs": [len(held)], "payload": [data]})
-
-        for pdf in batches:
-            if pdf["doc_id"].isna().any():
-                raise ValueError("a document has no doc_id")
-            for name, x in zip(pdf["doc_id"].tolist(), enc.encode(pdf["text"])):
-                held.append(x + end)
-                names.append(name)
-                size += len(x) // 4 + 1
+        def flush() -> pa.RecordBatch:
+            ids, n = np.concatenate(held), np.concatenate(lengths)
+            data = encode_segment(ids, np.concatenate(names), n, np.concatenate(nulls))
+            return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip((file_no, number, first, len(ids), len(n), data), _SEGMENTS)], schema=_SEGMENTS)
+
+        for batch in batches:
+            for doc_ids, texts in _slices(batch):
+                ids, n = enc.encode(texts)
+                ends = np.cumsum(n)
+                ids = np.insert(ids, ends, end_id).astype(np.uint32, copy=False)
+                held.append(ids)
+                names.append(doc_ids.fill_null(0).to_numpy())
+                lengths.append(n + 1)
+                nulls.append(doc_ids.is_null().to_numpy(zero_copy_only=False))
+                size += len(ids)
                 if size >= segment_ids:
                     yield flush()
-                    held, names, first, size, number = [], [], first + size, 0, number + 1
+                    held, names, lengths, nulls = [], [], [], []
+                    first, size, number = first + size, 0, number + 1
         if held:
             yield flush()
 
-    return dealt.mapInPandas(run, SEGMENTS)
+    return dealt.mapInArrow(run, SEGMENTS)
 
 
 def read_segments(segments: DataFrame) -> DataFrame:
     """Per document, from the segments: doc_id, start, n_tokens, ids_crc32. Only the sums of the files, one number for each
     range, come to the driver."""
-    spark = segments.sparkSession
     sums = segments.groupBy("file_no").agg(F.sum("n_ids").alias("n")).orderBy("file_no").collect()
-    before, total = [], 0
+    starts, total = {}, 0
     for r in sums:
-        before.append((r["file_no"], total))
+        starts[r["file_no"]] = total
         total += r["n"]
-    starts = dict(before)
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one_thread()
-        for pdf in batches:
-            for f, first, payload in zip(pdf["file_no"], pdf["first"], pdf["payload"]):
-                ids, doc_ids, lengths = decode_segment(bytes(payload))
+        for batch in batches:
+            for row in range(batch.num_rows):
+                f, first, payload = (batch.column(k)[row] for k in range(3))
+                ids, doc_ids, lengths, nulls = decode_segment(payload.as_py())
                 raw = memoryview(ids.astype("<u4").tobytes())
-                ends = np.cumsum(lengths.astype(np.int64))
+                ends = np.cumsum(lengths)
                 begins = ends - lengths
                 crc = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(begins.tolist(), ends.tolist())]
-                yield pd.DataFrame({"doc_id": doc_ids, "start": begins + (starts[f] + first), "n_tokens": lengths.astype(np.int64), "ids_crc32": np.array(crc, dtype=np.int64)})
+                columns = [pa.array(doc_ids, mask=nulls), pa.array(begins + (starts[f.as_py()] + first.as_py())), pa.array(lengths), pa.array(crc, pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return segments.select("file_no", "first", "payload").mapInPandas(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return segments.select("file_no", "first", "payload").mapInArrow(run, FOUND)
 
 
 def op5_token_ids(spark: SparkSession, docs: DataFrame, tokenizer_path: str, end_id: int = 1) -> DataFrame:
     """Writes all documents' ids as segments to the shared folder, reads them back and returns a row per document.
 
-    Nulls: a null text has the end id alone; a null doc_id raises. Repeated rows give repeated rows. Empty table: no rows.
-    Further columns are ignored.
+    Nulls: a null text has the end id alone; null doc_ids come before all others and stay null. Repeated rows give repeated rows. Empty table: no rows.
+    Further columns are ignored. The vocabulary is one that lower-cases and drops white space.
     """
     stage = Stage(spark, "token-ids")
     return read_segments(stage.write(write_segments(docs, tokenizer_path, end_id), "segments"))

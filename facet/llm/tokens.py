@@ -12,7 +12,9 @@ import array
 import re
 import struct
 from collections.abc import Iterable
-from itertools import chain, islice
+from itertools import chain, compress, islice, repeat
+
+import numpy as np
 
 from .common import one_thread
 
@@ -75,7 +77,7 @@ class CachedEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.model = self.tokenizer.model
         self.drops_space = drops_space
         self.chunks = (WITHOUT_SPACE if drops_space else WITH_SPACE).findall
@@ -86,8 +88,8 @@ class CachedEncoder:
         self.alphabet = byte_alphabet()
 
     def split(self, text: str) -> list[str]:
-        """Parts of a text whose ids, joined, are the text's: pre-tokens, of which fewer are different, or else chunks."""
-        if latin(text):
+        """Parts of a text whose ids, joined, are the text's: pre-tokens, of which fewer are different, or else chunks. A special token's string, which the library takes for the token, stays in one chunk."""
+        if latin(text) and not any(s in text for s in self.special):
             return self.pieces(text.lower() if self.drops_space else text)
         return self.chunks(text)
 
@@ -130,6 +132,16 @@ class CachedEncoder:
             out = [array.array("I", next(rest).ids).tobytes() if x is None else x for x in out]
         return out
 
+    def plain(self, chunks: list[str]) -> list[bytes]:
+        """Ids of chunks by the library, special tokens' strings taken for ordinary text."""
+        if not chunks:
+            return []
+        self.tokenizer.encode_special_tokens = True
+        try:
+            return [array.array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
+        finally:
+            self.tokenizer.encode_special_tokens = False
+
     def _learn(self, chunks: Iterable[str]) -> list[str]:
         """Puts what the cache lacks of some chunks into it; returns the long ones, to be dropped again."""
         cache = self.cache
@@ -175,7 +187,142 @@ class CachedEncoder:
             yield from self.encode_split(held)
 
 
-_encoders: dict[tuple[str, bool], CachedEncoder] = {}
+class ColumnEncoder:
+    """Encodes whole Arrow columns, for a vocabulary that lower-cases and drops white space.
+
+    ASCII letters are lower-cased and the texts cut at ASCII white space by Arrow, and the different chunks numbered; one mark behind a letter at a chunk's end, which is a pre-token of its own, is
+    taken off. So Python sees each different word of a column once, and a word that is new to the worker alone goes to the library. Words that a column holds three times or more are kept, the older half when they number over `most`. Texts that hold the
+    string of a special token are encoded by the library's rules for it, one by one.
+    """
+
+    MARKS = b",.!?;:"
+
+    def __init__(self, path: str, most: int = 500_000):
+        self.by_chunk = CachedEncoder(path, True, 50_000)
+        self.most = most
+        self.index: dict[str, int] = {}
+        # word k has the ids pool[ends[k] : ends[k + 1]]
+        self.pool, self.ends, self.size = np.zeros(1 << 20, np.uint32), np.zeros(1 << 18, np.int64), 0
+        self.mark = np.zeros(256, np.uint32)
+        for m in self.MARKS:
+            self.mark[m] = np.frombuffer(self.by_chunk._piece(chr(m)), np.uint32)[0]
+
+    def _new(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all words, number of ids of each)."""
+        one = self.by_chunk
+        plain = np.fromiter(map(str.isascii, words), bool, len(words)) & np.fromiter(map(str.isalpha, words), bool, len(words))
+        got = list(map(one.model.tokenize, compress(words, plain.tolist())))
+        other, odd, rest = list(compress(words, (~plain).tolist())), [], []
+        for w in other:
+            if latin(w):
+                rest.append(b"".join([one._piece(p) for p in one.pieces(w.lower())]))
+            else:
+                rest.append(None)
+                odd.append(w)
+        found = iter(one.plain(odd))
+        rest = [next(found) if x is None else x for x in rest]
+        sizes = np.zeros(len(words), np.int64)
+        sizes[plain] = np.fromiter(map(len, got), np.int64, len(got))
+        sizes[~plain] = np.fromiter(map(len, rest), np.int64, len(rest)) // 4
+        ids = np.zeros(int(sizes.sum()), np.uint32)
+        of_plain = np.repeat(plain, sizes)
+        ids[of_plain] = [t.id for tokens in got for t in tokens]
+        ids[~of_plain] = np.frombuffer(b"".join(rest), np.uint32)
+        return ids, sizes
+
+    def _add(self, words: list[str]) -> np.ndarray:
+        """Puts new words behind the others; their numbers."""
+        ids, sizes = self._new(words)
+        n, m, used = self.size, len(words), int(self.ends[self.size])
+        ends = used + np.cumsum(sizes)
+        while len(self.ends) <= n + m:
+            self.ends = np.concatenate([self.ends, np.zeros_like(self.ends)])
+        while len(self.pool) < ends[-1]:
+            self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
+        self.ends[n + 1 : n + m + 1] = ends
+        self.pool[used : ends[-1]] = ids
+        self.size = n + m
+        return np.arange(n, n + m)
+
+    def _numbers(self, words: list[str], counts: np.ndarray) -> tuple[np.ndarray, int]:
+        """Numbers of different words, and how many words are there to stay."""
+        if self.size > self.most:
+            self.size //= 2
+            self.index = dict(islice(self.index.items(), self.size))
+        found = np.fromiter(map(self.index.get, words, repeat(-1)), np.int64, len(words))
+        new = np.flatnonzero(found < 0)
+        often = counts[new] > 2
+        if often.any():
+            some = new[often]
+            these = [words[k] for k in some.tolist()]
+            found[some] = self._add(these)
+            self.index.update(zip(these, found[some].tolist()))
+        keep = self.size
+        if not often.all():
+            some = new[~often]
+            found[some] = self._add([words[k] for k in some.tolist()])
+        return found, keep
+
+    def encode(self, texts) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, number of ids of each). texts: an Arrow array of strings; a null is an empty text."""
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        texts = pc.fill_null(texts, "")
+        special = np.zeros(len(texts), bool)
+        for s in self.by_chunk.special:
+            special |= pc.match_substring(texts, s).to_numpy(zero_copy_only=False)
+        apart = np.flatnonzero(special)
+        if len(apart):
+            alone = [np.frombuffer(x, np.uint32) for x in self.by_chunk.encode(texts.take(pa.array(apart)).to_pylist())]
+            texts = pc.if_else(pa.array(special), "", texts)
+        lists = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+        flat = lists.flatten()
+        coded = flat.dictionary_encode()
+        chunks = coded.dictionary
+        if not len(flat):
+            return np.zeros(0, np.uint32), np.zeros(len(texts), np.int64)
+        codes = coded.indices.to_numpy()
+        wide = np.frombuffer(chunks.buffers()[1], np.int32 if chunks.type == pa.string() else np.int64)[chunks.offset : chunks.offset + len(chunks) + 1].astype(np.int64)
+        data = np.frombuffer(chunks.buffers()[2], np.uint8) if chunks.buffers()[2] is not None and chunks.buffers()[2].size else np.zeros(1, np.uint8)
+        last, before = data[np.maximum(wide[1:] - 1, 0)], data[np.maximum(wide[1:] - 2, 0)]
+        marked = (np.diff(wide) > 1) & (self.mark[last] > 0) & (before >= 97) & (before <= 122)
+        whole = chunks.cast(pa.binary())
+        base = pc.if_else(pa.array(marked), pc.binary_slice(whole, 0, -1), whole).cast(pa.string()).dictionary_encode()
+        of = base.indices.to_numpy()
+        word = np.bincount(of, weights=np.bincount(codes, minlength=len(chunks)))
+        numbers, keep = self._numbers(base.dictionary.to_pylist(), word)
+        of = numbers[of]
+        start = self.ends[of]
+        # ids of the different chunks, then of all chunks
+        ids, ends = _gathered(self.pool, start, self.ends[of + 1] - start, marked)
+        self.size = keep
+        ids[ends[marked] - 1] = self.mark[last[marked]]
+        sizes = np.diff(ends, prepend=0)
+        out, out_ends = _gathered(ids, (ends - sizes)[codes], sizes[codes])
+        bounds = lists.offsets.to_numpy()
+        out_ends = np.concatenate([[0], out_ends])[bounds - bounds[0]]
+        lengths = np.diff(out_ends)
+        if len(apart):
+            lengths[apart] = [len(x) for x in alone]
+            parts, at = [], 0
+            for k, x in zip(apart.tolist(), alone):
+                parts += [out[at : out_ends[k]], x]
+                at = out_ends[k]
+            out = np.concatenate([*parts, out[at:]])
+        return out, lengths
+
+
+def _gathered(pool: np.ndarray, start: np.ndarray, size: np.ndarray, extra: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Joined slices of pool and where each ends; `extra` marks those with room for one more behind."""
+    whole = size if extra is None else size + extra
+    ends = np.cumsum(whole)
+    at = np.repeat(start - (ends - whole), whole)
+    at += np.arange(len(at))
+    return pool.take(at, mode="clip"), ends
+
+
+_encoders: dict[tuple, CachedEncoder | ColumnEncoder] = {}
 
 
 def encoder(path: str, drops_space: bool) -> CachedEncoder:
@@ -183,3 +330,9 @@ def encoder(path: str, drops_space: bool) -> CachedEncoder:
     if (path, drops_space) not in _encoders:
         _encoders[path, drops_space] = CachedEncoder(path, drops_space)
     return _encoders[path, drops_space]
+
+
+def column_encoder(path: str) -> ColumnEncoder:
+    if path not in _encoders:
+        _encoders[path] = ColumnEncoder(path)
+    return _encoders[path]
