@@ -1,7 +1,8 @@
 """Token counts that survive edits.
 
-A document's pre-tokens (runs that no merge of the vocabulary crosses) are the leaves of a segment tree; a leaf holds its characters and ids, an inner node the sums below it. After an edit only the
-leaves that it touches, and as many at either side as the cutting of pre-tokens can see, are cut and encoded anew; the sums are updated on the paths above them. Everything else keeps its counts.
+A document's pre-tokens (runs that no merge of the vocabulary crosses) are the leaves of a segment tree; a leaf has its numbers of characters and ids, an inner node the sums below it. After an edit only the
+leaves that it touches, and as many at either side as the cutting of pre-tokens can see, are cut and encoded anew; the sums are updated on the paths above them. Everything else keeps its counts, and its text:
+leaves lie in blocks that hold their own part of the text, so that an edit copies a block's characters and not the document's.
 
 How far an edit reaches: the text is cut wherever a non-space is followed by white space, and such a cut depends on these two characters alone. Cuts inside the edited range may come and go; the cut before it and
 the first cut behind it stay. So the chunks that the edit touches, with one more at each side, hold all that changes.
@@ -9,10 +10,12 @@ the first cut behind it stay. So the chunks that the edit touches, with one more
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import re
+import zlib
+from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,15 +24,27 @@ from .tokens import CachedEncoder, encoder
 
 
 class SumTree:
-    """A sequence of (characters, ids) leaves with sums: a balanced tree in blocks. Leaves lie in blocks of at most 2 * width, and the
-    blocks' sums in an array tree above them, so that a position is found and a leaf replaced in about width + log(blocks) steps."""
+    """A sequence of (characters, ids) leaves with sums, and the text they cut: leaves lie in blocks of at most 2 * width, each with its part of the text, and the
+    blocks' sums in an array tree above them. A position is found and leaves are replaced in about width + log(blocks) steps for each block they lie in. A block may be empty; the tree is built anew only
+    when a block has outgrown its bound, which takes about width new leaves."""
 
-    def __init__(self, leaves: np.ndarray, width: int = 128):
+    def __init__(self, leaves: np.ndarray, text: str, width: int = 128):
         self.width = width
-        self.blocks = [leaves[k : k + width] for k in range(0, len(leaves), width)] or [leaves]
+        self.blocks, self.parts = self._cut(leaves, text)
         self._rebuild()
 
+    def _cut(self, leaves: np.ndarray, text: str) -> tuple[list[np.ndarray], list[str]]:
+        blocks, parts, at = [], [], 0
+        for k in range(0, len(leaves), self.width):
+            blocks.append(leaves[k : k + self.width])
+            end = at + int(blocks[-1][:, 0].sum())
+            parts.append(text[at:end])
+            at = end
+        return (blocks, parts) if blocks else ([leaves], [text])
+
     def _rebuild(self) -> None:
+        full = [k for k, b in enumerate(self.blocks) if len(b)] or [0]
+        self.blocks, self.parts = [self.blocks[k] for k in full], [self.parts[k] for k in full]
         n = 1
         while n < len(self.blocks):
             n *= 2
@@ -51,7 +66,7 @@ class SumTree:
         return int(self.sums[1][1])
 
     def find(self, character: int) -> tuple[int, int, int]:
-        """(block, leaf in it, first character of the leaf) of the leaf that holds a character; the last leaf for one at the end."""
+        """(block, leaf in it, first character of the leaf) of the leaf that holds a character of the text."""
         node, left = 1, 0
         while node < self.n:
             node *= 2
@@ -63,109 +78,128 @@ class SumTree:
         j = min(int(np.searchsorted(ends, character, side="right")), max(0, len(ends) - 1))
         return k, j, int(ends[j] - self.blocks[k][j, 0]) if len(ends) else left
 
-    def replace(self, first: tuple[int, int], last: tuple[int, int], leaves: np.ndarray) -> None:
-        """Puts leaves in place of those from first to last (block, leaf), both included."""
+    def text(self, first: tuple[int, int], last: tuple[int, int]) -> str:
+        """The text of the leaves from first to last (block, leaf), both included."""
+        (a, i), (b, j) = first, last
+        begin, end = int(self.blocks[a][:i, 0].sum()), int(self.blocks[b][: j + 1, 0].sum())
+        return self.parts[a][begin:end] if a == b else "".join([self.parts[a][begin:], *self.parts[a + 1 : b], self.parts[b][:end]])
+
+    def replace(self, first: tuple[int, int], last: tuple[int, int], leaves: np.ndarray, text: str) -> None:
+        """Puts leaves and their text in place of those from first to last, both included."""
         (a, i), (b, j) = first, last
-        new = np.concatenate([self.blocks[a][:i], leaves, self.blocks[b][j + 1 :]])
-        if a == b and 0 < len(new) <= 2 * self.width:
-            self.blocks[a] = new
-            node = self.n + a
-            self.sums[node] = new.sum(axis=0)
-            while node > 1:
-                node //= 2
-                self.sums[node] = self.sums[2 * node] + self.sums[2 * node + 1]
+        begin, end = int(self.blocks[a][:i, 0].sum()), int(self.blocks[b][: j + 1, 0].sum())
+        behind, rest = self.blocks[b][j + 1 :], self.parts[b][end:]
+        head, start = self.blocks[a][:i], self.parts[a][:begin]
+        if a == b:
+            new, part = np.concatenate([head, leaves, behind]), start + text + rest
+        else:
+            new, part = np.concatenate([head, leaves]), start + text
+            for k in range(a + 1, b):
+                self.blocks[k], self.parts[k] = behind[:0], ""
+            self.blocks[b], self.parts[b] = behind, rest
+        self.blocks[a], self.parts[a] = new, part
+        if len(new) > 2 * self.width:
+            self.blocks[a : a + 1], self.parts[a : a + 1] = self._cut(new, part)
+            self._rebuild()
             return
-        parts = [new[k : k + self.width] for k in range(0, len(new), self.width)]
-        self.blocks[a : b + 1] = parts
-        if not self.blocks:
-            self.blocks = [leaves[:0]]
-        self._rebuild()
+        for k in range(a, b + 1):
+            self.sums[self.n + k] = self.blocks[k].sum(axis=0)
+        low, high = (self.n + a) // 2, (self.n + b) // 2
+        while low:
+            self.sums[low : high + 1] = self.sums[2 * low : 2 * high + 2].reshape(-1, 2, 2).sum(axis=1)
+            low, high = low // 2, high // 2
 
 
 class CountedText:
     """A text with its counts. edit() is exact: count equals the number of ids of the whole new text."""
 
     def __init__(self, text: str, enc: CachedEncoder):
-        self.text, self.enc = text, enc
+        self.enc = enc
         self.encoded = 0
-        self.tree = SumTree(self._leaves(text))
+        self.tree = SumTree(self._leaves(text), text)
 
     def _leaves(self, text: str) -> np.ndarray:
         chunks = self.enc.chunks(text)
         self.encoded += len(text)
-        return np.array([[len(c), n] for c, n in zip(chunks, self.enc.counts(chunks))], np.int64).reshape(-1, 2)
+        return np.stack([np.fromiter(map(len, chunks), np.int64, len(chunks)), np.fromiter(self.enc.counts(chunks), np.int64, len(chunks))], axis=1)
+
+    @property
+    def text(self) -> str:
+        return "".join(self.tree.parts)
 
     @property
     def count(self) -> int:
         return self.tree.ids
 
+    def crc32(self) -> int:
+        """Of the text as UTF-8."""
+        crc = 0
+        for part in self.tree.parts:
+            crc = zlib.crc32(part.encode("utf-8", "surrogatepass"), crc)
+        return crc
+
     def edit(self, start: int, end: int, put: str) -> None:
         """Replaces the characters from start to end (exclusive) by put."""
-        if not 0 <= start <= end <= len(self.text):
+        tree, size = self.tree, self.tree.characters
+        if not 0 <= start <= end <= size:
             raise ValueError("an edit lies within the text")
-        if not self.text:
-            self.text = put
-            self.tree = SumTree(self._leaves(put))
+        if not size:
+            self.tree = SumTree(self._leaves(put), put)
             return
-        a, i, left = self.tree.find(max(0, start - 1))
+        a, i, left = tree.find(max(0, start - 1))
         if left:  # one leaf more before
-            a, i, left = self.tree.find(left - 1)
-        b, j, right = self.tree.find(min(end, len(self.text) - 1))
-        stop = right + int(self.tree.blocks[b][j, 0])
-        if stop < len(self.text):  # and one behind
-            b, j, right = self.tree.find(stop)
-            stop = right + int(self.tree.blocks[b][j, 0])
-        region = self.text[left:start] + put + self.text[end:stop]
-        self.text = self.text[:start] + put + self.text[end:]
-        self.tree.replace((a, i), (b, j), self._leaves(region))
+            a, i, left = tree.find(left - 1)
+        b, j, right = tree.find(min(end, size - 1))
+        stop = right + int(tree.blocks[b][j, 0])
+        if stop < size:  # and one behind
+            b, j, right = tree.find(stop)
+        was = tree.text((a, i), (b, j))
+        region = was[: start - left] + put + was[end - left :]
+        tree.replace((a, i), (b, j), self._leaves(region), region)
 
 
 COUNTS = "doc_id long, n_tokens long, n_edits long, n_tokens_after long, chars_encoded_again long, crc32_after long"
+NAMES = ["doc_id", "n_tokens", "n_edits", "n_tokens_after", "chars_encoded_again", "crc32_after"]
 
 
-def counted(docs: DataFrame, tokenizer_path: str) -> DataFrame:
-    """docs: (doc_id, text, edits), edits an array of (start, end, put) in code points of the original text, apart from one another and in
-    ascending order, or null. Counts before and after; how many characters were encoded again."""
-    import zlib
+def counted(docs: DataFrame, tokenizer_path: str, edits_of: Callable[[str], list[dict]] | None = None) -> DataFrame:
+    """Counts before and after the edits of each document, and how many characters were encoded again.
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    An edit has start, end and put, in code points of the original text; a document's edits lie apart from one another and in ascending order. They come from edits_of(text), or from the
+    column `edits`, an array of such structs or null."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one_thread()
         enc = encoder(tokenizer_path, False)
-        for pdf in batches:
+        for batch in batches:
             rows = []
-            for name, text, edits in zip(pdf["doc_id"].tolist(), pdf["text"], pdf["edits"]):
+            texts = batch.column(1).to_pylist()
+            for text, edits in zip(texts, map(edits_of, (t or "" for t in texts)) if edits_of else batch.column(2).to_pylist()):
                 t = CountedText(text or "", enc)
                 before, first = t.count, t.encoded
-                edits = [] if edits is None else list(edits)
+                edits = edits or []
                 for e in reversed(edits):  # from the end, so that earlier places keep their numbers
                     t.edit(e["start"], e["end"], e["put"] or "")
-                rows.append((name, before, len(edits), t.count, t.encoded - first, zlib.crc32(t.text.encode("utf-8", "surrogatepass"))))
-            out = pd.DataFrame(rows, columns=["doc_id", "n_tokens", "n_edits", "n_tokens_after", "chars_encoded_again", "crc32_after"])
-            out["doc_id"] = out["doc_id"].astype("Int64")
-            yield out
-
-    return docs.select("doc_id", "text", "edits").mapInPandas(run, COUNTS)
-
-
-def number_edits(docs: DataFrame, put: str = "<num>") -> DataFrame:
-    """docs with the edits that put `put` in place of every run of four digits or more."""
-    text = F.coalesce("text", F.lit(""))
-    runs = F.regexp_extract_all(text, F.lit("[0-9]{4,}"), F.lit(0))
-    gaps = F.split(text, "[0-9]{4,}", -1)
-    # places from the lengths of what lies between
-    step = lambda acc, i: F.struct(
-        (acc["at"] + F.length(F.get(gaps, i)) + F.length(F.get(runs, i))).cast("int").alias("at"),
-        F.array_append(acc["edits"], F.struct((acc["at"] + F.length(F.get(gaps, i))).cast("int").alias("start"), (acc["at"] + F.length(F.get(gaps, i)) + F.length(F.get(runs, i))).cast("int").alias("end"), F.lit(put).alias("put"))).alias("edits"),
-    )
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,put:string>>").alias("edits"))
-    made = F.aggregate(F.sequence(F.lit(0), F.size(runs) - 1), zero, step, lambda acc: acc["edits"])
-    edits = F.when(F.size(runs) > 0, made)
-    return docs.select("doc_id", "text", edits.alias("edits"))
+                rows.append((before, len(edits), t.count, t.encoded - first, t.crc32()))
+            made = np.array(rows, dtype=np.int64).reshape(-1, 5)
+            # names stay in Arrow: through pandas a null would make floating point of the others
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(np.ascontiguousarray(made[:, j])) for j in range(5))], names=NAMES)
+
+    return docs.select(F.col("doc_id").cast("long"), "text", *([] if edits_of else ["edits"])).mapInArrow(run, COUNTS)
+
+
+_NUMBER = re.compile("[0-9]{4,}")
+
+
+def number_edits(text: str, put: str = "<num>") -> list[dict]:
+    """Edits that put `put` in place of every run of four digits or more."""
+    return [{"start": m.start(), "end": m.end(), "put": put} for m in _NUMBER.finditer(text)]
 
 
 def op1_token_counts(spark: SparkSession, docs: DataFrame, tokenizer_path: str) -> DataFrame:
     """Per document (doc_id, text): tokens of the whole text, and after the edits of number_edits(), by edit-aware counting.
 
-    Nulls: a null text is an empty one (0 tokens); a null doc_id stays null. Repeated rows give repeated rows. Empty table: no rows. Further columns are ignored.
+    Nulls: a null text is an empty one (0 tokens); a null doc_id stays null, and others keep all their digits beside it. Repeated rows give repeated rows. Empty table: no rows. Further columns are ignored. The string of a
+    special token counts as that token, as the library has it.
     """
-    return counted(number_edits(docs), tokenizer_path)
+    return counted(docs, tokenizer_path, number_edits)

@@ -21,7 +21,7 @@ from collections import defaultdict, deque
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -30,32 +30,35 @@ from .tokens import encoder
 
 ROOM = 2048
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
+NAMES = ["doc_id", "piece", "start", "length", "ids_crc32"]
 
 
 def pieces(docs: DataFrame, tokenizer_path: str, end_id: int = 0, room: int = ROOM, drops_space: bool = False) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32) of every document. One longer than room is cut into pieces of exactly room ids
     but for the first, which may be shorter."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one_thread()
         enc = encoder(tokenizer_path, drops_space)
         end = int(end_id).to_bytes(4, "little")
-        for pdf in batches:
-            rows: list[tuple] = []
-            for name, x in zip(pdf["doc_id"].tolist(), enc.encode(pdf["text"])):
+        for batch in batches:
+            row, rows = [], []
+            for i, x in enumerate(enc.encode(batch.column(1).to_pylist())):
                 x += end
                 n = len(x) // 4
                 first = n % room or room
                 a, k = 0, 0
                 while a < n:
                     b = a + (room if k else first)
-                    rows.append((name, k, a, b - a, zlib.crc32(x[4 * a : 4 * b])))
+                    row.append(i)
+                    rows.append((k, a, b - a, zlib.crc32(x[4 * a : 4 * b])))
                     a, k = b, k + 1
-            out = pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
-            out["doc_id"] = out["doc_id"].astype("Int64")
-            yield out
+            made = np.array(rows, dtype=np.int64).reshape(-1, 4)
+            names = batch.column(0).take(pa.array(row, pa.int64()))  # never through floating point
+            columns = [names, pa.array(made[:, 0].astype(np.int32)), *(pa.array(np.ascontiguousarray(made[:, j])) for j in (1, 2, 3))]
+            yield pa.RecordBatch.from_arrays(columns, names=NAMES)
 
-    return docs.select("doc_id", "text").mapInPandas(run, PIECES)
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, PIECES)
 
 
 def _knapsack(sizes: np.ndarray, values: np.ndarray, room: int) -> tuple[float, np.ndarray]:
@@ -253,22 +256,21 @@ def pack(staged: DataFrame, room: int = ROOM, groups: int = 64) -> DataFrame:
     mine = F.row_number().over(Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "ids_crc32"))
     ranked = salted.withColumn("mine", mine).join(per, ["length", "salt"]).withColumn("rank", F.col("mine") - 1 + F.col("before"))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            key = pdf["length"].to_numpy() << 40 | pdf["rank"].to_numpy()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            key = batch.column(3).to_numpy() << 40 | batch.column(5).to_numpy()
             k = np.searchsorted(keys, key, side="right") - 1
-            pdf["sequence_id"] = firsts[k] + (key - keys[k])
-            pdf["offset"] = offsets[k]
-            yield pdf.drop(columns="rank")
+            placed = [pa.array(firsts[k] + (key - keys[k])), pa.array(offsets[k])]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:5], *placed], names=[*NAMES, "sequence_id", "offset"])
 
-    columns = ["doc_id", "piece", "start", "length", "ids_crc32", "rank"]
-    return ranked.select(columns).mapInPandas(run, PIECES + ", sequence_id long, offset long")
+    ranked = ranked.select(*NAMES, F.col("rank").cast("long").alias("rank"))
+    return ranked.mapInArrow(run, PIECES + ", sequence_id long, offset long")
 
 
 def op6_packing(spark: SparkSession, docs: DataFrame, tokenizer_path: str, end_id: int = 0, room: int = ROOM) -> DataFrame:
     """Packs all documents (doc_id, text): a row per piece with its place.
 
-    Nulls: a null text is an empty one (the end id alone); a null doc_id stays null. Ties and repeated rows: pieces of equal length are
+    Nulls: a null text is an empty one (the end id alone); a null doc_id stays null, and others keep all their digits beside it. Ties and repeated rows: pieces of equal length are
     interchangeable, each gets a place of its own. Empty table: no rows. Further columns are ignored.
     """
     staged = Stage(spark, "packing").write(pieces(docs, tokenizer_path, end_id, room), "pieces")

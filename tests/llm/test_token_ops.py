@@ -60,16 +60,17 @@ def test_column_encoding_equals_the_librarys():
 
 def test_edits_count_as_if_encoded_anew():
     r, one, enc = random.Random(3), whole(BYTE), CachedEncoder(BYTE, False)
-    signs = "ab1 \n\t.,'é\xa0　"
+    signs = [*"ab1 \n\t.,'é\xa0　", "<|endoftext|>"]
     for _ in range(60):
         t = "".join(r.choice(signs) for _ in range(r.choice([0, 1, 5, 50, 3000])))
         c = CountedText(t, enc)
-        for _ in range(6):
+        for _ in range(8):
             a = r.randint(0, len(c.text))
-            b = min(len(c.text), a + r.choice([0, 0, 1, 3, 40]))
+            b = min(len(c.text), a + r.choice([0, 0, 1, 3, 40, 2500]))
             put = "".join(r.choice(signs) for _ in range(r.choice([0, 1, 2, 10, 600])))
             want = c.text[:a] + put + c.text[b:]
             c.edit(a, b, put)
+            assert c.crc32() == zlib.crc32(want.encode())
             assert c.text == want and c.count == len(one(want)) and c.tree.characters == len(want)
 
 
@@ -81,6 +82,20 @@ def test_an_edit_encodes_its_neighbourhood_alone():
     assert c.encoded - before < 100
 
 
+def test_many_edits_take_linear_time():
+    """4000 edits of a text of a million characters: neither the text is copied nor the tree built anew each time."""
+    import time
+
+    enc, built = CachedEncoder(BYTE, False), []
+    c = CountedText("some words and more " * 50_000, enc)
+    rebuild = type(c.tree)._rebuild
+    c.tree._rebuild = lambda: (built.append(1), rebuild(c.tree))
+    began = time.perf_counter()
+    for k in range(4000):
+        c.edit(200 * k, 200 * k + 8, "other")
+    assert time.perf_counter() - began < 8 and len(built) < 100
+
+
 def test_token_counts_over_documents(spark, edge, empty):
     one = whole(BYTE)
     import re
@@ -99,7 +114,7 @@ def test_token_counts_over_documents(spark, edge, empty):
 def test_edits_of_a_caller(spark):
     docs = spark.createDataFrame([(1, "abc def", [(0, 1, "X"), (4, 7, None)]), (2, "abc", None)], "doc_id long, text string, edits array<struct<start:int,end:int,put:string>>")
     assert sorted(rows(counted(docs, BYTE), "doc_id", "n_edits", "crc32_after")) == [(1, 2, zlib.crc32(b"Xbc ")), (2, 0, zlib.crc32(b"abc"))]
-    assert rows(number_edits(spark.createDataFrame([(1, "12345 é 6789")], "doc_id long, text string")), "edits")[0][0][1]["start"] == 8
+    assert number_edits("12345 é 6789")[1] == {"start": 8, "end": 12, "put": "<num>"}
 
 
 @pytest.mark.parametrize("n", [0, 1, 2, 3, 4095, 4096, 4097, 20_000])
@@ -214,3 +229,12 @@ def test_plans_place_every_piece(seed):
             got[x] = got.get(x, 0) + t
     assert got == counts
     assert total <= 1.2 * -(-sum(k * v for k, v in counts.items()) // room) + 2
+
+
+BIG = [(2**60 + 1, "one 12345"), (2**60 + 2, "two words"), (None, "no name"), (2**53 + 1, None)]
+
+
+@pytest.mark.parametrize("operator", [lambda s, d: op1_token_counts(s, d, BYTE), lambda s, d: op5_token_ids(s, d, WORD), lambda s, d: op6_packing(s, d, BYTE)])
+def test_large_doc_ids_beside_a_null_keep_their_digits(spark, operator):
+    docs = spark.createDataFrame(BIG, "doc_id long, text string").coalesce(1)
+    assert sorted((r[0] for r in rows(operator(spark, docs), "doc_id")), key=lambda i: i or 0) == [None, 2**53 + 1, 2**60 + 1, 2**60 + 2]
