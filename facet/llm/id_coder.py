@@ -23,9 +23,11 @@ import zlib
 
 import numpy as np
 
-GROWTH = 2
-SHARE_STEPS = 64
-MOST_LANES = 1024
+GROWTH = 4
+SHARE_STEPS = 32
+#: The encoder looks ids up so many steps at a time, so that its working arrays stay small.
+SLICE_STEPS = 4
+MOST_LANES = 2048
 #: log2 of the whole that is shared out between the predictors.
 SHARE_BITS = 11
 _SHARES = 1 << SHARE_BITS
@@ -39,22 +41,22 @@ MOST_IDS, MOST_ID = 1 << 20, (1 << 19) - 2
 _CLASSES = 32
 _HEAD = struct.Struct("<4I")
 _LEAST, _WORD = np.uint64(1 << 48), np.uint64(16)
-_U11 = np.uint64(SHARE_BITS)
+_U11, _U48 = np.uint64(SHARE_BITS), np.uint64(48)
 
 
 def _shape(n: int) -> tuple[int, int]:
     """(lanes, steps): lane j codes the ids from j * steps on; the last may be shorter."""
-    lanes = max(1, min(MOST_LANES, int(round(n**0.5))))
+    lanes = max(1, min(MOST_LANES, int(round((2 * n) ** 0.5))))
     steps = -(-n // lanes)
     return -(-n // steps), steps
 
 
 def _epochs(steps: int) -> list[int]:
-    """Steps before which the counts are brought up to date."""
-    out, at = [], 1
-    while at < steps:
+    """Steps before which the counts are brought up to date: the last time at half of the block."""
+    out, at = [], steps // 2
+    while at:
         out.append(at)
-        at *= GROWTH
+        at //= GROWTH
     return out
 
 
@@ -84,16 +86,17 @@ class _Counts:
         total = np.diff(start, append=len(keys))
         kinds = np.diff(begin, append=len(group))
         packed = (group & 0xFFFFF) << 2 * _PART | (first - np.repeat(start, kinds)) << _PART | count
-        self.occurrences = np.repeat(packed, count)
         self.entries = np.zeros(contexts, np.int64)
         self.entries[of[begin]] = (start + base) << 32 | total << 8 | _context_class(total, kinds)
         if lookup:
             bits = max(4, int(len(group)).bit_length() + 1)
             self.shift = np.uint64(64 - bits)
             at = self._slot(group)
-            # of groups that meet in a slot both assignments keep the last one
+            # of groups that meet in a slot, both assignments keep the last one
             self.group, self.packed = np.full(1 << bits, -1), np.zeros(1 << bits, np.int64)
             self.group[at], self.packed[at] = group, packed & _BOTH
+        else:
+            self.occurrences = np.repeat(packed, count)
 
     def _slot(self, keys: np.ndarray) -> np.ndarray:
         return (keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> self.shift).view(np.int64)
@@ -146,12 +149,14 @@ class _Model:
             count = np.bincount(flat, minlength=self.alphabet)
             first = np.cumsum(count) - count
             seen = np.flatnonzero(count)
-            order0 = np.repeat(seen << 2 * _PART | first[seen] << _PART | count[seen], count[seen])
-            self.packed0 = first << _PART | count
+            if self.lookup:
+                self.packed0 = first << _PART | count
+            else:
+                order0 = np.repeat(seen << 2 * _PART | first[seen] << _PART | count[seen], count[seen])
+                self.occurrences = np.concatenate([self.order2.occurrences, self.order1.occurrences, order0, self.uniform])
             self.entries2, self.entries1 = self.order2.entries, self.order1.entries
             self.entry0 = 2 * len(flat) << 32 | len(flat) << 8
             self.base_uniform = 3 * len(flat)
-            self.occurrences = np.concatenate([self.order2.occurrences, self.order1.occurrences, order0, self.uniform])
             self.known[..., 2] = True
         self.entry_uniform = self.base_uniform << 32 | self.alphabet << 8
         self.refresh_shares()
@@ -202,37 +207,41 @@ def encode_block(ids: np.ndarray) -> bytes:
     out = np.zeros((lanes, 2 * steps + 8), np.uint16)
     pos = np.zeros(lanes, np.int64)
     emitted: list[np.ndarray] = []
+    served = np.zeros((SHARE_STEPS, lanes), np.int64)
     for a, b, fresh in _turns(steps):
         if fresh:
             model.refresh_counts(sym[:a, :full])
         elif a:
             model.refresh_shares()
-        begin, share, first, count, total, served = _intervals(model, ctx[a : b + 2], sym[a:b])
-        for k in range(b - a):
-            live = -(-(n - a - k) // steps)  # lanes that have an id at this step
-            lo, sp = low[:live], span[:live]
-            r = sp >> _U11
-            new = lo + begin[k, :live] * r
-            r *= share[k, :live]
-            r //= total[k, :live]
-            new += first[k, :live] * r
-            over = np.flatnonzero(new < lo)
-            if len(over):
-                _carry(out, over, pos)
-            lo[:] = new
-            np.multiply(count[k, :live], r, out=sp)
-            need = np.flatnonzero(sp < _LEAST)
-            while len(need):
-                x = lo[need]
-                at = pos[need]
-                out[need, at] = (x >> np.uint64(48)).astype(np.uint16)
-                pos[need] = at + 1
-                lo[need] = x << _WORD
-                s = sp[need] << _WORD
-                sp[need] = s
-                emitted.append(need)
-                need = need[s < _LEAST]
-        model.learn(served[:, :full].ravel())
+        for c in range(a, b, SLICE_STEPS):
+            d = min(b, c + SLICE_STEPS)
+            begin, share, first, count, total = _intervals(model, ctx[c : d + 2], sym[c:d], served[c - a : d - a])
+            for k in range(d - c):
+                live = -(-(n - c - k) // steps)  # lanes that have an id at this step
+                lo, sp = low[:live], span[:live]
+                r = sp >> _U11
+                new = begin[k, :live] * r
+                new += lo
+                r *= share[k, :live]
+                r //= total[k, :live]
+                new += first[k, :live] * r
+                over = np.flatnonzero(new < lo)
+                if len(over):
+                    _carry(out, over, pos)
+                lo[:] = new
+                np.multiply(count[k, :live], r, out=sp)
+                need = np.flatnonzero(sp < _LEAST)
+                while len(need):
+                    x = lo[need]
+                    at = pos[need]
+                    out[need, at] = x >> _U48
+                    pos[need] = at + 1
+                    lo[need] = x << _WORD
+                    s = sp[need] << _WORD
+                    sp[need] = s
+                    emitted.append(need)
+                    need = need[s < _LEAST]
+        model.learn(served[: b - a, :full].ravel())
     events = pos.copy()
     every = np.arange(lanes)
     for _ in range(4):
@@ -255,8 +264,8 @@ def _sealed(head: bytes, words: bytes) -> bytes:
     return struct.pack("<I", zlib.crc32(body)) + body
 
 
-def _intervals(model: _Model, ctx: np.ndarray, sym: np.ndarray):
-    """For sym[step, lane] under the model as it stands: the predictor with the widest sub-interval, and that interval."""
+def _intervals(model: _Model, ctx: np.ndarray, sym: np.ndarray, served: np.ndarray):
+    """For sym[step, lane] under the model as it stands: the interval of the predictor with the widest one. Puts class * 4 + predictor into served."""
     shape = sym.shape
     x, last, before = sym.ravel(), ctx[1:-1].ravel(), ctx[:-2].ravel()
     slot = model.slots(before, last)
@@ -267,7 +276,10 @@ def _intervals(model: _Model, ctx: np.ndarray, sym: np.ndarray):
     else:
         widest = model.wide[3].take(classes)
         predictor, entry, found = np.full(len(x), 3, np.int8), np.full_like(x, model.entry_uniform), x << _PART | 1
-        for k, f, e in ((2, model.packed0.take(x), model.entry0), (1, model.order1.find(last, x), e1), (0, model.order2.find(slot, x), e2)):
+        known = np.flatnonzero(e2)
+        found2 = np.zeros_like(x)
+        found2[known] = model.order2.find(slot[known], x[known])
+        for k, f, e in ((2, model.packed0.take(x), model.entry0), (1, model.order1.find(last, x), e1), (0, found2, e2)):
             wide = model.wide[k].take(classes)
             wide *= (f & _PARTS).astype(np.float32)
             if k < 2:
@@ -278,6 +290,7 @@ def _intervals(model: _Model, ctx: np.ndarray, sym: np.ndarray):
             np.copyto(entry, e, where=better)
             np.copyto(found, f, where=better)
         predictor = predictor.astype(np.int64)
+    np.add((classes * 4).reshape(shape), predictor.reshape(shape), out=served)
     at = predictor * _FIELD
     ends = model.bounds.take(classes) >> at
     begin = ends & _FIELDS
@@ -287,7 +300,7 @@ def _intervals(model: _Model, ctx: np.ndarray, sym: np.ndarray):
     entry >>= 8
     entry &= 0xFFFFFF
     u = lambda v: v.view(np.uint64).reshape(shape)
-    return u(begin), u(ends), u(found >> _PART), u(found & _PARTS), u(entry), (classes * 4 + predictor).reshape(shape)
+    return u(begin), u(ends), u(found >> _PART), u(found & _PARTS), u(entry)
 
 
 def _carry(out: np.ndarray, lanes: np.ndarray, pos: np.ndarray) -> None:

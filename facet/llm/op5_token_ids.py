@@ -84,11 +84,13 @@ def _slices(batch: pa.RecordBatch) -> Iterator[tuple[pa.Array, pa.Array]]:
 
 def write_segments(docs: DataFrame, tokenizer_path: str, end_id: int, segment_ids: int = SEGMENT_IDS) -> DataFrame:
     """Segments of all documents (doc_id, text), in ascending doc_id order over file_no, segment_no: null doc_ids first, equal ones in the order
-    of their texts' xxhash64, then of their texts. A null text has only the end id. The rows are dealt by ranges of (doc_id, hash), as many as
-    there are shuffle partitions, so that a doc_id of very many texts is split; a task holds one segment at a time, which is as large as the largest document if that has more than segment_ids ids."""
+    of their texts' xxhash64, then of their texts. A null text has only the end id. The rows are dealt by ranges of doc_id, as many as
+    there are shuffle partitions, or of (doc_id, hash) where one doc_id has more than a quarter of a range's rows, so that its texts are split; a task holds one segment at a time, which is as large as the largest document if that has more than segment_ids ids."""
     n = shuffle_partitions(docs.sparkSession)
+    per = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n").alias("most"), F.sum("n").alias("all")).first()  # reads no text
+    by = ["doc_id"] if (per["most"] or 0) <= max(1, (per["all"] or 0) // (4 * n)) else ["doc_id", "h"]
     hashed = docs.select("doc_id", "text", F.xxhash64("text").alias("h"))
-    dealt = hashed.repartitionByRange(n, "doc_id", "h").sortWithinPartitions("doc_id", "h", "text").select(F.col("doc_id").cast("long"), "text")
+    dealt = hashed.repartitionByRange(n, *by).sortWithinPartitions("doc_id", "h", "text").select(F.col("doc_id").cast("long"), "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one_thread()
@@ -107,12 +109,10 @@ def write_segments(docs: DataFrame, tokenizer_path: str, end_id: int, segment_id
 
         for batch in batches:
             for doc_ids, texts in _slices(batch):
-                ids, n = enc.encode(texts)
-                ends = np.cumsum(n)
-                ids = np.insert(ids, ends, end_id).astype(np.uint32, copy=False)
+                ids, n = enc.encode(texts, end_id)
                 held.append(ids)
                 names.append(doc_ids.fill_null(0).to_numpy())
-                lengths.append(n + 1)
+                lengths.append(n)
                 nulls.append(doc_ids.is_null().to_numpy(zero_copy_only=False))
                 size += len(ids)
                 if size >= segment_ids:

@@ -190,28 +190,38 @@ class CachedEncoder:
 class ColumnEncoder:
     """Encodes whole Arrow columns, for a vocabulary that lower-cases and drops white space.
 
-    ASCII letters are lower-cased and the texts cut at ASCII white space by Arrow, and the different chunks numbered; one mark behind a letter at a chunk's end, which is a pre-token of its own, is
-    taken off. So Python sees each different word of a column once, and a word that is new to the worker alone goes to the library. Words that a column holds three times or more are kept, the older half when they number over `most`. Texts that hold the
+    ASCII letters are lower-cased and the texts cut at ASCII white space by Arrow, and the different chunks numbered; one mark behind a letter at a chunk's end, or three of a kind, are a pre-token of their own and are
+    taken off. So Python sees each different word of a column once, and a word that is new to the worker alone goes to the library. Words are kept until they number over `most`, then the oldest of them. Texts that hold the
     string of a special token are encoded by the library's rules for it, one by one.
     """
 
-    MARKS = b",.!?;:"
-
-    def __init__(self, path: str, most: int = 500_000):
-        self.by_chunk = CachedEncoder(path, True, 50_000)
+    def __init__(self, path: str, most: int = 800_000):
+        self.by_chunk = CachedEncoder(path, True, 100_000)
         self.most = most
         self.index: dict[str, int] = {}
         # word k has the ids pool[ends[k] : ends[k + 1]]
         self.pool, self.ends, self.size = np.zeros(1 << 20, np.uint32), np.zeros(1 << 18, np.int64), 0
-        self.mark = np.zeros(256, np.uint32)
-        for m in self.MARKS:
-            self.mark[m] = np.frombuffer(self.by_chunk._piece(chr(m)), np.uint32)[0]
+        self.bytes = "".join(self.by_chunk.alphabet[b] for b in range(256))
 
     def _new(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all words, number of ids of each)."""
         one = self.by_chunk
-        plain = np.fromiter(map(str.isascii, words), bool, len(words)) & np.fromiter(map(str.isalpha, words), bool, len(words))
-        got = list(map(one.model.tokenize, compress(words, plain.tolist())))
+        plain = np.fromiter(map(str.isalpha, words), bool, len(words))
+        letters = list(compress(words, plain.tolist()))
+        foreign = [k for k, w in enumerate(letters) if not w.isascii()]
+        where = np.flatnonzero(plain)
+        for k in foreign:
+            if latin(letters[k]):
+                letters[k] = letters[k].lower().encode().decode("latin-1").translate(self.bytes)
+            else:
+                plain[where[k]] = False
+                letters[k] = None
+        tokenize, of_letters, lengths = one.model.tokenize, [], []
+        for w in letters:
+            if w is not None:
+                tokens = tokenize(w)
+                lengths.append(len(tokens))
+                of_letters += [t.id for t in tokens]
         other, odd, rest = list(compress(words, (~plain).tolist())), [], []
         for w in other:
             if latin(w):
@@ -222,11 +232,11 @@ class ColumnEncoder:
         found = iter(one.plain(odd))
         rest = [next(found) if x is None else x for x in rest]
         sizes = np.zeros(len(words), np.int64)
-        sizes[plain] = np.fromiter(map(len, got), np.int64, len(got))
+        sizes[plain] = lengths
         sizes[~plain] = np.fromiter(map(len, rest), np.int64, len(rest)) // 4
         ids = np.zeros(int(sizes.sum()), np.uint32)
         of_plain = np.repeat(plain, sizes)
-        ids[of_plain] = [t.id for tokens in got for t in tokens]
+        ids[of_plain] = of_letters
         ids[~of_plain] = np.frombuffer(b"".join(rest), np.uint32)
         return ids, sizes
 
@@ -244,30 +254,27 @@ class ColumnEncoder:
         self.size = n + m
         return np.arange(n, n + m)
 
-    def _numbers(self, words: list[str], counts: np.ndarray) -> tuple[np.ndarray, int]:
-        """Numbers of different words, and how many words are there to stay."""
+    def _numbers(self, words: list[str]) -> np.ndarray:
+        """Numbers of different words. More words than may be kept are there for one call."""
         if self.size > self.most:
-            self.size //= 2
+            self.size = self.most // 2
             self.index = dict(islice(self.index.items(), self.size))
         found = np.fromiter(map(self.index.get, words, repeat(-1)), np.int64, len(words))
         new = np.flatnonzero(found < 0)
-        often = counts[new] > 2
-        if often.any():
-            some = new[often]
-            these = [words[k] for k in some.tolist()]
-            found[some] = self._add(these)
-            self.index.update(zip(these, found[some].tolist()))
-        keep = self.size
-        if not often.all():
-            some = new[~often]
-            found[some] = self._add([words[k] for k in some.tolist()])
-        return found, keep
-
-    def encode(self, texts) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of all texts, number of ids of each). texts: an Arrow array of strings; a null is an empty text."""
+        if len(new):
+            these = [words[k] for k in new.tolist()]
+            found[new] = self._add(these)
+            self.index.update(zip(these, found[new].tolist()))
+        return found
+
+    def encode(self, texts, end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, number of ids of each). texts: an Arrow array of strings; a null is an empty text. end_id comes behind each text."""
         import pyarrow as pa
         import pyarrow.compute as pc
 
+        ending = np.array([] if end_id is None else [end_id], np.uint32)
+        if not len(texts):
+            return ending[:0], np.zeros(0, np.int64)
         texts = pc.fill_null(texts, "")
         special = np.zeros(len(texts), bool)
         for s in self.by_chunk.special:
@@ -277,48 +284,71 @@ class ColumnEncoder:
             alone = [np.frombuffer(x, np.uint32) for x in self.by_chunk.encode(texts.take(pa.array(apart)).to_pylist())]
             texts = pc.if_else(pa.array(special), "", texts)
         lists = pc.ascii_split_whitespace(pc.ascii_lower(texts))
-        flat = lists.flatten()
-        coded = flat.dictionary_encode()
-        chunks = coded.dictionary
-        if not len(flat):
-            return np.zeros(0, np.uint32), np.zeros(len(texts), np.int64)
+        coded = lists.flatten().dictionary_encode()
         codes = coded.indices.to_numpy()
-        wide = np.frombuffer(chunks.buffers()[1], np.int32 if chunks.type == pa.string() else np.int64)[chunks.offset : chunks.offset + len(chunks) + 1].astype(np.int64)
-        data = np.frombuffer(chunks.buffers()[2], np.uint8) if chunks.buffers()[2] is not None and chunks.buffers()[2].size else np.zeros(1, np.uint8)
-        last, before = data[np.maximum(wide[1:] - 1, 0)], data[np.maximum(wide[1:] - 2, 0)]
-        marked = (np.diff(wide) > 1) & (self.mark[last] > 0) & (before >= 97) & (before <= 122)
-        whole = chunks.cast(pa.binary())
-        base = pc.if_else(pa.array(marked), pc.binary_slice(whole, 0, -1), whole).cast(pa.string()).dictionary_encode()
-        of = base.indices.to_numpy()
-        word = np.bincount(of, weights=np.bincount(codes, minlength=len(chunks)))
-        numbers, keep = self._numbers(base.dictionary.to_pylist(), word)
-        of = numbers[of]
-        start = self.ends[of]
+        base, tail = _cut(coded.dictionary)
+        base, tail = base.dictionary_encode(), tail.dictionary_encode()
+        words = pa.chunked_array([base.dictionary, tail.dictionary]).dictionary_encode().combine_chunks()  # a mark may be a word, too
+        number, of = self._numbers(words.dictionary.to_numpy(zero_copy_only=False).tolist()), words.indices.to_numpy()
+        number = number[of]
+        pairs = np.stack([number[base.indices.to_numpy()], number[len(base.dictionary) :][tail.indices.to_numpy()]], axis=1)
+        start, size = self.ends[pairs], self.ends[pairs + 1] - self.ends[pairs]
+        ids, ends = _gathered(self.pool, start.ravel(), size.ravel())
         # ids of the different chunks, then of all chunks
-        ids, ends = _gathered(self.pool, start, self.ends[of + 1] - start, marked)
-        self.size = keep
-        ids[ends[marked] - 1] = self.mark[last[marked]]
-        sizes = np.diff(ends, prepend=0)
-        out, out_ends = _gathered(ids, (ends - sizes)[codes], sizes[codes])
+        ids, size = np.concatenate([ids, ending]), size.sum(axis=1)
+        start = np.concatenate([ends[1::2] - size, ends[-1:]]).astype(np.int32)
+        size = np.concatenate([size, [1]]).astype(np.int32)
         bounds = lists.offsets.to_numpy()
-        out_ends = np.concatenate([[0], out_ends])[bounds - bounds[0]]
-        lengths = np.diff(out_ends)
+        bounds = bounds - bounds[0]
+        if end_id is not None:
+            codes = np.insert(codes, bounds[1:], len(size) - 1)
+            bounds = bounds + np.arange(len(bounds))
+        ends = np.concatenate([[0], np.cumsum(size[codes], dtype=np.int64)])
+        out = np.empty(int(ends[-1]), np.uint32)
+        for k in range(0, len(codes), 100_000):  # so that the places stay in the processor's caches
+            some = codes[k : k + 100_000]
+            out[ends[k] : ends[k + len(some)]] = _gathered(ids, start[some], size[some])[0]
+        bounds = ends[bounds]
+        lengths = np.diff(bounds)
         if len(apart):
+            alone = [np.concatenate([x, ending]) for x in alone]
             lengths[apart] = [len(x) for x in alone]
-            parts, at = [], 0
+            pieces, at = [], 0
             for k, x in zip(apart.tolist(), alone):
-                parts += [out[at : out_ends[k]], x]
-                at = out_ends[k]
-            out = np.concatenate([*parts, out[at:]])
+                pieces += [out[at : bounds[k]], x]
+                at = bounds[k + 1]
+            out = np.concatenate([*pieces, out[at:]])
         return out, lengths
 
 
-def _gathered(pool: np.ndarray, start: np.ndarray, size: np.ndarray, extra: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Joined slices of pool and where each ends; `extra` marks those with room for one more behind."""
-    whole = size if extra is None else size + extra
-    ends = np.cumsum(whole)
-    at = np.repeat(start - (ends - whole), whole)
-    at += np.arange(len(at))
+def _cut(chunks):
+    """Chunks without the marks behind their last letter, where these are one or three of a kind, and those marks."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    whole = chunks.cast(pa.binary())
+    bounds = np.frombuffer(whole.buffers()[1], np.int32)[whole.offset : whole.offset + len(whole) + 1].astype(np.int64)
+    data = whole.buffers()[2]
+    data = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(1, np.uint8)
+    end, size = bounds[1:], np.diff(bounds)
+    byte = lambda k: np.where(size >= k, data[np.maximum(end - k, 0)], 32)
+    b1, b2, b3, b4, b5 = map(byte, range(1, 6))
+    mark = (b1 > 32) & (b1 < 127) & ~((b1 >= 48) & (b1 < 58)) & ~((b1 >= 65) & (b1 < 91)) & ~((b1 >= 97) & (b1 < 123))
+    # a small ASCII letter, or the two bytes of a Latin-1 letter from U+00C0 on
+    letter = lambda x, y: ((x >= 97) & (x < 123)) | ((y == 0xC3) & (x >= 0x80) & (x != 0x97) & (x != 0xB7))
+    three = mark & (b1 == b2) & (b1 == b3) & letter(b4, b5)
+    one = mark & letter(b2, b3)
+    one, three = pa.array(one), pa.array(three)
+    base = pc.if_else(one, pc.binary_slice(whole, 0, -1), pc.if_else(three, pc.binary_slice(whole, 0, -3), whole))
+    tail = pc.if_else(one, pc.binary_slice(whole, -1), pc.if_else(three, pc.binary_slice(whole, -3), pa.scalar(b"", pa.binary())))
+    return base.cast(pa.string()), tail.cast(pa.string())
+
+
+def _gathered(pool: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Joined slices of pool and where each ends."""
+    ends = np.cumsum(size, dtype=size.dtype)
+    at = np.repeat(start - (ends - size), size)
+    at += np.arange(len(at), dtype=at.dtype)
     return pool.take(at, mode="clip"), ends
 
 
