@@ -33,12 +33,15 @@ SHARE_BITS = 11
 _SHARES = 1 << SHARE_BITS
 _FIELD = SHARE_BITS + 1
 _FIELDS = (1 << _FIELD) - 1
-#: Bits of a packed entry: an occurrence is id << 44 | first << 22 | count; a context is base << 32 | total << 8 | class.
+#: Bits of a packed entry: an occurrence is id << 44 | first << 22 | count; a context is base << 32 | total << 10 | class.
 _PART = 22
 _PARTS, _BOTH = (1 << _PART) - 1, (1 << 2 * _PART) - 1
 #: Ids of a block at most, and the largest id.
 MOST_IDS, MOST_ID = 1 << 20, (1 << 19) - 2
 _CLASSES = 32
+#: An order-2 context's class is kept times _CLASSES, so that it adds up with the order-1 context's.
+_CLASS_BITS = 10
+_CLASS = (1 << _CLASS_BITS) - 1
 _HEAD = struct.Struct("<4I")
 _LEAST, _WORD = np.uint64(1 << 48), np.uint64(16)
 _U11, _U48 = np.uint64(SHARE_BITS), np.uint64(48)
@@ -72,7 +75,7 @@ def _context_class(total: np.ndarray, kinds: np.ndarray) -> np.ndarray:
 class _Counts:
     """Counts of (context, id) over what has been coded: a table of occurrences, and an entry for each context."""
 
-    def __init__(self, context: np.ndarray, ids: np.ndarray, contexts: int, base: int, lookup: bool):
+    def __init__(self, context: np.ndarray, ids: np.ndarray, contexts: int, base: int, times: int, lookup: bool):
         keys = np.sort(context << 20 | ids)
         new = np.empty(len(keys), bool)
         new[0] = True
@@ -87,7 +90,7 @@ class _Counts:
         kinds = np.diff(begin, append=len(group))
         packed = (group & 0xFFFFF) << 2 * _PART | (first - np.repeat(start, kinds)) << _PART | count
         self.entries = np.zeros(contexts, np.int64)
-        self.entries[of[begin]] = (start + base) << 32 | total << 8 | _context_class(total, kinds)
+        self.entries[of[begin]] = (start + base) << 32 | total << _CLASS_BITS | _context_class(total, kinds) * times
         if lookup:
             bits = max(4, int(len(group)).bit_length() + 1)
             self.shift = np.uint64(64 - bits)
@@ -126,8 +129,11 @@ class _Model:
         self.refresh_counts(np.zeros((0, 0), np.int64))
 
     def slots(self, before: np.ndarray, last: np.ndarray) -> np.ndarray:
-        h = last * 0x9E3779B1 + before * 0x85EBCA6B
-        return (h ^ h >> 15) & self.mask
+        h = last * 0x9E3779B1
+        h += before * 0x85EBCA6B
+        h >>= 12
+        h &= self.mask
+        return h
 
     def refresh_counts(self, sym: np.ndarray) -> None:
         """sym[step, lane]: ids coded so far, of the lanes that are full."""
@@ -144,8 +150,8 @@ class _Model:
             last[1:] = sym[:-1]
             before[2:] = sym[: max(0, steps - 2)]
             last, before = last.ravel(), before.ravel()
-            self.order2 = _Counts(self.slots(before, last), flat, self.mask + 1, 0, self.lookup)
-            self.order1 = _Counts(last, flat, self.alphabet + 1, len(flat), self.lookup)
+            self.order2 = _Counts(self.slots(before, last), flat, self.mask + 1, 0, _CLASSES, self.lookup)
+            self.order1 = _Counts(last, flat, self.alphabet + 1, len(flat), 1, self.lookup)
             count = np.bincount(flat, minlength=self.alphabet)
             first = np.cumsum(count) - count
             seen = np.flatnonzero(count)
@@ -155,10 +161,10 @@ class _Model:
                 order0 = np.repeat(seen << 2 * _PART | first[seen] << _PART | count[seen], count[seen])
                 self.occurrences = np.concatenate([self.order2.occurrences, self.order1.occurrences, order0, self.uniform])
             self.entries2, self.entries1 = self.order2.entries, self.order1.entries
-            self.entry0 = 2 * len(flat) << 32 | len(flat) << 8
+            self.entry0 = 2 * len(flat) << 32 | len(flat) << _CLASS_BITS
             self.base_uniform = 3 * len(flat)
             self.known[..., 2] = True
-        self.entry_uniform = self.base_uniform << 32 | self.alphabet << 8
+        self.entry_uniform = self.base_uniform << 32 | self.alphabet << _CLASS_BITS
         self.refresh_shares()
 
     def refresh_shares(self) -> None:
@@ -171,7 +177,7 @@ class _Model:
         ends = np.cumsum(share, axis=1)
         if self.lookup:  # how wide a share is for one occurrence; the contexts' totals come later
             self.wide = share.T.astype(np.float32)
-            self.wide[2] /= max(1, self.entry0 >> 8 & 0xFFFFFF)
+            self.wide[2] /= max(1, self.entry0 >> _CLASS_BITS & _PARTS)
             self.wide[3] /= self.alphabet
         self.bounds = ends[:, 0] << _FIELD | ends[:, 1] << 2 * _FIELD | ends[:, 2] << 3 * _FIELD | _SHARES << 4 * _FIELD
 
@@ -270,7 +276,7 @@ def _intervals(model: _Model, ctx: np.ndarray, sym: np.ndarray, served: np.ndarr
     x, last, before = sym.ravel(), ctx[1:-1].ravel(), ctx[:-2].ravel()
     slot = model.slots(before, last)
     e2, e1 = model.entries2.take(slot, mode="clip"), model.entries1.take(last, mode="clip")
-    classes = (e2 & 0xFF) * _CLASSES + (e1 & 0xFF)
+    classes = e2 + e1 & _CLASS
     if model.order1 is None:
         predictor, entry, found = np.full(len(x), 3, np.int64), np.full_like(x, model.entry_uniform), x << _PART | 1
     else:
@@ -283,7 +289,7 @@ def _intervals(model: _Model, ctx: np.ndarray, sym: np.ndarray, served: np.ndarr
             wide = model.wide[k].take(classes)
             wide *= (f & _PARTS).astype(np.float32)
             if k < 2:
-                wide /= np.maximum(e >> 8 & 0xFFFFFF, 1).astype(np.float32)
+                wide /= np.maximum(e >> _CLASS_BITS & _PARTS, 1).astype(np.float32)
             better = wide > widest
             np.copyto(widest, wide, where=better)
             np.copyto(predictor, k, where=better)
@@ -297,8 +303,8 @@ def _intervals(model: _Model, ctx: np.ndarray, sym: np.ndarray, served: np.ndarr
     ends >>= _FIELD
     ends &= _FIELDS
     ends -= begin
-    entry >>= 8
-    entry &= 0xFFFFFF
+    entry >>= _CLASS_BITS
+    entry &= _PARTS
     u = lambda v: v.view(np.uint64).reshape(shape)
     return u(begin), u(ends), u(found >> _PART), u(found & _PARTS), u(entry)
 
@@ -328,7 +334,6 @@ def decode_block(data: bytes) -> np.ndarray:
     span = np.full(lanes, (1 << 64) - 1, np.uint64)
     sym = np.zeros((steps, lanes), np.int64)
     last = before = np.full(lanes, alphabet, np.int64)
-    one = np.uint64(1)
     for a, b, fresh in _turns(steps):
         if fresh:
             model.refresh_counts(sym[:a, :full])
@@ -341,11 +346,11 @@ def decode_block(data: bytes) -> np.ndarray:
             live = -(-(n - k) // steps)
             l1, l2 = last[:live], before[:live]
             e2, e1 = entries2.take(model.slots(l2, l1), mode="clip"), entries1.take(l1, mode="clip")
-            classes = (e2 & 0xFF) * _CLASSES + (e1 & 0xFF)
+            classes = e2 + e1 & _CLASS
             ends = bounds.take(classes, mode="clip")
             o, s = off[:live], span[:live]
             r = s >> _U11
-            v = np.minimum(o // r, _SHARES - 1).view(np.int64)
+            v = (o // r).view(np.int64)  # below _SHARES, as what the encoder leaves over is never used
             below1 = v >= (ends >> _FIELD & _FIELDS)
             below2 = v >= (ends >> 2 * _FIELD & _FIELDS)
             below3 = v >= (ends >> 3 * _FIELD & _FIELDS)
@@ -360,9 +365,9 @@ def decode_block(data: bytes) -> np.ndarray:
             ends &= _FIELDS
             ends -= begin
             r *= ends.view(np.uint64)
-            total = (entry >> 8 & 0xFFFFFF).view(np.uint64)
+            total = (entry >> _CLASS_BITS & _PARTS).view(np.uint64)
             r //= total
-            u = np.minimum(o // r, total - one).view(np.int64)
+            u = (o // r).view(np.int64)
             u += entry >> 32
             hit = occurrences.take(u, mode="clip")
             o -= (hit >> _PART & _PARTS).view(np.uint64) * r

@@ -82,15 +82,29 @@ def _slices(batch: pa.RecordBatch) -> Iterator[tuple[pa.Array, pa.Array]]:
         yield names.slice(k, step), texts.slice(k, step)
 
 
+def _by_ranges(docs: DataFrame, n: int) -> DataFrame:
+    """docs dealt to n partitions by ascending ranges of doc_id, null first. The bounds come from a pass over the doc_ids alone; a pass that samples rows would read the texts, too."""
+    parts = [k / n for k in range(1, n)]
+    held = docs.where("doc_id is not null")
+    row = docs.agg(F.count(F.lit(1)).alias("all"), F.count("doc_id").alias("named")).first()
+    bounds = held.agg(F.percentile_approx("doc_id", parts, max(10_000, 20 * n))).first()[0] if parts and row["named"] else []
+    if len(set(bounds)) < len(bounds) and row["all"] > 100 * n or row["all"] - row["named"] > row["all"] // n + 100:
+        return docs.repartitionByRange(n, "doc_id", F.xxhash64("text"))
+    step = max(1, int(len(bounds) ** 0.5))
+    below = lambda a: F.size(F.filter(a, lambda b: b < F.col("doc_id")))
+    whole = F.lit(bounds).cast("array<long>") if bounds else F.array().cast("array<long>")
+    coarse = below(F.lit(bounds[step - 1 :: step]).cast("array<long>")) if bounds else F.lit(0)
+    at = F.when(F.col("doc_id").isNull(), 0).otherwise(coarse * step + below(F.slice(whole, coarse * step + 1, step)))
+    return docs.repartitionById(n, at.cast("int"))
+
+
 def write_segments(docs: DataFrame, tokenizer_path: str, end_id: int, segment_ids: int = SEGMENT_IDS) -> DataFrame:
     """Segments of all documents (doc_id, text), in ascending doc_id order over file_no, segment_no: null doc_ids first, equal ones in the order
     of their texts' xxhash64, then of their texts. A null text has only the end id. The rows are dealt by ranges of doc_id, as many as
-    there are shuffle partitions, or of (doc_id, hash) where one doc_id has more than a quarter of a range's rows, so that its texts are split; a task holds one segment at a time, which is as large as the largest document if that has more than segment_ids ids."""
+    there are shuffle partitions, or of (doc_id, hash) where one doc_id fills a range, so that its texts are split; a task holds one segment at a time, which is as large as the largest document if that has more than segment_ids ids."""
     n = shuffle_partitions(docs.sparkSession)
-    per = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n").alias("most"), F.sum("n").alias("all")).first()  # reads no text
-    by = ["doc_id"] if (per["most"] or 0) <= max(1, (per["all"] or 0) // (4 * n)) else ["doc_id", "h"]
-    hashed = docs.select("doc_id", "text", F.xxhash64("text").alias("h"))
-    dealt = hashed.repartitionByRange(n, *by).sortWithinPartitions("doc_id", "h", "text").select(F.col("doc_id").cast("long"), "text")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    dealt = _by_ranges(docs, n).withColumn("h", F.xxhash64("text")).sortWithinPartitions("doc_id", "h", "text").select("doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one_thread()

@@ -9,6 +9,7 @@ chunks come out of a dictionary; the rest go to the tokenizers library in batche
 from __future__ import annotations
 
 import array
+import os
 import re
 import struct
 from collections.abc import Iterable
@@ -276,9 +277,9 @@ class ColumnEncoder:
         if not len(texts):
             return ending[:0], np.zeros(0, np.int64)
         texts = pc.fill_null(texts, "")
-        special = np.zeros(len(texts), bool)
-        for s in self.by_chunk.special:
-            special |= pc.match_substring(texts, s).to_numpy(zero_copy_only=False)
+        special = pc.match_substring(texts, os.path.commonprefix(self.by_chunk.special)).to_numpy(zero_copy_only=False)
+        for k in np.flatnonzero(special).tolist():
+            special[k] = any(s in texts[k].as_py() for s in self.by_chunk.special)
         apart = np.flatnonzero(special)
         if len(apart):
             alone = [np.frombuffer(x, np.uint32) for x in self.by_chunk.encode(texts.take(pa.array(apart)).to_pylist())]

@@ -182,6 +182,21 @@ def test_token_ids_over_documents(spark, edge, empty):
     assert op5_token_ids(spark, empty, WORD).count() == 0
 
 
+def test_ranges_of_doc_ids(spark):
+    """Few and many bounds, one doc_id or null for most rows: partitions ascend, and a hot doc_id is split."""
+    from facet.llm.op5_token_ids import _by_ranges
+
+    for n, ids in ((1, range(9)), (7, range(5000)), (40, [*range(300), None]), (4, [5] * 3000 + [*range(20)]), (4, [None] * 3000 + [*range(20)])):
+        docs = spark.createDataFrame([(i, str(k)) for k, i in enumerate(ids)], "doc_id long, text string")
+        parts = _by_ranges(docs, n).selectExpr("doc_id", "spark_partition_id() p").collect()
+        assert len(parts) == len(ids) and max(r["p"] for r in parts) < n
+        key = lambda i: (i is not None, i or 0)
+        ends = [(min(x, key=key), max(x, key=key)) for p in range(n) if (x := [r["doc_id"] for r in parts if r["p"] == p])]
+        assert all(key(a[1]) <= key(b[0]) for a, b in zip(ends, ends[1:]))
+        if n > 1:
+            assert max(sum(r["p"] == p for r in parts) for p in range(n)) < 0.7 * len(parts)
+
+
 def packed(got, room=2048):
     at = {}
     for r in got:
