@@ -24,9 +24,9 @@ import zlib
 import numpy as np
 
 GROWTH = 4
-SHARE_STEPS = 32
+SHARE_STEPS = 64
 #: The encoder looks ids up so many steps at a time, so that its working arrays stay small.
-SLICE_STEPS = 4
+SLICE_STEPS = 8
 MOST_LANES = 2048
 #: log2 of the whole that is shared out between the predictors.
 SHARE_BITS = 11
@@ -280,25 +280,23 @@ def _intervals(model: _Model, ctx: np.ndarray, sym: np.ndarray, served: np.ndarr
     if model.order1 is None:
         predictor, entry, found = np.full(len(x), 3, np.int64), np.full_like(x, model.entry_uniform), x << _PART | 1
     else:
-        widest = model.wide[3].take(classes)
+        widest = model.wide[3].take(classes, mode="clip")
         predictor, entry, found = np.full(len(x), 3, np.int8), np.full_like(x, model.entry_uniform), x << _PART | 1
-        known = np.flatnonzero(e2)
-        found2 = np.zeros_like(x)
-        found2[known] = model.order2.find(slot[known], x[known])
-        for k, f, e in ((2, model.packed0.take(x), model.entry0), (1, model.order1.find(last, x), e1), (0, found2, e2)):
-            wide = model.wide[k].take(classes)
-            wide *= (f & _PARTS).astype(np.float32)
+        for k, f, e in ((2, model.packed0.take(x, mode="clip"), model.entry0), (1, model.order1.find(last, x), e1), (0, model.order2.find(slot, x), e2)):
+            wide = model.wide[k].take(classes, mode="clip")
+            wide *= f & _PARTS
             if k < 2:
-                wide /= np.maximum(e >> _CLASS_BITS & _PARTS, 1).astype(np.float32)
+                wide /= np.maximum(e >> _CLASS_BITS & _PARTS, 1)
             better = wide > widest
-            np.copyto(widest, wide, where=better)
+            if k:  # the last one's width is not asked again
+                np.copyto(widest, wide, where=better)
             np.copyto(predictor, k, where=better)
             np.copyto(entry, e, where=better)
             np.copyto(found, f, where=better)
         predictor = predictor.astype(np.int64)
     np.add((classes * 4).reshape(shape), predictor.reshape(shape), out=served)
     at = predictor * _FIELD
-    ends = model.bounds.take(classes) >> at
+    ends = model.bounds.take(classes, mode="clip") >> at
     begin = ends & _FIELDS
     ends >>= _FIELD
     ends &= _FIELDS
