@@ -1,13 +1,15 @@
 """Masked pseudo-likelihood: a bidirectional window network predicts every word from both sides.
 
-Words are lower-cased runs between ASCII white space. The vocabulary is the `vocabulary` most frequent words of the whole corpus, by exact counts; every other word is one of `spare` classes of rare words, by a
-hash. A rare word's probability is that of its class times its share of the class, count(word) / count(class), by the exact counts over the corpus, joined in Spark: probabilities are of words, never of classes. Words are numbered by frequency and dealt to clusters of `cluster` numbers each, so that a word's probability is that of its cluster times that within the cluster, two small softmaxes instead of a large one.
+Words are lower-cased runs between ASCII white space. The `vocabulary` most frequent words of the whole corpus, by exact counts, have a number of their own; every other word falls into one of `spare` classes by its
+last three bytes, and its probability is that of its class times its share of the class, count(word) / count(class), by the exact counts over the corpus: probabilities are of words, never of classes. The counts of the
+`known` commonest words go to the tasks; those of all others, a table that grows with the corpus, are joined in Spark. Words are numbered by frequency and dealt to clusters of CLUSTER numbers each, so that a word's probability is that of its cluster times that within the cluster, two small softmaxes
+instead of a large one.
 
-The network: embeddings of the `reach` words at either side are joined, pass one hidden layer (tanh), and that gives both softmaxes. It never sees the word itself. A document's score is the sum over its words of
-log P(word | both sides), with the number of words and the mean.
+The network: embeddings of the `reach` words at either side are joined, pass one hidden layer (tanh), and that gives both softmaxes, whose biases start as the words' frequencies. It never sees the word itself. A document's score is the sum over its words of
+log P(word | both sides), with the number of words, the mean, and how many of its words occur nowhere else in the corpus (none in a document that occurs twice).
 
-Training takes the windows at all positions of all documents: they are dealt to `every` shares by a hash of the document and the position, and round k trains on share k, so that `rounds` must be at least `every`. Each task trains a copy of the shared first parameters on its own windows,
-and the copies are averaged in a tree of shuffles, weighted by windows, `rounds` times over; the driver only gets the last average.
+Training takes the windows at all positions of all documents once: documents are dealt by a hash of doc_id and text to `rounds` rounds and, within them, to parts of about `part_words` words, whose windows are taken in a fixed random order. Each part trains a copy of the shared
+parameters, and the copies are averaged in a tree of shuffles, weighted by windows; the driver only gets the last average. Parts depend on the rows alone, not on how the input lies in files or tasks, so that scores are the same up to rounding.
 """
 
 from __future__ import annotations
@@ -18,6 +20,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,62 +29,93 @@ from pyspark.sql import functions as F
 from .common import Stage, one_thread
 
 CLUSTER = 64
+#: Texts are split in slices of about so many bytes.
+SLICE_BYTES = 24_000_000
 
 
-def split_words(text: str | None) -> list[bytes]:
-    return (text or "").encode("utf-8", "surrogatepass").lower().split()
+class Split:
+    """The words of some texts: `words` different ones as bytes, `codes` of all in order, `bounds` of each text's codes."""
 
+    def __init__(self, texts: pa.Array):
+        lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts.cast(pa.string()), "")))
+        coded = lists.flatten().dictionary_encode()
+        codes, bounds = coded.indices.to_numpy(), lists.offsets.to_numpy()
+        bounds = bounds - bounds[0] if len(bounds) else np.zeros(1, np.int64)
+        self.words = coded.dictionary.cast(pa.binary()).to_numpy(zero_copy_only=False).tolist()
+        if b"" in self.words:  # what lies before white space at a text's start, or behind it at its end
+            real = codes != self.words.index(b"")
+            bounds = np.concatenate([[0], np.cumsum(real)])[bounds]
+            codes = codes[real]
+        self.codes, self.bounds = codes, bounds.astype(np.int64)
 
-def word_counts(docs: DataFrame, hold: int = 200_000) -> DataFrame:
-    """(word, n) over the whole corpus. A task adds up before the shuffle, in a table of at most about `hold` words."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def slices(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
+    step = max(1, int(batch.num_rows * SLICE_BYTES / max(1, batch.column(column).nbytes)))
+    for k in range(0, batch.num_rows, step):
+        yield batch.slice(k, step)
+
+
+def word_counts(docs: DataFrame, hold: int = 400_000) -> DataFrame:
+    """(word, n) over the whole corpus. A task adds up before the shuffle, in a table of at most about `hold` words and those of one slice."""
+
+    def made(held: Counter) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(list(held.keys()), pa.binary()), pa.array(list(held.values()), pa.int64())], names=["word", "n"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        one_thread()
         held: Counter[bytes] = Counter()
-        for pdf in batches:
-            for t in pdf["text"]:
-                held.update(split_words(t))
+        for batch in batches:
+            for part in slices(batch, 0):
+                s = Split(part.column(0))
+                n = np.bincount(s.codes, minlength=len(s.words))
+                held.update({w: k for w, k in zip(s.words, n.tolist()) if k})
                 if len(held) > hold:
-                    yield pd.DataFrame({"word": list(held.keys()), "n": list(held.values())})
+                    yield made(held)
                     held.clear()
         if held:
-            yield pd.DataFrame({"word": list(held.keys()), "n": list(held.values())})
+            yield made(held)
 
-    return docs.select("text").mapInPandas(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return docs.select("text").mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 class Vocabulary:
-    """Numbers of words: frequent ones in order, then `spare` numbers for the rest; 0 is the place beyond a text's ends."""
+    """Numbers of words: frequent ones in order, then `spare` classes of the rest; 0 is the place beyond a text's ends. Counts of the commonest words and of all numbers."""
 
-    def __init__(self, words: list[bytes], spare: int):
-        self.number = {w: k + 1 for k, w in enumerate(words)}
-        self.first_spare = len(words) + 1
+    def __init__(self, words: list[bytes], counts: list[int], numbered: int, spare: int):
+        self.number = {w: k + 1 for k, w in enumerate(words[:numbered])}
+        self.first_spare = len(self.number) + 1
         self.spare = spare
-        self.size = len(words) + 1 + spare
-
-    def rare(self, words: list[bytes]) -> Counter[bytes]:
-        """The words that have no number of their own, with their counts."""
-        return Counter(w for w in words if w not in self.number)
+        self.size = self.first_spare + spare
+        self.count = dict(zip(words, counts))
+        self.total = np.zeros(self.size, np.int64)
+        self.total[1 : self.first_spare] = counts[: len(self.number)]
 
-    def ids(self, words: list[bytes]) -> np.ndarray:
+    def of(self, words: list[bytes]) -> np.ndarray:
         get, first, spare, crc = self.number.get, self.first_spare, self.spare, zlib.crc32
-        return np.array([get(w) or first + crc(w) % spare for w in words], dtype=np.int32)
+        return np.array([get(w) or first + crc(w[-3:]) % spare for w in words], dtype=np.int32)
 
 
 class Network:
     """Parameters as one dictionary of float32 arrays."""
 
-    def __init__(self, size: int, reach: int, embed: int = 16, hidden: int = 24, seed: int = 5):
+    def __init__(self, total: np.ndarray, reach: int, embed: int = 12, hidden: int = 20, seed: int = 5):
+        """total: how often each number occurs; the outputs start from it."""
         r = np.random.default_rng(seed)
+        size = len(total)
         g = lambda *s: (r.standard_normal(s) / np.sqrt(s[-2])).astype(np.float32)
         self.reach, self.size = reach, size
         self.clusters = -(-size // CLUSTER)
+        often = np.zeros(self.clusters * CLUSTER)
+        often[:size] = total + 0.5
+        often = often.reshape(self.clusters, CLUSTER)
+        whole = often.sum(axis=1, keepdims=True)
+        with np.errstate(divide="ignore"):
+            within = np.maximum(np.log(often / whole), -30)
         self.p = {
             "e": (0.3 * r.standard_normal((size, embed))).astype(np.float32), "w": g(2 * reach * embed, hidden), "b": np.zeros(hidden, np.float32),
-            "c": g(hidden, self.clusters) * 0.3, "cb": np.zeros(self.clusters, np.float32), "o": g(self.clusters, hidden, CLUSTER) * 0.3, "ob": np.zeros((self.clusters, CLUSTER), np.float32),
+            "c": g(hidden, self.clusters) * 0.1, "cb": np.log(whole[:, 0] / whole.sum()).astype(np.float32),
+            "o": g(self.clusters, hidden, CLUSTER) * 0.1, "ob": within.astype(np.float32),
         }
-        beyond = self.clusters * CLUSTER - size  # numbers of the last cluster that no word has
-        if beyond:
-            self.p["ob"][-1, CLUSTER - beyond :] = -30
 
     def load(self, flat: np.ndarray) -> None:
         at = 0
@@ -91,72 +126,81 @@ class Network:
     def flat(self) -> np.ndarray:
         return np.concatenate([v.ravel() for v in self.p.values()])
 
-    def contexts(self, ids: np.ndarray) -> np.ndarray:
-        """For ids of one text: the numbers at either side of every position."""
-        r = self.reach
-        padded = np.zeros(len(ids) + 2 * r, np.int32)
-        padded[r : r + len(ids)] = ids
-        return np.stack([padded[k : k + len(ids)] for k in range(2 * r + 1) if k != r], axis=1)
+    def padded(self, ids: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The numbers of some texts with `reach` zeros before, between and behind them, and the place of each."""
+        lengths = np.diff(bounds)
+        at = np.arange(len(ids), dtype=np.int64) + np.repeat((np.arange(len(lengths)) + 1) * self.reach, lengths)
+        out = np.zeros(len(ids) + (len(lengths) + 1) * self.reach, np.int32)
+        out[at] = ids
+        return out, at
+
+    def contexts(self, padded: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """The numbers at either side of places."""
+        return np.stack([padded[at + k] for k in range(-self.reach, self.reach + 1) if k], axis=1)
 
     def _hidden(self, x: np.ndarray) -> np.ndarray:
         return np.tanh(self.p["e"][x].reshape(len(x), -1) @ self.p["w"] + self.p["b"])
 
     def log_probabilities(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
-        """log P(y | contexts x)."""
+        """log P(y | contexts x), by log-sum-exp."""
         p = self.p
         h = self._hidden(x)
         k, within = y // CLUSTER, y % CLUSTER
-        z = h @ p["c"] + p["cb"]
-        out = z[np.arange(len(y)), k] - np.log(np.exp(z).sum(axis=1))
-        order = np.argsort(k.astype(np.int16), kind="stable")
-        cuts = np.searchsorted(k[order], np.arange(self.clusters + 1))
-        for c in range(self.clusters):
-            rows = order[cuts[c] : cuts[c + 1]]
-            if len(rows):
-                z = h[rows] @ p["o"][c] + p["ob"][c]
-                out[rows] += z[np.arange(len(rows)), within[rows]] - np.log(np.exp(z).sum(axis=1))
+        out = _log_softmax_at(h @ p["c"] + p["cb"], k)
+        for c, rows in _by_cluster(k, self.clusters):
+            out[rows] += _log_softmax_at(h[rows] @ p["o"][c] + p["ob"][c], within[rows])
         return out
 
-    def step(self, x: np.ndarray, y: np.ndarray, sums: dict[str, np.ndarray], rate: float) -> float:
-        """One Adagrad step; the mean loss before it."""
+    def step(self, x: np.ndarray, y: np.ndarray, sums: dict[str, np.ndarray], rate: float) -> None:
+        """One Adagrad step."""
         p, n = self.p, len(y)
         ex = p["e"][x].reshape(n, -1)
         h = np.tanh(ex @ p["w"] + p["b"])
         k, within = y // CLUSTER, y % CLUSTER
-        every = np.arange(n)
-        z = h @ p["c"] + p["cb"]
-        q = np.exp(z - z.max(axis=1, keepdims=True))
-        q /= q.sum(axis=1, keepdims=True)
-        loss = -np.log(q[every, k] + 1e-12).sum()
-        q[every, k] -= 1
-        q /= n
+        q = _softmax_less_one(h @ p["c"] + p["cb"], k, n)
         dh = q @ p["c"].T
-        g = {"c": h.T @ q, "cb": q.sum(axis=0)}
-        g["o"], g["ob"] = np.zeros_like(p["o"]), np.zeros_like(p["ob"])
-        order = np.argsort(k, kind="stable")
-        cuts = np.searchsorted(k[order], np.arange(self.clusters + 1))
-        for c in range(self.clusters):
-            rows = order[cuts[c] : cuts[c + 1]]
-            if len(rows):
-                z = h[rows] @ p["o"][c] + p["ob"][c]
-                q = np.exp(z - z.max(axis=1, keepdims=True))
-                q /= q.sum(axis=1, keepdims=True)
-                i = np.arange(len(rows))
-                loss -= np.log(q[i, within[rows]] + 1e-12).sum()
-                q[i, within[rows]] -= 1
-                q /= n
-                dh[rows] += q @ p["o"][c].T
-                g["o"][c], g["ob"][c] = h[rows].T @ q, q.sum(axis=0)
+        g = {"c": h.T @ q, "cb": q.sum(axis=0), "o": np.zeros_like(p["o"]), "ob": np.zeros_like(p["ob"])}
+        for c, rows in _by_cluster(k, self.clusters):
+            hr = h[rows]
+            q = _softmax_less_one(hr @ p["o"][c] + p["ob"][c], within[rows], n)
+            dh[rows] += q @ p["o"][c].T
+            g["o"][c], g["ob"][c] = hr.T @ q, q.sum(axis=0)
         d = dh * (1 - h * h)
         g["w"], g["b"] = ex.T @ d, d.sum(axis=0)
         de = (d @ p["w"].T).reshape(n * x.shape[1], -1)
         size, embed = p["e"].shape
-        at = x.reshape(-1, 1).astype(np.int64) * embed + np.arange(embed)
-        g["e"] = np.bincount(at.ravel(), weights=de.ravel(), minlength=size * embed).reshape(size, embed).astype(np.float32)
+        flat = x.ravel()
+        order = np.argsort(flat.astype(np.uint16) if size <= 1 << 16 else flat, kind="stable")
+        sorted_x = flat[order]
+        first = np.flatnonzero(np.diff(sorted_x, prepend=-1))
+        g["e"] = np.zeros_like(p["e"])
+        g["e"][sorted_x[first]] = np.add.reduceat(de[order], first, axis=0)
         for name, v in g.items():
             sums[name] += v * v
             p[name] -= rate * v / (np.sqrt(sums[name]) + 1e-6)
-        return float(loss / n)
+
+
+def _by_cluster(k: np.ndarray, clusters: int) -> Iterator[tuple[int, np.ndarray]]:
+    order = np.argsort(k.astype(np.int16), kind="stable")
+    cuts = np.searchsorted(k[order], np.arange(clusters + 1))
+    for c in range(clusters):
+        if cuts[c + 1] > cuts[c]:
+            yield c, order[cuts[c] : cuts[c + 1]]
+
+
+def _log_softmax_at(z: np.ndarray, at: np.ndarray) -> np.ndarray:
+    z -= z.max(axis=1, keepdims=True)
+    out = z[np.arange(len(at)), at]
+    return out - np.log(np.exp(z, out=z).sum(axis=1))
+
+
+def _softmax_less_one(z: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
+    """Gradient of the mean loss with respect to z."""
+    z -= z.max(axis=1, keepdims=True)
+    np.exp(z, out=z)
+    z /= z.sum(axis=1, keepdims=True) * n
+    z[np.arange(len(at)), at] -= np.float32(1 / n)
+    return z
 
 
 class Scorer:
@@ -165,43 +209,38 @@ class Scorer:
     def __init__(self, vocabulary: Vocabulary, network: Network):
         self.vocabulary, self.network = vocabulary, network
 
-    def scores(self, texts, at_once: int = 30_000) -> list[tuple[int, float]]:
-        """(words, summed log-probability) of each text, texts scored in full, in slices of about at_once words."""
-        out = [[0, 0.0] for _ in texts]
-        xs, ys, owner, size = [], [], [], 0
-
-        def flush():
-            nonlocal size
-            if size:
-                lp = self.network.log_probabilities(np.concatenate(xs), np.concatenate(ys)).astype(np.float64)
-                at = 0
-                for k, y in zip(owner, ys):
-                    out[k][1] += float(lp[at : at + len(y)].sum())
-                    at += len(y)
-                xs.clear(), ys.clear(), owner.clear()
-                size = 0
-
-        for k, t in enumerate(texts):
-            ids = self.vocabulary.ids(split_words(t))
-            out[k][0] = len(ids)
-            if not len(ids):
-                continue
-            x = self.network.contexts(ids)
-            for a in range(0, len(ids), at_once):
-                xs.append(x[a : a + at_once])
-                ys.append(ids[a : a + at_once])
-                owner.append(k)
-                size += len(ys[-1])
-                if size >= at_once:
-                    flush()
-        flush()
-        return [tuple(o) for o in out]
+    def scores(self, texts: pa.Array, at_once: int = 16_384):
+        """Of each text: the number of words, the sum of log P (of rare words: of their classes alone), the words that occur nowhere else so far as the counts at hand tell; and
+        of words whose counts are not at hand: (text, word, times, class)."""
+        s, v, net = Split(texts), self.vocabulary, self.network
+        n = len(texts)
+        number = v.of(s.words)
+        ids = number[s.codes]
+        text_of = np.repeat(np.arange(n), np.diff(s.bounds))
+        padded, at = net.padded(ids, s.bounds)
+        total = np.zeros(n)
+        for k in range(0, len(ids), at_once):
+            lp = net.log_probabilities(net.contexts(padded, at[k : k + at_once]), ids[k : k + at_once])
+            total += np.bincount(text_of[k : k + at_once], weights=lp, minlength=n)
+        count = np.array([v.count.get(w, 0) for w in s.words], np.int64)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            share = np.where((number >= v.first_spare) & (count > 0), np.log(count / np.maximum(1, v.total[number])), 0.0)
+        total += np.bincount(text_of, weights=share[s.codes], minlength=n)
+        # times of each word in each text
+        key = np.sort(text_of * max(1, len(s.words)) + s.codes)
+        first = np.flatnonzero(np.diff(key, prepend=-1))
+        times = np.diff(first, append=len(key))
+        text, word = key[first] // max(1, len(s.words)), key[first] % max(1, len(s.words))
+        alone = np.bincount(text, weights=np.where(count[word] == times, times, 0), minlength=n)
+        rest = count[word] == 0
+        return np.diff(s.bounds), total, alone, (text[rest], [s.words[w] for w in word[rest].tolist()], times[rest], number[word[rest]])
 
 
 def _average(copies: DataFrame, stage: Stage, fan: int = 8) -> np.ndarray:
     """Weighted mean of (part, n, flat) in a tree: groups of about `fan` copies are averaged until one is left."""
 
     def mean(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("part")  # sums in the same order each time
         n = pdf["n"].to_numpy(dtype=np.float64)
         total = sum(np.frombuffer(f, "<f4").astype(np.float64) * w for f, w in zip(pdf["flat"], n))
         return pd.DataFrame({"part": [int(pdf["part"].iloc[0])], "n": [n.sum()], "flat": [(total / n.sum()).astype("<f4").tobytes()]})
@@ -214,109 +253,107 @@ def _average(copies: DataFrame, stage: Stage, fan: int = 8) -> np.ndarray:
     return np.frombuffer(bytes(row["flat"]), "<f4") if row is not None else None
 
 
-def train(docs: DataFrame, stage: Stage, counts: DataFrame | None = None, vocabulary: int = 4032, spare: int = 63, reach: int = 2, every: int = 2, rounds: int = 2, batch: int = 2048, rate: float = 0.15) -> Scorer:
-    if rounds < every:
-        raise ValueError(f"{rounds} rounds leave shares of {every} untrained")
+def _vocabulary(counts: DataFrame, numbered: int, spare: int, known: int) -> Vocabulary:
+    """Numbers and counts of the commonest words, ties by the word; the totals of the classes come from the rest of the table in one aggregation."""
+    top = counts.orderBy(F.desc("n"), "word").limit(known).collect()  # known: a bound, whatever the corpus
+    words = Vocabulary([bytes(r["word"]) for r in top], [r["n"] for r in top], numbered, spare)
+
+    def classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(words.size, np.int64)
+        for batch in batches:
+            number = words.of(batch.column(0).to_pylist())
+            np.add.at(total, number, batch.column(1).to_numpy())
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(words.size)), pa.array(total)], names=["number", "n"])
+
+    for r in counts.select("word", "n").mapInArrow(classes, "number long, n long").where("n > 0").groupBy("number").agg(F.sum("n").alias("n")).collect():  # one row a number
+        words.total[r["number"]] = r["n"]
+    return words
+
+
+def _fitting(words: Vocabulary, start: np.ndarray, reach: int, batch: int, rate: float):
+    """Trains a copy of the network on the windows of one part: a table of (h, text, part)."""
+
+    def fit(table: pa.Table) -> pa.Table:
+        one_thread()
+        order = np.argsort(table.column("h").to_numpy(), kind="stable")
+        texts, part = table.column("text").combine_chunks(), int(table.column("part")[0].as_py())
+        padded, places, used = [], [], 0
+        net = Network(words.total, reach)
+        net.load(start)
+        step = max(1, int(len(order) * SLICE_BYTES / max(1, texts.nbytes)))
+        for k in range(0, len(order), step):
+            s = Split(texts.take(pa.array(order[k : k + step])))
+            p, at = net.padded(words.of(s.words)[s.codes], s.bounds)
+            padded.append(p)
+            places.append(at + used)
+            used += len(p)
+        padded, places = np.concatenate(padded), np.concatenate(places)
+        places = places[np.random.default_rng(part).permutation(len(places))]
+        sums = {k: np.full_like(v, 1e-4) for k, v in net.p.items()}
+        for k in range(0, len(places), batch):
+            at = places[k : k + batch]
+            net.step(net.contexts(padded, at), padded[at], sums, rate * min(1.0, len(at) / batch))
+        return pa.table({"part": [part], "n": [float(len(places))], "flat": [net.flat().astype("<f4").tobytes()]})
+
+    return fit
+
+
+def train(
+    docs: DataFrame, stage: Stage, counts: DataFrame | None = None, vocabulary: int = 3968, spare: int = 127, known: int = 60_000, reach: int = 2,
+    rounds: int = 2, part_words: int = 4_000_000, batch: int = 4096, rate: float = 0.25,
+) -> Scorer:
+    """docs: (doc_id, text)."""
     counts = stage.write(word_counts(docs), "counts") if counts is None else counts
-    top = [bytes(r["word"]) for r in counts.orderBy(F.desc("n"), "word").limit(vocabulary).collect()]
-    words = Vocabulary(top, spare)
-    network = Network(words.size, reach)
-    for turn in range(rounds):
-        start = network.flat()
-
-        def fit(batches: Iterator[pd.DataFrame], start=start, turn=turn) -> Iterator[pd.DataFrame]:
-            one_thread()
-            net = Network(words.size, reach)
-            net.load(start)
-            sums = {k: np.full_like(v, 1e-2) for k, v in net.p.items()}
-            xs, ys, size, seen = [], [], 0, 0
-            for pdf in batches:
-                for name, t in zip(pdf["key"], pdf["text"]):
-                    ids = words.ids(split_words(t))
-                    at = np.arange(len(ids), dtype=np.uint64)
-                    chosen = (at * np.uint64(0x9E3779B97F4A7C15) + np.uint64(name & (2**64 - 1)) >> np.uint64(20)) % np.uint64(every) == turn % every
-                    if chosen.any():
-                        xs.append(net.contexts(ids)[chosen])
-                        ys.append(ids[chosen])
-                        size += len(ys[-1])
-                    while size >= batch:
-                        x, y = np.concatenate(xs), np.concatenate(ys)
-                        net.step(x[:batch], y[:batch], sums, rate)
-                        seen += batch
-                        xs, ys, size = [x[batch:]], [y[batch:]], len(y) - batch
-            if size:
-                net.step(np.concatenate(xs), np.concatenate(ys), sums, rate * min(1.0, size / batch))
-                seen += size
-            if seen:
-                yield pd.DataFrame({"part": [TaskContext.get().partitionId()], "n": [float(seen)], "flat": [net.flat().astype("<f4").tobytes()]})
-
-        copies = stage.write(docs.select(F.xxhash64("text").alias("key"), "text").mapInPandas(fit, "part long, n double, flat binary"), "copies")
+    words = _vocabulary(counts, vocabulary, spare, known)
+    network = Network(words.total, reach)
+    all_words = int(words.total.sum())
+    parts = max(1, round(all_words / (rounds * part_words)))
+    hashed = docs.select(F.xxhash64("doc_id", "text").alias("h"), "text")
+    for turn in range(rounds if all_words else 0):
+        mine = hashed.where(F.pmod("h", F.lit(rounds)) == turn).withColumn("part", F.pmod(F.xxhash64("h"), F.lit(parts)))
+        copies = stage.write(mine.groupBy("part").applyInArrow(_fitting(words, network.flat(), reach, batch, rate), "part long, n double, flat binary").where("n > 0"), "copies")
         flat = _average(copies, stage)
         if flat is not None:
             network.load(flat)
     return Scorer(words, network)
 
 
-def rare_shares(counts: DataFrame, words: Vocabulary) -> DataFrame:
-    """(word, share) of every word without a number of its own: the log of its part of its class's count, by counts (word, n) of the whole corpus."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            pdf = pdf[[bytes(w) not in words.number for w in pdf["word"]]]
-            yield pd.DataFrame({"word": pdf["word"], "n": pdf["n"], "class": [zlib.crc32(w) % words.spare for w in pdf["word"]]})
-
-    rare = counts.select("word", "n").mapInPandas(run, "word binary, n long, class int")
-    whole = rare.groupBy("class").agg(F.sum("n").alias("whole"))  # as many rows as classes
-    return rare.join(F.broadcast(whole), "class").select("word", F.log(F.col("n") / F.col("whole")).alias("share"))
+SCORED = "doc_id long, row long, n_words long, log_likelihood double, n_alone long, rest array<struct<word:binary,times:long,number:long>>"
+_REST = pa.list_(pa.struct([("word", pa.binary()), ("times", pa.int64()), ("number", pa.int64())]))
 
 
-def scored(docs: DataFrame, scorer: Scorer, stage: Stage | None = None, counts: DataFrame | None = None) -> DataFrame:
-    """Scores of docs. With counts (word, n) of a corpus that holds all words of docs, rare words are scored as themselves; without, as their class."""
-    spark = docs.sparkSession
-    sent = spark.sparkContext.broadcast(scorer)  # fixed size: set by vocabulary and layers
+def scored(docs: DataFrame, scorer: Scorer, stage: Stage, counts: DataFrame) -> DataFrame:
+    """Scores of docs, with counts (word, n) of the corpus. A word that the corpus doesn't hold counts as held once."""
+    sent = docs.sparkSession.sparkContext.broadcast(scorer)  # fixed size: set by vocabulary and layers
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one_thread()
-        for pdf in batches:
-            got = sent.value.scores(pdf["text"].tolist())
-            n = np.array([g[0] for g in got], dtype=np.int64)
-            s = np.array([g[1] for g in got], dtype=np.float64)
-            yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "key": pdf["key"], "n_words": n, "log_likelihood": s})
-
-    keyed = docs.select("doc_id", F.xxhash64("text").alias("key"), "text")
-    out = keyed.mapInPandas(run, "doc_id long, key long, n_words long, log_likelihood double")
-    if counts is not None:
-        out = stage.write(out, "scores")
-
-        def rare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for pdf in batches:
-                keys, held, times, whole = [], [], [], []
-                for key, t in zip(pdf["key"], pdf["text"]):
-                    c = sent.value.vocabulary.rare(split_words(t))
-                    keys += [key] * len(c)
-                    held += c.keys()
-                    times += c.values()
-                    whole += [c.total()] * len(c)
-                    if len(keys) > 200_000:
-                        yield pd.DataFrame({"key": keys, "word": held, "c": times, "whole": whole})
-                        keys, held, times, whole = [], [], [], []
-                if keys:
-                    yield pd.DataFrame({"key": keys, "word": held, "c": times, "whole": whole})
-
-        # a score depends on the text alone: rows of equal texts are added up and divided by their number, sum(c) / whole
-        shares = rare_shares(counts, scorer.vocabulary)
-        words = keyed.select("key", "text").mapInPandas(rare, "key long, word binary, c long, whole long").join(shares, "word")
-        more = words.groupBy("key").agg((F.sum(F.col("c") * F.col("share")) * F.max("whole") / F.sum("c")).alias("more"))
-        out = stage.write(out.join(stage.write(more, "rare"), "key", "left").withColumn("log_likelihood", F.col("log_likelihood") + F.coalesce("more", F.lit(0.0))), "scored")
-    return out.select("doc_id", "n_words", "log_likelihood", F.when(F.col("n_words") > 0, F.col("log_likelihood") / F.col("n_words")).otherwise(0.0).alias("mean_log_likelihood"))
+        row = TaskContext.get().partitionId() << 40
+        for batch in batches:
+            for part in slices(batch, 1):
+                n, total, alone, (text, word, times, number) = sent.value.scores(part.column(1))
+                rest = pa.StructArray.from_arrays([pa.array(word, pa.binary()), pa.array(times), pa.array(number.astype(np.int64))], names=["word", "times", "number"])
+                rest = pa.ListArray.from_arrays(pa.array(np.searchsorted(text, np.arange(len(n) + 1)).astype(np.int32)), rest)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.arange(row, row + len(n))), pa.array(n), pa.array(total), pa.array(alone.astype(np.int64)), rest], names=["doc_id", "row", "n_words", "log_likelihood", "n_alone", "rest"])
+                row += len(n)
+
+    out = stage.write(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, SCORED), "scores")
+    totals = scorer.vocabulary.total  # one number a class
+    of_class = docs.sparkSession.createDataFrame([(k, int(totals[k])) for k in range(scorer.vocabulary.first_spare, len(totals))], "number long, whole long")
+    rest = out.select("row", F.inline("rest")).join(counts, "word", "left").join(F.broadcast(of_class), "number")
+    n = F.coalesce("n", F.lit(1))
+    more = rest.groupBy("row").agg(F.sum(F.col("times") * F.log(n / F.greatest("whole", F.lit(1)))).alias("more"), F.sum(F.when(n <= F.col("times"), F.col("times")).otherwise(0)).alias("others"))
+    out = out.drop("rest").join(more, "row", "left")
+    ll = F.col("log_likelihood") + F.coalesce("more", F.lit(0.0))
+    return out.select("doc_id", "n_words", ll.alias("log_likelihood"), F.when(F.col("n_words") > 0, ll / F.col("n_words")).otherwise(0.0).alias("mean_log_likelihood"), (F.col("n_alone") + F.coalesce("others", F.lit(0))).alias("n_nowhere_else"))
 
 
 def op7_lm_score(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """Per document (doc_id, text): doc_id, n_words, log_likelihood, mean_log_likelihood, by a network trained on windows of all of them.
+    """Per document (doc_id, text): doc_id, n_words, log_likelihood, mean_log_likelihood, n_nowhere_else, by a network trained on windows of all of them.
 
-    Nulls: a null text is an empty one, with 0 words and score 0; a null doc_id stays null. Repeated rows score alike. A corpus without words leaves the network as it starts. Empty table: no rows.
+    Nulls: a null text is an empty one, with 0 words and score 0; a null doc_id stays null, and others keep all their digits beside it. Repeated rows score alike. A corpus without words leaves the network as it starts. Empty table: no rows.
     Further columns are ignored.
     """
     stage = Stage(spark, "lm-score")
     counts = stage.write(word_counts(docs), "counts")
-    return scored(docs, train(docs.select("text"), stage, counts), stage, counts)
+    return scored(docs, train(docs.select("doc_id", "text"), stage, counts), stage, counts)

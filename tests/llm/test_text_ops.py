@@ -14,7 +14,6 @@ from facet.llm import op2_licences, op9_decontaminate
 from facet.llm.common import Stage, table
 from facet.llm.op3_quality import fit, held_out, op3_quality
 from facet.llm.op4_pii import EMAIL, FULL, KINDS, all_spans, base_spans, luhn, masked, op4_pii, trained, valid
-from facet.llm.op7_lm_score import Network, Scorer, Vocabulary, _average, op7_lm_score, scored, split_words, train, word_counts
 from facet.llm.op10_simhash import anchors, fingerprint, forest, links, one_of_each, op10_simhash
 from facet.llm.tagger import Tagger
 from tests.conftest import TABLES, compare
@@ -143,101 +142,6 @@ def test_personal_data_of_odd_rows(spark, edge, empty):
     assert op4_pii(spark, empty).count() == 0
 
 
-# LM scores
-
-
-def test_probabilities_add_up_and_gradients_hold():
-    n = Network(100, 2, embed=4, hidden=6)
-    n.p = {k: v.astype(np.float64) for k, v in n.p.items()}
-    x = np.random.default_rng(0).integers(0, 100, (5, 4))
-    total = sum(np.exp(n.log_probabilities(x, np.full(5, k))) for k in range(100))
-    assert np.allclose(total, 1, atol=1e-6)
-    y = np.arange(5) * 17
-    before = -n.log_probabilities(x, y).mean()
-    sums = {k: np.full_like(v, 1e-2) for k, v in n.p.items()}
-    for _ in range(60):
-        n.step(x, y, sums, 0.2)
-    assert -n.log_probabilities(x, y).mean() < 0.3 * before
-
-
-def test_a_word_never_sees_itself():
-    n = Network(50, 2)
-    c = n.contexts(np.array([5, 6, 7, 8], dtype=np.int32))
-    assert c.tolist() == [[0, 0, 6, 7], [0, 5, 7, 8], [5, 6, 8, 0], [6, 7, 0, 0]]
-
-
-def test_slices_score_as_the_whole():
-    v = Vocabulary([b"the", b"of"], 7)
-    s = Scorer(v, Network(v.size, 2))
-    t = prose(random.Random(0), 500)
-    ids = v.ids(split_words(t))
-    whole = float(s.network.log_probabilities(s.network.contexts(ids), ids).astype(np.float64).sum())
-    for size in (7, 100, 10_000):
-        assert s.scores([None, t, "", t], size)[1] == (500, pytest.approx(whole, rel=1e-5)) and s.scores([None], size) == [(0, 0.0)]
-
-
-def test_counts_and_averages(spark):
-    docs = spark.createDataFrame([("a B a",), (None,), ("b",)], "text string")
-    assert {bytes(r["word"]): r["n"] for r in word_counts(docs, hold=1).collect()} == {b"a": 2, b"b": 2}
-    parts = [(k, float(k + 1), np.array([k, 1.0], dtype="<f4").tobytes()) for k in range(9)]
-    got = _average(spark.createDataFrame(parts, "part long, n double, flat binary"), Stage(spark, "t"), fan=2)
-    assert got == pytest.approx([sum(k * (k + 1) for k in range(9)) / 45, 1.0])
-
-
-def test_scores_tell_word_order(spark, edge, empty):
-    r = random.Random(4)
-    chain = ["alpha", "beta", "gamma", "delta"]
-    texts = [(i, " ".join(chain[(i + k) % 4] for k in range(60))) for i in range(300)] + [(1000, " ".join(r.choice(chain) for _ in range(60)))]
-    docs = odd(spark, texts)
-    scorer = train(docs.select("text"), Stage(spark, "t"), vocabulary=100, every=1, rounds=3, batch=64)
-    got = {r["doc_id"]: r["mean_log_likelihood"] for r in scored(docs, scorer).collect()}
-    assert min(got[i] for i in range(300)) > got[1000] + 0.3
-    odd_rows = op7_lm_score(spark, edge).collect()
-    assert len(odd_rows) == edge.count() and all(r["log_likelihood"] == 0 for r in odd_rows if r["n_words"] == 0) and all(math.isfinite(r["log_likelihood"]) for r in odd_rows)
-    assert op7_lm_score(spark, empty).count() == 0
-
-
-def test_rare_words_are_scored_as_themselves(spark):
-    r = random.Random(7)
-    texts = [(i, " ".join(r.choice(["often", "seen", "rare" + str(min(r.randrange(40), r.randrange(40)))]) for _ in range(r.randint(1, 60)))) for i in range(50)]
-    texts += [(50, "rare39"), (51, "rare39"), (52, "rare39 rare0 often rare39"), (53, "rare39 rare0 often rare39"), (54, None), (None, "often seen")]
-    docs, stage = odd(spark, texts), Stage(spark, "t")
-    counts = stage.write(word_counts(docs), "counts")
-    scorer = train(docs.select("text"), stage, counts, vocabulary=2, spare=3)
-    v = scorer.vocabulary
-    n = {}
-    for _, t in texts:
-        for w in split_words(t):
-            n[w] = n.get(w, 0) + 1
-    whole = {}
-    for w, k in n.items():
-        if w not in v.number:
-            whole[zlib.crc32(w) % 3] = whole.get(zlib.crc32(w) % 3, 0) + k
-    assert len(whole) == 3
-    share = {w: math.log(k / whole[zlib.crc32(w) % 3]) for w, k in n.items() if w not in v.number}
-    got = sorted(rows(scored(docs, scorer, stage, counts), "doc_id", "n_words", "log_likelihood", "mean_log_likelihood"), key=str)
-    plain = scorer.scores([t for _, t in texts])
-    want = sorted([(i, k, s + sum(share.get(w, 0.0) for w in split_words(t)), (s + sum(share.get(w, 0.0) for w in split_words(t))) / max(k, 1)) for (i, t), (k, s) in zip(texts, plain)], key=str)
-    assert [g[:2] for g in got] == [w[:2] for w in want]
-    assert all(g[2:] == pytest.approx(w[2:], rel=1e-4) for g, w in zip(got, want))
-    # the probabilities of all words at one place add up to one
-    x = scorer.network.contexts(v.ids([b"often", b"seen", b"often"]))[1:2]
-    lp = scorer.network.log_probabilities(np.repeat(x, len(n), axis=0), v.ids(list(n)))
-    beyond = scorer.network.log_probabilities(x, np.zeros(1, np.int32))  # the number of the place beyond a text
-    assert sum(math.exp(a + share.get(w, 0.0)) for a, w in zip(lp, n)) + math.exp(beyond[0]) == pytest.approx(1, abs=1e-3)
-    few = rows(op7_lm_score(spark, docs), "doc_id", "n_words")
-    assert sorted(few, key=str) == [g[:2] for g in got]
-
-
-def test_every_position_is_trained(spark):
-    r = random.Random(6)
-    texts = [(i, prose(r, r.choice([1, 2, 3, 90]))) for i in range(60)]
-    stage = Stage(spark, "t")
-    train(odd(spark, texts).select("text"), stage)
-    trained_on = sum(x["n"] for x in spark.read.parquet(f"{stage.root}/*-copies").collect())
-    assert trained_on == sum(len(t.split()) for _, t in texts)
-
-
 # decontamination
 
 
