@@ -14,9 +14,11 @@ parameters, and the copies are averaged in a tree of shuffles, weighted by windo
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -41,7 +43,8 @@ class Split:
         coded = lists.flatten().dictionary_encode()
         codes, bounds = coded.indices.to_numpy(), lists.offsets.to_numpy()
         bounds = bounds - bounds[0] if len(bounds) else np.zeros(1, np.int64)
-        self.words = coded.dictionary.cast(pa.binary()).to_numpy(zero_copy_only=False).tolist()
+        self.column = coded.dictionary.cast(pa.binary())
+        self.words = self.column.to_numpy(zero_copy_only=False).tolist()
         if b"" in self.words:  # what lies before white space at a text's start, or behind it at its end
             real = codes != self.words.index(b"")
             bounds = np.concatenate([[0], np.cumsum(real)])[bounds]
@@ -98,7 +101,7 @@ class Vocabulary:
 class Network:
     """Parameters as one dictionary of float32 arrays."""
 
-    def __init__(self, total: np.ndarray, reach: int, embed: int = 12, hidden: int = 20, seed: int = 5):
+    def __init__(self, total: np.ndarray, reach: int, embed: int = 8, hidden: int = 12, seed: int = 5):
         """total: how often each number occurs; the outputs start from it."""
         r = np.random.default_rng(seed)
         size = len(total)
@@ -222,7 +225,7 @@ class Scorer:
         for k in range(0, len(ids), at_once):
             lp = net.log_probabilities(net.contexts(padded, at[k : k + at_once]), ids[k : k + at_once])
             total += np.bincount(text_of[k : k + at_once], weights=lp, minlength=n)
-        count = np.array([v.count.get(w, 0) for w in s.words], np.int64)
+        count = np.fromiter(map(v.count.get, s.words, repeat(0)), np.int64, len(s.words))
         with np.errstate(divide="ignore", invalid="ignore"):
             share = np.where((number >= v.first_spare) & (count > 0), np.log(count / np.maximum(1, v.total[number])), 0.0)
         total += np.bincount(text_of, weights=share[s.codes], minlength=n)
@@ -233,7 +236,7 @@ class Scorer:
         text, word = key[first] // max(1, len(s.words)), key[first] % max(1, len(s.words))
         alone = np.bincount(text, weights=np.where(count[word] == times, times, 0), minlength=n)
         rest = count[word] == 0
-        return np.diff(s.bounds), total, alone, (text[rest], [s.words[w] for w in word[rest].tolist()], times[rest], number[word[rest]])
+        return np.diff(s.bounds), total, alone, (text[rest], s.column.take(pa.array(word[rest])), times[rest], number[word[rest]])
 
 
 def _average(copies: DataFrame, stage: Stage, fan: int = 8) -> np.ndarray:
@@ -254,8 +257,17 @@ def _average(copies: DataFrame, stage: Stage, fan: int = 8) -> np.ndarray:
 
 
 def _vocabulary(counts: DataFrame, numbered: int, spare: int, known: int) -> Vocabulary:
-    """Numbers and counts of the commonest words, ties by the word; the totals of the classes come from the rest of the table in one aggregation."""
-    top = counts.orderBy(F.desc("n"), "word").limit(known).collect()  # known: a bound, whatever the corpus
+    """Numbers and counts of the commonest words, ties by the word; the totals of the classes come from the rest of the table in one aggregation.
+
+    The commonest are those at or above the least count that at most `known` words reach: found by how many words have each count, in steps of a sixteenth, so that no task sends more than its share of them."""
+    bucket = F.floor(F.log2("n") * 16)
+    least, held = math.inf, 0
+    for r in counts.groupBy(bucket.alias("b")).agg(F.count(F.lit(1)).alias("words"), F.min("n").alias("least")).orderBy(F.desc("b")).collect():  # 16 rows a doubling
+        held += r["words"]
+        if held > known:
+            break
+        least = r["least"]
+    top = sorted(counts.where(F.col("n") >= least).collect(), key=lambda r: (-r["n"], bytes(r["word"]))) if least < math.inf else []
     words = Vocabulary([bytes(r["word"]) for r in top], [r["n"] for r in top], numbered, spare)
 
     def classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -271,12 +283,16 @@ def _vocabulary(counts: DataFrame, numbered: int, spare: int, known: int) -> Voc
 
 
 def _fitting(words: Vocabulary, start: np.ndarray, reach: int, batch: int, rate: float):
-    """Trains a copy of the network on the windows of one part: a table of (h, text, part)."""
+    """Trains a copy of the network on the windows of one part: a task's rows (h, text)."""
 
-    def fit(table: pa.Table) -> pa.Table:
+    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one_thread()
+        held = list(batches)
+        if not sum(b.num_rows for b in held):
+            return
+        table, part = pa.Table.from_batches(held).combine_chunks(), TaskContext.get().partitionId()
         order = np.argsort(table.column("h").to_numpy(), kind="stable")
-        texts, part = table.column("text").combine_chunks(), int(table.column("part")[0].as_py())
+        texts = table.column("text").combine_chunks()
         padded, places, used = [], [], 0
         net = Network(words.total, reach)
         net.load(start)
@@ -293,14 +309,15 @@ def _fitting(words: Vocabulary, start: np.ndarray, reach: int, batch: int, rate:
         for k in range(0, len(places), batch):
             at = places[k : k + batch]
             net.step(net.contexts(padded, at), padded[at], sums, rate * min(1.0, len(at) / batch))
-        return pa.table({"part": [part], "n": [float(len(places))], "flat": [net.flat().astype("<f4").tobytes()]})
+        if len(places):
+            yield pa.RecordBatch.from_pydict({"part": [part], "n": [float(len(places))], "flat": [net.flat().astype("<f4").tobytes()]})
 
     return fit
 
 
 def train(
     docs: DataFrame, stage: Stage, counts: DataFrame | None = None, vocabulary: int = 3968, spare: int = 127, known: int = 60_000, reach: int = 2,
-    rounds: int = 2, part_words: int = 4_000_000, batch: int = 4096, rate: float = 0.25,
+    rounds: int = 2, part_words: int = 3_000_000, batch: int = 8192, rate: float = 0.5,
 ) -> Scorer:
     """docs: (doc_id, text)."""
     counts = stage.write(word_counts(docs), "counts") if counts is None else counts
@@ -310,8 +327,8 @@ def train(
     parts = max(1, round(all_words / (rounds * part_words)))
     hashed = docs.select(F.xxhash64("doc_id", "text").alias("h"), "text")
     for turn in range(rounds if all_words else 0):
-        mine = hashed.where(F.pmod("h", F.lit(rounds)) == turn).withColumn("part", F.pmod(F.xxhash64("h"), F.lit(parts)))
-        copies = stage.write(mine.groupBy("part").applyInArrow(_fitting(words, network.flat(), reach, batch, rate), "part long, n double, flat binary").where("n > 0"), "copies")
+        mine = hashed.where(F.pmod("h", F.lit(rounds)) == turn).repartitionById(parts, F.pmod(F.xxhash64("h"), F.lit(parts)).cast("int"))
+        copies = stage.write(mine.mapInArrow(_fitting(words, network.flat(), reach, batch, rate), "part long, n double, flat binary"), "copies")
         flat = _average(copies, stage)
         if flat is not None:
             network.load(flat)
@@ -332,7 +349,7 @@ def scored(docs: DataFrame, scorer: Scorer, stage: Stage, counts: DataFrame) ->
         for batch in batches:
             for part in slices(batch, 1):
                 n, total, alone, (text, word, times, number) = sent.value.scores(part.column(1))
-                rest = pa.StructArray.from_arrays([pa.array(word, pa.binary()), pa.array(times), pa.array(number.astype(np.int64))], names=["word", "times", "number"])
+                rest = pa.StructArray.from_arrays([word, pa.array(times), pa.array(number.astype(np.int64))], names=["word", "times", "number"])
                 rest = pa.ListArray.from_arrays(pa.array(np.searchsorted(text, np.arange(len(n) + 1)).astype(np.int32)), rest)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.arange(row, row + len(n))), pa.array(n), pa.array(total), pa.array(alone.astype(np.int64)), rest], names=["doc_id", "row", "n_words", "log_likelihood", "n_alone", "rest"])
                 row += len(n)

@@ -90,7 +90,7 @@ def test_scores_equal_a_plain_computation(spark):
     counts = stage.write(word_counts(docs, hold=3), "counts")
     plain = Counter(x for _, t in texts for x in words(t))
     assert {bytes(c["word"]): c["n"] for c in counts.collect()} == plain
-    for known in (2, 20, 60_000):  # counts of rare words joined, some of them, none
+    for known in (0, 2, 20, 60_000):  # counts of rare words joined, some of them, none
         scorer = train(docs.select("doc_id", "text"), stage, counts, vocabulary=2, spare=3, known=known, part_words=300, batch=64)
         got = {(g[0], g[1]): g for g in rows(scored(docs, scorer, stage, counts), "doc_id", "n_words", "log_likelihood", "mean_log_likelihood", "n_nowhere_else")}
         assert len({g[0] for g in got}) == len({i for i, _ in texts})
