@@ -316,8 +316,8 @@ def _fitting(words: Vocabulary, start: np.ndarray, reach: int, batch: int, rate:
 
 
 def train(
-    docs: DataFrame, stage: Stage, counts: DataFrame | None = None, vocabulary: int = 3968, spare: int = 127, known: int = 60_000, reach: int = 2,
-    rounds: int = 2, part_words: int = 3_000_000, batch: int = 8192, rate: float = 0.5,
+    docs: DataFrame, stage: Stage, counts: DataFrame | None = None, vocabulary: int = 3968, spare: int = 127, known: int = 150_000, reach: int = 2,
+    rounds: int = 2, part_words: int = 2_000_000, batch: int = 8192, rate: float = 0.5,
 ) -> Scorer:
     """docs: (doc_id, text)."""
     counts = stage.write(word_counts(docs), "counts") if counts is None else counts

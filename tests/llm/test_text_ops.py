@@ -13,7 +13,7 @@ import xxhash
 from facet.llm import op2_licences, op9_decontaminate
 from facet.llm.common import Stage, table
 from facet.llm.op3_quality import fit, held_out, op3_quality
-from facet.llm.op4_pii import EMAIL, FULL, KINDS, all_spans, base_spans, luhn, masked, op4_pii, trained, valid
+from facet.llm.op4_pii import EMAIL, FULL, KINDS, STRIDE, WINDOW, all_spans, base_spans, cards_within, joined, luhn, masked, op4_pii, spans_of, trained, valid
 from facet.llm.op10_simhash import anchors, fingerprint, forest, links, one_of_each, op10_simhash
 from facet.llm.tagger import Tagger
 from tests.conftest import TABLES, compare
@@ -126,6 +126,73 @@ def test_the_network_finds_spans_and_adds_what_greed_loses():
     assert masked(t, spans) == "pay <CARD> <CARD> now"
 
 
+@pytest.mark.parametrize(
+    "text, kind, span",
+    [
+        ("x 4111 1111 1111 1111 4111 1111 1111 1111 y", "card", ["4111 1111 1111 1111"] * 2),
+        ("call (017) 555-7713 now", "phone", ["(017) 555-7713"]),
+        ("ip 2001:0db8:85a3:0000:0000:8a2e:0370:7334 end", "ip", ["2001:0db8:85a3:0000:0000:8a2e:0370:7334"]),
+        ('API_TOKEN = "9233A8ECF7C5B09FE5949719B6B82BC439E9329B"!!', "secret", ["9233A8ECF7C5B09FE5949719B6B82BC439E9329B"]),
+        ("commit 9fceb02d0ae598e95dc970b74767f19372d61af8 was", "secret", []),
+        ("a number 4111111111111112 that no check passes", "card", []),
+        ("2024-01-02 12:30 v1.2.3 page 1234 of 123456", "card", []),
+    ],
+)
+def test_what_no_pattern_finds(text, kind, span):
+    base, spans = all_spans([text], trained())[0]
+    assert base == [] and [text[a:b] for _, a, b in spans] == span and all(KINDS[k] == kind for k, _, _ in spans)
+
+
+def test_secrets_of_documents_are_found_and_others_left_alone():
+    texts = _documents("/root/testdata/sf0.1")
+    got = [x for k in range(0, len(texts), 1000) for x in all_spans(texts[k : k + 1000], trained())]
+    wanted = found = 0
+    for t, (base, spans) in zip(texts, got):
+        secrets = {m.span(1) for m in re.finditer('(?i)token = "([0-9a-f]{40})"', t)}
+        mine = {(a, b) for k, a, b in spans if KINDS[k] == "secret"}
+        assert set(base) <= set(spans) and mine <= secrets
+        wanted, found = wanted + len(secrets), found + len(mine)
+    assert wanted > 100 and found > 0.95 * wanted
+
+
+def test_windows_are_joined_for_spans_of_any_length():
+    """Windows cut from known tags, as the decoder would give them, give the spans of the whole, however long."""
+    r = np.random.default_rng(8)
+    for _ in range(200):
+        n = int(r.integers(1, 700))
+        tags, spans, at = np.zeros(n, np.int8), [], 0
+        while (at := at + int(r.integers(0, 30))) < n:
+            end, kind = min(n, at + int(r.integers(1, 300))), int(r.integers(0, len(KINDS)))
+            tags[at:end] = 2 + 2 * kind
+            tags[at] = 1 + 2 * kind
+            spans.append((kind, 7 + at, 7 + end))
+            at = end
+        windows, start = [], 0
+        while True:
+            end = min(n, start + WINDOW)
+            windows.append((start, tags[start:end], np.ones(end - start)))
+            if end == n:
+                break
+            start += STRIDE
+        whole, sure = joined(windows)
+        assert (whole == tags).all() and [s for _, s in spans_of(whole, sure, 7)] == spans
+
+
+def test_card_numbers_in_runs_against_all_cuts():
+    r = random.Random(9)
+
+    def card(n=16):
+        d = "".join(r.choice("0123456789") for _ in range(n - 1))
+        return next(d + c for c in "0123456789" if luhn(d + c))
+
+    for _ in range(200):
+        cards = [card() for _ in range(r.randint(2, 4))]
+        for text in (" ".join(cards), " ".join(" ".join(c[k : k + 4] for k in range(0, 16, 4)) for c in cards), "".join(cards)):
+            got = [text[a:b].replace(" ", "") for a, b in cards_within(text)]
+            assert got == cards
+    assert cards_within("4111111111111112") == [] == cards_within("1" * 31)
+
+
 def _documents(sf):
     import pyarrow.parquet as pq
 
@@ -140,6 +207,8 @@ def test_personal_data_of_odd_rows(spark, edge, empty):
         want = sorted((str(r["doc_id"]), hashlib.sha256(",".join(f"{KINDS[k]}:{a}:{b}" for k, a, b in base_spans(r["text"])).encode()).hexdigest()) for r in texts)
         assert sorted((str(r["doc_id"]), r["base_sha256"]) for r in got) == want
     assert op4_pii(spark, empty).count() == 0
+    big = spark.createDataFrame([(2**60 + 1, "a"), (2**60 + 2, "b@c.de"), (None, "c")], "doc_id long, text string").coalesce(1)
+    assert sorted((r["doc_id"] or 0, r["n_email"]) for r in op4_pii(spark, big).collect()) == [(0, 0), (2**60 + 1, 0), (2**60 + 2, 1)]
 
 
 # decontamination
