@@ -240,6 +240,52 @@ def test_passages_with_small_changes_are_found(spark, edge, empty):
     assert op9_decontaminate.clean(edge, items.limit(0), Stage(spark, "t")).count() == edge.count()
 
 
+def test_blocks_meet_all_pairs_within_the_radius(spark):
+    """Against all pairs: each within the radius is met once, none beyond it; and few random pairs meet in any block."""
+    r = random.Random(12)
+    signed = lambda x: x - 2**64 if x >= 2**63 else x
+    items = [(k, 10 + k % 2, signed(r.getrandbits(64))) for k in range(12)]
+    prints = {(10 + k % 2, signed(r.getrandbits(64))) for k in range(500)}
+    for _, n, f in items:
+        for bits in range(0, 24):
+            x = f % 2**64
+            for b in r.sample(range(64), bits):
+                x ^= 1 << b
+            prints.add((n, signed(x)))
+        # as unlike as the radius allows, spread over the blocks
+        prints.add((n, signed(f % 2**64 ^ 0x7000F000F000F)))
+    prints = sorted(prints)
+    differ = lambda a, b: ((a ^ b) % 2**64).bit_count()
+    want = sorted((n, wf, i) for n, wf in prints for i, m, f in items if n == m and differ(wf, f) <= op9_decontaminate.RADIUS)
+    got = op9_decontaminate.met(spark.createDataFrame(prints, "n int, wf long"), spark.createDataFrame(items, "item_id long, n int, f long"))
+    assert sorted(rows(got, "n", "wf", "item_id")) == want
+    share = sum(any(((a >> 16 * k ^ b >> 16 * k) & 0xFFFF).bit_count() <= op9_decontaminate.NEAR for k in range(4)) for a, b in ((r.getrandbits(64), r.getrandbits(64)) for _ in range(20_000))) / 20_000
+    print(f"random pairs that meet: {share:.3f}")
+    assert share < 0.05
+
+
+@pytest.mark.parametrize("size", [16, 24, 35, 58])
+def test_changed_items_are_found_by_size(spark, size):
+    """Items with words replaced, near the ends of short ones, similarity 0.8 or more by the exact shingles: at least 95 of 100 are found."""
+    r = random.Random(size)
+    items = [(k, prose(r, size)) for k in range(30)]
+    texts, want = [], set()
+    for k, t in items:
+        for _ in range(25):
+            w = t.split()
+            edge_words = [0, 1, size - 2, size - 1]
+            for at in r.sample(range(size) if size > 30 else edge_words, r.randint(1, max(1, size // 20))):
+                w[at] = f"new{r.randrange(10**6)}"
+            old, new = ([tuple(x[j : j + 5]) for j in range(size - 4)] for x in (t.split(), w))
+            same = sum(a == b for a, b in zip(old, new))
+            texts.append((len(texts), prose(r, 30) + " " + " ".join(w) + " " + prose(r, 30)))
+            if same / (2 * len(old) - same) >= 0.8:
+                want.add((len(texts) - 1, k))
+    got = set(rows(op9_decontaminate.op9_decontaminate(spark, odd(spark, texts), spark.createDataFrame(items, "item_id long, text string")), "doc_id", "item_id"))
+    print(f"{size} words: {len(want & got)} of {len(want)} found")
+    assert len(want) > 9 and len(want & got) >= 0.95 * len(want)
+
+
 def test_fingerprints_count_bits(spark):
     from pyspark.sql import functions as F
 
