@@ -152,19 +152,19 @@ def op8_topk(spark: SparkSession, vectors: DataFrame, k: int = 20, query_every:
     """Each query's k best rows by integer inner product of floor(scale * x).
 
     Rows with a null vec_id, a null vector, or null or non-finite components take no part. A vector is compared with those of its own length. Ties go to
-    the smaller vec_id. A repeated row (same vec_id and vector) is one row; one vec_id must not have two vectors. Empty table: no rows. Further
+    the smaller vec_id. A repeated row (same vec_id and vector) is one row; of several vectors of one vec_id the least takes part, in the order of arrays. Empty table: no rows. Further
     columns are ignored. A query with fewer than k others gets them all.
     """
     v = F.transform("embedding", lambda x: F.floor(x.cast("double") * scale).cast("double"))
     ok = ~F.exists("embedding", lambda x: x.isNull() | F.isnan(x.cast("double")) | (F.abs(x.cast("double")) == float("inf")))
     rows = vectors.select("vec_id", "embedding").where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & ok)
-    rows = rows.select("vec_id", v.alias("v")).groupBy("vec_id").agg(F.first("v").alias("v"))
+    rows = rows.select("vec_id", v.alias("v")).groupBy("vec_id").agg(F.min("v").alias("v"))
     return top_k(rows, k, query_every, Stage(spark, "topk"))
 
 
 ORACLE_SQL = """
 WITH v AS (
-  SELECT vec_id, any_value(list_transform(embedding, lambda x: floor(64 * CAST(x AS DOUBLE)))) AS e
+  SELECT vec_id, min(list_transform(embedding, lambda x: floor(64 * CAST(x AS DOUBLE)))) AS e
   FROM embeddings
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
   GROUP BY vec_id),
