@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Row, SparkSession
 
 from .operators import relational as R
 from .optimizer import layouts as L
-from .optimizer.adaptive import AdaptiveDriver, Experiment, serves
+from .optimizer.adaptive import AdaptiveDriver, Experiment, Proposal, serves
 from .optimizer.registry import at_level, cache_size
 from .optimizer.telemetry import Telemetry
 from .optimizer.views import View
@@ -41,12 +41,20 @@ class Engine:
         self.telemetry = Telemetry()
         self.driver = driver
         self.experiment: Experiment | None = None
+        self.promoted: list[tuple[Proposal, int, int]] = []  # with the cycle and the uses when it was last used
+        self.codec: str | None = None
         self.set_level(level)
 
     def set_level(self, level: int, on: tuple[str, ...] = (), off: tuple[str, ...] = ()) -> None:
         self.level, self.on = level, set(at_level(level, on, off))
-        if "record_compression" in self.on:
-            self.spark.conf.set("spark.sql.parquet.compression.codec", "zstd")
+        # the session's codec is changed while the optimization is on, and put back when it goes off
+        codec = "spark.sql.parquet.compression.codec"
+        if "record_compression" in self.on and self.codec is None:
+            self.codec = self.spark.conf.get(codec)
+            self.spark.conf.set(codec, "zstd")
+        elif "record_compression" not in self.on and self.codec is not None:
+            self.spark.conf.set(codec, self.codec)
+            self.codec = None
         if "result_cache" not in self.on:
             self._forget()
 
@@ -100,8 +108,34 @@ class Engine:
                 v.build(self.rows(v.collection), self.epoch(v.collection))
 
     def verify(self) -> dict[str, bool]:
-        """Every current layout against the rows."""
-        return {x.name: L.verify(x, self.rows(x.collection)) for x in self.layouts if x.epoch == self.epoch(x.collection)}
+        """Every current layout and view against the rows."""
+        out = {x.name: L.verify(x, self.rows(x.collection)) for x in self.layouts if x.epoch == self.epoch(x.collection)}
+        for v in self.views:
+            if v.exact and v.epoch == self.epoch(v.collection):
+                anew = View(v.collection, v.group_by, v.aggs).build(self.rows(v.collection), v.epoch)
+                out[f"view({','.join(v.group_by)})"] = anew.exact and L.same_rows(anew.answer().df, v.answer().df)
+                anew.state.unpersist()
+        return out
+
+    def retract(self) -> None:
+        """Takes back promoted changes that no longer pay: their measured gain is under what is worth keeping, or no query has read them for `unused_after` cycles."""
+        d = self.driver
+        for k, (p, cycle, uses) in list(enumerate(self.promoted))[::-1]:
+            change = p.change
+            used = change.uses
+            if used > uses:
+                self.promoted[k] = (p, d.cycle, used)
+                cycle = d.cycle
+            why = "its gain is too small to keep" if not d.worth_keeping(p) else f"unused for {d.cycle - cycle} cycles" if d.cycle - cycle >= d.settings.unused_after else ""
+            if why:
+                del self.promoted[k]
+                if isinstance(change, View):
+                    self.views.remove(change)
+                    change.state.unpersist()
+                elif change in self.layouts:
+                    self.drop_layout(change)
+                d.retracted[p.key] = d.cycle
+                d.note(p.optimization, p.key, "retracted", why)
 
     def _root(self) -> str:
         if self.root is None:
@@ -199,6 +233,7 @@ class Engine:
         if not any(isinstance(x, Join) for x in plan.walk()):
             for v in self.views:
                 if v.answers(plan, self.epoch(v.collection)):
+                    v.uses += 1
                     return v.answer()
         return compile_plan(plan, lambda name, p: self._read(name, p, layouts), self.exact_sums)
 
@@ -223,7 +258,7 @@ class Engine:
         if choice is None:
             return self.rows(name)
         choice.uses += 1
-        return choice.df
+        return L.read(choice, plan)
 
     def explain(self, plan: Op | str) -> str:
         """The plan, what it reads and why, and Spark's physical plan."""
@@ -257,19 +292,24 @@ class Engine:
             if e.advance() in ("promoted", "reverted") or e.state in ("promoted", "reverted"):
                 change = e.proposal.change
                 if e.state == "promoted":
+                    self.promoted.append((e.proposal, d.cycle, change.uses))
                     (self.views if isinstance(change, View) else self.layouts).append(change)
                 elif isinstance(change, L.Layout):
                     L.drop(change)
                 d.finished(e)
                 self.experiment = None
             return [str(x) for x in d.log[before:]]
-        have = {f"{o}:{x.collection}:{x.name}" for x in self.layouts for o in ("auto_index", "auto_composite_index", "auto_covering_index", "direct_lookup")}
+        self.retract()
+        have = {f"{o}:{x.collection}:{x.name}" for x in self.layouts for o in ("auto_index", "auto_composite_index", "auto_covering_index", "direct_lookup", "column_store")}
+        have |= {f"auto_index:{x.collection}:bucketed({x.fields[0]})" for x in self.layouts if x.kind == "bitmap"}
         have |= {f"materialized_view:{v.collection}:" + ",".join([*v.group_by, *[f"{a.kind}({a.field})" for a in v.aggs]]) for v in self.views}
         for p in d.consider(self.telemetry, have)[:1]:
             rows, epoch = self.rows(p.collection), self.epoch(p.collection)
             if isinstance(p.change, View):
                 p.change.build(rows, epoch)
             else:
+                if p.optimization == "auto_index" and p.change.kind == "bucketed" and L.bitmap_serves(rows, p.change.fields[0]):
+                    p.change.kind = "bitmap"
                 L.build(p.change, rows, epoch, self._root())
             self.experiment = Experiment(p, d.settings)
             self.experiment.built()

@@ -35,6 +35,7 @@ class Settings:
     p99_most: float = 1.10
     early_p50_most: float = 1.50
     stall_after: int = 250
+    unused_after: int = 50
 
 
 @dataclass
@@ -143,6 +144,12 @@ def propose(t: Telemetry, have: set[str], least: int) -> list[Proposal]:
     for key, plan in t.aggregates.items():
         if (v := View.of(plan)) and t.asked[key]:
             add("materialized_view", v.collection, v, t.asked[key], f"asked {t.asked[key]} times")
+    asked: dict[str, int] = {}
+    for key, plan in t.aggregates.items():
+        for c in plan.collections():
+            asked[c] = asked.get(c, 0) + t.asked[key]
+    for c, n in asked.items():
+        add("column_store", c, Layout("cached", c), n, f"{n} aggregates over its rows")
     for c, n in t.by_id.items():
         add("direct_lookup", c, Layout("direct", c), n, f"{n} lookups by id")
     return out

@@ -24,7 +24,7 @@ REGISTRY = {
         Optimization("result_cache", 1, "keeps a persisted result for the same query at the same epoch", 0.9, 0.3, 0.0),
         Optimization("auto_index", 2, "a bucketed copy for equality, a sorted one for ranges", 0.7, 0.4, 0.0),
         Optimization("record_compression", 2, "zstd instead of the default codec for new copies", 0.2, 0.1, 0.0, additive=False),
-        Optimization("buffer_pool", 3, "keeps more of the memory for cached rows", 0.3, 0.4, 0.0, additive=False),
+        Optimization("buffer_pool", 3, "Spark places and evicts cached blocks by itself; nothing to switch", 0.0, 0.0, 0.0, additive=False),
         Optimization("prefetch", 3, "the Parquet reader reads ahead by itself; nothing to switch", 0.0, 0.0, 0.0, additive=False),
         Optimization("column_store", 4, "a cached columnar copy", 0.6, 0.5, 0.0),
         Optimization("delta_encoding", 4, "a sorted copy with delta-packed whole numbers", 0.3, 0.2, 0.0),

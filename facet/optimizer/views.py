@@ -26,6 +26,7 @@ class View:
     epoch: int = -1
     state: DataFrame | None = field(default=None, repr=False)
     exact: bool = False
+    uses: int = 0
 
     @staticmethod
     def of(plan: Op) -> View | None:

@@ -12,6 +12,7 @@ from .engine import Engine
 from .functions.expr import And, Arith, Compare, In, IsNull, Lit, Not, Or, f
 from .plans.logical import SortKey, count, get, get_many, over, query_spec, scan
 from .sources.shared import shared_dir
+from .sources.store import Store
 
 IDS = {"region": "r_regionkey", "nation": "n_nationkey", "customer": "c_custkey", "supplier": "s_suppkey", "part": "p_partkey", "orders": "o_orderkey", "events": "event_id"}
 
@@ -176,8 +177,10 @@ _GROUPS = "SELECT p_brand, COUNT(*) AS n, CAST(SUM(p_size) AS DOUBLE) AS size, C
 
 def _with(kind: str, collection: str, fields, query: Callable, covers=None, condition=None) -> Callable[[Engine], DataFrame]:
     def build(e: Engine) -> DataFrame:
-        e.add_layout(kind, collection, fields, covers, condition)
-        return e.query(query())
+        x = e.add_layout(kind, collection, fields, covers, condition)
+        out = e.query(query())
+        assert x.uses, f"{x.name} was not read"
+        return out
 
     return build
 
@@ -189,13 +192,17 @@ through("covering_range", _with("covering", "orders", ["o_totalprice"], _RANGE,
 through("covering_lookup", _with("covering", "orders", ["o_custkey"], lambda: _POINT().project("o_totalprice"), ["o_totalprice"]), "SELECT o_totalprice FROM orders WHERE o_custkey = 7", "orders")
 through("composite_lookup", _with("bucketed", "customer", ["c_nationkey", "c_mktsegment"], lambda: scan("customer").filter((f("c_nationkey") == 3) & (f("c_mktsegment") == "MACHINERY"))), "SELECT * FROM customer WHERE c_nationkey = 3 AND c_mktsegment = 'MACHINERY'", "customer")
 through("partial_copy", _with("partial", "orders", ["o_orderkey"], lambda: scan("orders").filter((f("o_orderstatus") == "F") & (f("o_totalprice") > 250_000.0)), None, f("o_orderstatus") == "F"), "SELECT * FROM orders WHERE o_orderstatus = 'F' AND o_totalprice > 250000.0", "orders")
+through("bitmap_equality", _with("bitmap", "customer", ["c_mktsegment"], lambda: scan("customer").filter((f("c_mktsegment") == "BUILDING") & (f("c_acctbal") > 0.0))), "SELECT * FROM customer WHERE c_mktsegment = 'BUILDING' AND c_acctbal > 0.0", "customer")
+through("bitmap_whole_number", _with("bitmap", "customer", ["c_nationkey"], lambda: scan("customer").filter(f("c_nationkey") == 7)), "SELECT * FROM customer WHERE c_nationkey = 7", "customer")
 through("direct_lookup", _with("direct", "customer", [], lambda: get("customer", 99)), f"SELECT {CUSTOMER} FROM customer WHERE c_custkey = 99", "customer")
 through("column_store_agg", _with("cached", "part", [], _VIEW), _GROUPS, "part")
 
 
 def _view(e: Engine) -> DataFrame:
-    e.add_view(_VIEW())
-    return e.query(_VIEW())
+    v = e.add_view(_VIEW())
+    out = e.query(_VIEW())
+    assert v.uses and all(e.verify().values())
+    return out
 
 
 def _view_after_writes(e: Engine) -> DataFrame:
@@ -221,6 +228,74 @@ through("view_after_writes", _view_after_writes, _GROUPS.replace("FROM part", "F
 through("cached_repeat", _cached_repeat, "SELECT p_brand, COUNT(*) AS n FROM part WHERE p_size > 30 GROUP BY p_brand", "part", level=3)
 through("shard_merge_group", lambda e: (e.register("orders", e.rows("orders").repartition(7, "_id")), e.query(scan("orders").aggregate(["o_orderstatus"], count(output="n"), over("sum", "o_totalprice", "total"))))[1], f"SELECT o_orderstatus, COUNT(*) AS n, {SUM.format('o_totalprice')} AS total FROM orders GROUP BY o_orderstatus", "orders")
 
+
+def _plain_sums(e: Engine) -> DataFrame:
+    """Sums and means of doubles as Spark adds them; whole values, so that the order of rows doesn't show."""
+    e.exact_sums = None
+    return e.query(scan("lineitem").aggregate(["l_returnflag"], over("sum", "l_quantity", "quantity"), over("avg", "l_quantity", "mean")))
+
+
+through("agg_plain_doubles", _plain_sums, "SELECT l_returnflag, SUM(l_quantity) AS quantity, SUM(l_quantity) / COUNT(l_quantity) AS mean FROM lineitem GROUP BY l_returnflag", "lineitem")
+
+# the store
+_KEPT = "SELECT s_suppkey AS _id, s_suppkey, s_name, s_acctbal FROM supplier"
+
+
+def _stored(steps: Callable) -> Query:
+    """A collection of suppliers in a store of its own, some steps on it, and what it holds then."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        store = Store(spark, f"{shared_dir(spark)}/store-{uuid.uuid4().hex}")
+        store.create_collection("s")
+        rows = spark.read.parquet(f"{sf_dir}/supplier.parquet").selectExpr("s_suppkey as _id", "s_suppkey", "s_name", "s_acctbal")
+        store.insert_batch("s", rows)
+        version = steps(store)
+        return store.scan("s", version).select("_id", "s_suppkey", "s_name", "s_acctbal")
+
+    return run
+
+
+def _in_one_transaction(store: Store) -> None:
+    with store.begin() as t:
+        t.delete("s", 1)
+        t.update("s", 2, {"s_suppkey": 2, "s_name": "two", "s_acctbal": 2.0})
+        t.insert("s", 1_000_001, {"s_suppkey": 1_000_001, "s_name": "new", "s_acctbal": 0.5})
+    aborted = store.begin()
+    aborted.delete("s", 3)
+    aborted.abort()
+
+
+def _many_segments(store: Store) -> None:
+    store.compact_after = 5
+    for k in range(1, 9):
+        store.update("s", k % 4, {"s_suppkey": k % 4, "s_name": f"again {k}", "s_acctbal": float(k)})
+
+
+def _snapshot_of(store: Store) -> int:
+    then = store.snapshot()
+    store.delete("s", 5)
+    return then
+
+
+def _restored(store: Store) -> None:
+    then = store.snapshot()
+    for k in (4, 5, 6):
+        store.delete("s", k)
+    store.restore(then)
+
+
+_AGAIN = "VALUES (1, 1, 'again 5', 5.0), (2, 2, 'again 6', 6.0), (3, 3, 'again 7', 7.0), (0, 0, 'again 8', 8.0)"
+for _name, _steps, _sql in (
+    ("store_insert", lambda s: s.insert("s", 1_000_000, {"s_suppkey": 1_000_000, "s_name": "more", "s_acctbal": 1.5}) and None, f"{_KEPT} UNION ALL SELECT 1000000, 1000000, 'more', 1.5"),
+    ("store_update", lambda s: s.update("s", 7, {"s_suppkey": 7, "s_name": "seven"}) and None, f"{_KEPT} WHERE s_suppkey <> 7 UNION ALL SELECT 7, 7, 'seven', NULL"),
+    ("store_delete", lambda s: s.delete("s", 7) and None, f"{_KEPT} WHERE s_suppkey <> 7"),
+    ("store_transaction", _in_one_transaction, f"{_KEPT} WHERE s_suppkey NOT IN (1, 2) UNION ALL SELECT 2, 2, 'two', 2.0 UNION ALL SELECT 1000001, 1000001, 'new', 0.5"),
+    ("store_segments_compacted", _many_segments, f"{_KEPT} WHERE s_suppkey NOT IN (0, 1, 2, 3) UNION ALL SELECT * FROM ({_AGAIN}) v(a, b, c, d)"),
+    ("store_snapshot", _snapshot_of, _KEPT),
+    ("store_restore", _restored, _KEPT),
+):
+    QUERIES[_name], ORACLES[_name] = _stored(_steps), _sql
+
 # the benchmark's mixes
 plan("bench_point_sort_limit", lambda: scan("orders").filter(f("o_orderstatus") == "F").sort(SortKey("o_totalprice", True)).limit(20), "SELECT * FROM orders WHERE o_orderstatus = 'F' ORDER BY o_totalprice DESC, o_orderkey LIMIT 20", "orders")
 plan("bench_range_limit", lambda: scan("orders").filter((f("o_totalprice") >= 100_000.0) & (f("o_totalprice") < 105_000.0)).limit(50), "SELECT * FROM orders WHERE o_totalprice >= 100000.0 AND o_totalprice < 105000.0 ORDER BY o_orderkey LIMIT 50", "orders")

@@ -8,10 +8,12 @@ from pyspark.sql import SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or, only where that is unset (local tests), a temporary folder."""
+    """spark.checkpoint.dir, or, only where that is unset and Spark runs in this one process, a temporary folder. Raises ValueError where it is unset on a cluster."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if base:
         return base.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     if not hasattr(shared_dir, "local"):
         shared_dir.local = tempfile.mkdtemp(prefix="facet-")
     return f"file://{shared_dir.local}"

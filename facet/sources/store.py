@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import contextlib
 import json
+import time
 import uuid
 from collections.abc import Iterable
 
@@ -44,6 +45,18 @@ class Conflict(StoreError):
     pass
 
 
+#: Working columns of a read.
+_SEGMENT, _GONE = "_facet_segment", "_facet_gone"
+
+
+def _among(df: DataFrame, ids: Iterable[int]) -> DataFrame:
+    """The rows of some ids: a pushed filter while they are few, a join beyond that."""
+    ids = list(ids)
+    if len(ids) <= 100:
+        return df.where(F.col(ID).isin(ids))
+    return df.join(df.sparkSession.createDataFrame([(i,) for i in ids], f"{ID} long").distinct(), ID, "left_semi")
+
+
 class Files:
     """The few file operations the store needs, through Hadoop's file systems, so that a path may lie anywhere Spark reads."""
 
@@ -55,7 +68,8 @@ class Files:
         return self.jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}" if name else self.root)
 
     def create(self, name: str, data: str) -> bool:
-        """Creates a file with its whole content, or returns False if it is there: written aside, then renamed."""
+        """Creates a file with its whole content, or returns False if it is there: written aside, then renamed. Two writers can't both win where a rename fails if its target is there, as on HDFS and local folders;
+        an object store without such a rename needs a single writer."""
         if self.fs.exists(self.path(name)):
             return False
         aside = f"{name}.{uuid.uuid4().hex}"
@@ -83,6 +97,11 @@ class Files:
         p = self.path(folder)
         return [s.getPath().getName() for s in self.fs.listStatus(p)] if self.fs.exists(p) else []
 
+    def ages(self, folder: str) -> list[tuple[str, float]]:
+        """(name, seconds since it was last written)."""
+        p = self.path(folder)
+        return [(s.getPath().getName(), time.time() - s.getModificationTime() / 1000) for s in self.fs.listStatus(p)] if self.fs.exists(p) else []
+
     def delete(self, name: str) -> None:
         self.fs.delete(self.path(name), True)
 
@@ -93,8 +112,9 @@ class Files:
 class Store:
     """create_collection, insert, update (an upsert), delete, get, scan, transactions, snapshots, unique constraints."""
 
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.files = spark, Files(spark, root)
+    def __init__(self, spark: SparkSession, root: str, compact_after: int = 32):
+        """compact_after: a commit that leaves a collection with so many segments compacts it."""
+        self.spark, self.files, self.compact_after = spark, Files(spark, root), compact_after
         if not self.files.names("manifests"):
             self.files.create("manifests/0.json", json.dumps({"version": 0, "collections": {}}))
 
@@ -193,18 +213,20 @@ class Store:
             names = {f.name for f in fields.fields}
             fields = T.StructType([*fields.fields, *[f for f in stored.fields if f.name not in names]])
         schema = T.StructType([T.StructField(ID, T.LongType(), False), *[T.StructField(f.name, f.dataType, True) for f in fields.fields]])
-        out = None
-        gone: DataFrame | None = None
-        for s in reversed(c["segments"]):
-            df = spark.read.schema(schema).parquet(f"{self.files.root}/{s['data']}") if s["data"] else None
-            if df is not None:
-                if gone is not None:
-                    df = df.join(gone, ID, "left_anti")
+        # a row lives unless a later segment names its id among those it replaced: one join, however many segments there are
+        out = gone = None
+        for k, seg in enumerate(c["segments"]):
+            if seg["data"]:
+                df = spark.read.schema(schema).parquet(f"{self.files.root}/{seg['data']}").withColumn(_SEGMENT, F.lit(k))
                 out = df if out is None else out.unionByName(df)
-            if s["replaced"]:
-                ids = spark.read.schema(f"{ID} long").parquet(f"{self.files.root}/{s['replaced']}")
+            if seg["replaced"]:
+                ids = spark.read.schema(f"{ID} long").parquet(f"{self.files.root}/{seg['replaced']}").withColumn(_GONE, F.lit(k))
                 gone = ids if gone is None else gone.unionByName(ids)
-        return out if out is not None else spark.createDataFrame([], schema)
+        if out is None:
+            return spark.createDataFrame([], schema)
+        if gone is not None:
+            out = out.join(gone.groupBy(ID).agg(F.max(_GONE).alias(_GONE)), ID, "left").where(F.col(_GONE).isNull() | (F.col(_GONE) <= F.col(_SEGMENT)))
+        return out.select(*[f"`{f.name}`" for f in schema.fields])
 
     def count(self, name: str) -> int:
         return self.scan(name).count()
@@ -306,16 +328,16 @@ class Store:
         old, now = self.manifest(version), self.manifest()
         return self._publish(old | {"version": now["version"]})
 
-    def vacuum(self, keep: int = 1) -> int:
-        """Deletes all but the newest `keep` manifests and the segments that only those named; how many segments went."""
+    def vacuum(self, keep: int = 1, older_than: float = 86_400.0) -> int:
+        """Deletes all but the newest `keep` manifests and the segments that no kept one names; how many segments went. A segment that was written less than older_than seconds ago stays: it may be that of a commit which has yet to publish its manifest."""
         versions = sorted(int(n[:-5]) for n in self.files.names("manifests") if n.endswith(".json"))
         held = {p for v in versions[-keep:] for c in self.manifest(v)["collections"].values() for s in c["segments"] for p in (s["data"], s["replaced"]) if p}
         gone = 0
         for v in versions[:-keep]:
             self.files.delete(f"manifests/{v}.json")
         for name in self.files.names("data"):
-            for tag in self.files.names(f"data/{name}"):
-                if f"data/{name}/{tag}" not in held:
+            for tag, age in self.files.ages(f"data/{name}"):
+                if f"data/{name}/{tag}" not in held and age >= older_than:
                     self.files.delete(f"data/{name}/{tag}")
                     gone += 1
         return gone
@@ -381,10 +403,13 @@ class Transaction:
             return
         rows = [(i, dict(r)) for i, r in rows]
         seen = [i for i, _ in rows]
-        there = {r[0] for r in self.store._read(self._collection(name)).where(F.col(ID).isin(seen)).select(ID).collect()} if seen else set()
-        mine = {i for i, r in self.writes.get(name, {}).items() if r is not None}
-        if dup := [i for k, i in enumerate(seen) if i in mine or i in seen[:k] or (i in there and i not in self.writes.get(name, {}))]:
-            raise RecordExists(f"{name} {dup[0]}")
+        there = {r[0] for r in _among(self.store._read(self._collection(name)), seen).select(ID).collect()} if seen else set()
+        writes = self.writes.get(name, {})
+        taken = {i for i, r in writes.items() if r is not None} | {i for i in there if i not in writes}
+        for i in seen:
+            if i in taken:
+                raise RecordExists(f"{name} {i}")
+            taken.add(i)
         schema = Schema.from_json(self._collection(name)["schema"])
         for _, r in rows:
             schema.check(r)
@@ -427,7 +452,12 @@ class Transaction:
                 self.store._check_unique(kept.unionByName(df, allowMissingColumns=True) if df is not None else kept, c["unique"])
             c["segments"].append(self.store._segment(name, df, replaced, c["cluster"]))
             c["epoch"] += 1
-        return self.store._publish(now)
+        version = self.store._publish(now)
+        for name in {*self.writes, *self.frames}:
+            if len(now["collections"][name]["segments"]) >= self.store.compact_after:
+                with contextlib.suppress(Conflict):  # another writer came first; a later commit will do it
+                    self.store.compact(name)
+        return version
 
     def _validate(self, now: dict) -> None:
         for name in {*self.writes, *self.frames, *(self.read_ids if self.strict else ()), *(self.scanned if self.strict else ())}:
@@ -459,7 +489,7 @@ class Transaction:
                 raise RecordExists(name)
             top = max(top, frame.agg(F.max(ID)).first()[0] or -1)
             df = frame if df is None else df.unionByName(frame, allowMissingColumns=True)
-        replaced = [r[0] for r in before.where(F.col(ID).isin(list(writes))).select(ID).collect()] if writes else []
+        replaced = [r[0] for r in _among(before, writes).select(ID).collect()] if writes else []
         if df is not None:
             c["spark"] = _merged(c["spark"], T.StructType([f for f in df.schema.fields if f.name != ID])).jsonValue()
         return df, replaced, top

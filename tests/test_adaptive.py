@@ -42,7 +42,7 @@ def test_an_experiment_is_promoted_and_answers_stay(engine):
             states.add((engine.experiment.state, engine.experiment.share))
         if engine.layouts:
             break
-    assert engine.layouts and engine.layouts[0].kind in ("bucketed", "covering")
+    assert engine.layouts and engine.layouts[0].kind in ("bitmap", "bucketed", "covering")
     assert ("shadow", 0.0) in states and ("canary", 0.01) in states and ("canary", 1.0) in states
     assert [tuple(r) for r in engine.collect(q)] == want
     log = engine.explain_optimizations()
@@ -166,3 +166,62 @@ def test_prepared_lookups_follow_writes(spark):
     assert e.collect(get("c", 3))[0]["v"] == 9
     e.cancel("t")
     assert len(e.slow) == 6 and "GetById c 3" in e.slow[0][1]
+
+
+def test_promoted_changes_that_do_not_pay_are_taken_back(spark, engine, tmp_path):
+    import os
+
+    q = scan("c").filter(f("v") == 3).project("k")
+    change = Layout("bucketed", "c", ("v",))
+    p = Proposal("auto_index", "c", change, 5, "")
+
+    def promote(gain):
+        x = engine.add_layout("bucketed", "c", ["v"])
+        p.change = x
+        engine.promoted.append((p, engine.driver.cycle, 0))
+        engine.driver.gains["auto_index"] = gain
+        return x
+
+    want = sorted(tuple(r) for r in engine.query(q).collect())
+    x = promote(0.9)
+    engine.optimize()
+    assert x in engine.layouts and os.path.exists(x.path.removeprefix("file://"))
+    engine.driver.gains["auto_index"] = 0.0
+    engine.optimize()
+    assert x not in engine.layouts and not engine.promoted and not os.path.exists(x.path.removeprefix("file://"))
+    assert "retracted" in engine.explain_optimizations()
+    assert sorted(tuple(r) for r in engine.query(q).collect()) == want
+    x = promote(0.9)
+    for _ in range(QUICK.unused_after + 1):
+        engine.optimize()
+        engine.experiment = None
+    assert x not in engine.layouts and "unused" in engine.explain_optimizations()
+
+
+def test_bitmap_copies(spark, engine):
+    engine.register("m", spark.createDataFrame([(k, None if k % 7 == 0 else f"v{k % 3}", k % 4, float(k % 2)) for k in range(60)], "_id long, s string, n int, d double"))
+    x = engine.add_layout("bitmap", "m", ["s"])
+    for value in ("v1", "none such", 3):
+        q = scan("m").filter(f("s") == value)
+        got = [tuple(r) for r in engine.query(q).collect()]
+        plain = Engine(spark)
+        plain.register("m", engine.rows("m"))
+        assert got == [tuple(r) for r in plain.query(q).collect()]
+    assert x.uses == 3 and all(engine.verify().values())
+    assert "PartitionFilters: [isnotnull(_facet_value" in engine.explain(scan("m").filter(f("s") == "v1"))
+    y = engine.add_layout("bitmap", "m", ["n"])
+    assert [tuple(r) for r in engine.query(scan("m").filter(f("n") == 2.0)).collect()] == [tuple(r) for r in plain.query(scan("m").filter(f("n") == 2.0)).collect()] and y.uses == 1
+    for field in ("d", "_id"):
+        engine.register("w", spark.range(1000).selectExpr("id as _id", "cast(id % 2 as double) as d"))
+        with pytest.raises(ValueError):
+            engine.add_layout("bitmap", "w", [field])
+    engine.drop_layout(x)
+
+
+def test_the_sessions_codec_is_put_back(spark):
+    name = "spark.sql.parquet.compression.codec"
+    before = spark.conf.get(name)
+    e = Engine(spark, level=2)
+    assert spark.conf.get(name) == "zstd"
+    e.set_level(0)
+    assert spark.conf.get(name) == before

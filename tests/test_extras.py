@@ -25,6 +25,26 @@ def test_a_view_follows_a_stream(spark, tmp_path):
     assert sorted(tuple(r) for r in e.query(q).collect()) == got
 
 
+def test_a_follower_goes_on_after_a_restart(spark, tmp_path):
+    base = spark.range(10).selectExpr("id as _id", "id % 3 as g", "id as v")
+    q = scan("c").aggregate(["g"], count(output="n"), over("sum", "v", "s"))
+
+    def fresh():
+        e = Engine(spark)
+        e.register("c", base)
+        return e, Follower(e.add_view(q), f"file://{tmp_path}/states")
+
+    e, follower = fresh()
+    follower.batch(base, 0)
+    follower.batch(base, 1)
+    got = sorted(tuple(r) for r in e.query(q).collect())
+    e, again = fresh()
+    assert again.last == 1
+    again.batch(base, 1)  # delivered once more
+    assert sorted(tuple(r) for r in e.query(q).collect()) == got
+    assert again.view.state._jdf.queryExecution().optimizedPlan().toString().count("Aggregate") == 0
+
+
 def test_memory_and_combinations():
     a, b = Telemetry(), Telemetry()
     for t, n in ((a, 30), (b, 31)):
