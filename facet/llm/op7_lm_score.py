@@ -149,9 +149,10 @@ class Network:
         p = self.p
         h = self._hidden(x)
         k, within = y // CLUSTER, y % CLUSTER
-        out = _log_softmax_at(h @ p["c"] + p["cb"], k)
+        bounded, within_bounded = _bounded(p["c"], p["cb"]), _bounded(p["o"], p["ob"])
+        out = _log_softmax_at(h @ p["c"] + p["cb"], k, bounded)
         for c, rows in _by_cluster(k, self.clusters):
-            out[rows] += _log_softmax_at(h[rows] @ p["o"][c] + p["ob"][c], within[rows])
+            out[rows] += _log_softmax_at(h[rows] @ p["o"][c] + p["ob"][c], within[rows], within_bounded[c])
         return out
 
     def step(self, x: np.ndarray, y: np.ndarray, sums: dict[str, np.ndarray], rate: float) -> None:
@@ -160,12 +161,13 @@ class Network:
         ex = p["e"][x].reshape(n, -1)
         h = np.tanh(ex @ p["w"] + p["b"])
         k, within = y // CLUSTER, y % CLUSTER
-        q = _softmax_less_one(h @ p["c"] + p["cb"], k, n)
+        bounded, within_bounded = _bounded(p["c"], p["cb"]), _bounded(p["o"], p["ob"])
+        q = _softmax_less_one(h @ p["c"] + p["cb"], k, n, bounded)
         dh = q @ p["c"].T
         g = {"c": h.T @ q, "cb": q.sum(axis=0), "o": np.zeros_like(p["o"]), "ob": np.zeros_like(p["ob"])}
         for c, rows in _by_cluster(k, self.clusters):
             hr = h[rows]
-            q = _softmax_less_one(hr @ p["o"][c] + p["ob"][c], within[rows], n)
+            q = _softmax_less_one(hr @ p["o"][c] + p["ob"][c], within[rows], n, within_bounded[c])
             dh[rows] += q @ p["o"][c].T
             g["o"][c], g["ob"][c] = hr.T @ q, q.sum(axis=0)
         d = dh * (1 - h * h)
@@ -191,18 +193,26 @@ def _by_cluster(k: np.ndarray, clusters: int) -> Iterator[tuple[int, np.ndarray]
             yield c, order[cuts[c] : cuts[c + 1]]
 
 
-def _log_softmax_at(z: np.ndarray, at: np.ndarray) -> np.ndarray:
-    z -= z.max(axis=1, keepdims=True)
+def _bounded(w: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether outputs tanh(..) @ w + b stay, whatever the hidden layer, where exponentials neither overflow nor all vanish, so that their maximum need not be taken off first."""
+    reach = np.abs(w).sum(axis=-2)
+    return ((b + reach).max(axis=-1) < 60) & ((b - reach).max(axis=-1) > -60)
+
+
+def _log_softmax_at(z: np.ndarray, at: np.ndarray, bounded: bool) -> np.ndarray:
+    if not bounded:
+        z -= z.max(axis=1, keepdims=True)
     out = z[np.arange(len(at)), at]
-    return out - np.log(np.exp(z, out=z).sum(axis=1))
+    return out - np.log(np.exp(z, out=z) @ np.ones(z.shape[1], z.dtype))
 
 
-def _softmax_less_one(z: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
+def _softmax_less_one(z: np.ndarray, at: np.ndarray, n: int, bounded: bool) -> np.ndarray:
     """Gradient of the mean loss with respect to z."""
-    z -= z.max(axis=1, keepdims=True)
+    if not bounded:
+        z -= z.max(axis=1, keepdims=True)
     np.exp(z, out=z)
-    z /= z.sum(axis=1, keepdims=True) * n
-    z[np.arange(len(at)), at] -= np.float32(1 / n)
+    z *= (1 / (z @ np.full(z.shape[1], n, z.dtype)))[:, None]
+    z[np.arange(len(at)), at] -= z.dtype.type(1 / n)
     return z
 
 
@@ -229,8 +239,10 @@ class Scorer:
         with np.errstate(divide="ignore", invalid="ignore"):
             share = np.where((number >= v.first_spare) & (count > 0), np.log(count / np.maximum(1, v.total[number])), 0.0)
         total += np.bincount(text_of, weights=share[s.codes], minlength=n)
-        # times of each word in each text
-        key = np.sort(text_of * max(1, len(s.words)) + s.codes)
+        # times of each word in each text, of words that need it: without a count at hand, or with all their occurrences here
+        asked = count <= np.bincount(s.codes, minlength=len(s.words))
+        some = asked[s.codes]
+        key = np.sort(text_of[some] * max(1, len(s.words)) + s.codes[some])
         first = np.flatnonzero(np.diff(key, prepend=-1))
         times = np.diff(first, append=len(key))
         text, word = key[first] // max(1, len(s.words)), key[first] % max(1, len(s.words))
@@ -307,7 +319,7 @@ def _fitting(words: Vocabulary, start: np.ndarray, reach: int, batch: int, rate:
         places = places[np.random.default_rng(part).permutation(len(places))]
         sums = {k: np.full_like(v, 1e-4) for k, v in net.p.items()}
         for k in range(0, len(places), batch):
-            at = places[k : k + batch]
+            at = np.sort(places[k : k + batch])  # one step whatever the order; neighbours lie together
             net.step(net.contexts(padded, at), padded[at], sums, rate * min(1.0, len(at) / batch))
         if len(places):
             yield pa.RecordBatch.from_pydict({"part": [part], "n": [float(len(places))], "flat": [net.flat().astype("<f4").tobytes()]})
