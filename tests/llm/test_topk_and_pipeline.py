@@ -145,6 +145,44 @@ def test_near_copies_of_the_pipeline_by_exact_similarity(spark, edge, empty, tmp
     assert 0 in ids and 1 not in ids and 2 not in ids and 4 in ids and 5 not in ids and ids.count(7) == 1 and None in ids
 
 
+def test_near_copies_of_the_pipeline_meet_at_anchors_of_simhash(spark):
+    from pyspark.sql import functions as F
+
+    from facet.llm.near_copies import FLIPS, PARTS, PLACE, met, places, signature, signatures, visits
+    from facet.llm.op10_simhash import MASK, anchors
+
+    r = np.random.default_rng(4)
+    halves = lambda w: np.stack([w & MASK, w >> np.uint64(32) & MASK], axis=1).ravel()
+    close = []
+    for _ in range(500):  # 320 of 400 shingles are shared
+        x = r.integers(0, 1 << 63, 400, dtype=np.uint64)
+        a, b = (halves(signature(np.sort(s))[1]) for s in (x[:360], np.r_[x[:320], x[360:]]))
+        assert len(a) == PARTS
+        close.append(np.bitwise_count(a ^ b) <= 1)
+    assert 0.7 < np.mean(close) < 0.85 and np.any(close, axis=1).all()
+    # halves within a bit of each other meet at a home, and visits are those of op10
+    w = r.integers(0, 1 << 63, 300, dtype=np.uint64)
+    v = w ^ (np.uint64(1) << r.integers(0, 31, 300).astype(np.uint64))
+    (i, x), (j, y) = places(w, 1), places(v, 1)
+    row, name, home = anchors(w)
+    assert (i == row).all() and (x >> PLACE == (name | np.uint64(1 << 33)).view(np.int64)).all() and ((x & (1 << PLACE) - 1 < 32) == home).all()
+    assert (FLIPS[x & (1 << PLACE) - 1] ^ (name & MASK) == (w[row] >> (name >> np.uint64(32) << np.uint64(5)) & MASK)).all()
+    for k in range(300):
+        both = np.sort(np.r_[x[i == k], y[j == k]])
+        assert met(both).sum() >= 2
+    assert not met(np.sort(x[i == 0])).any()
+    # visits of an anchor are compared whole, whatever the batches
+    texts = [(k, " ".join(f"w{n}" for n in range(60)) + f" end{k}") for k in range(40)] + [(100 + k, prose(random.Random(k), 60)) for k in range(20)]
+    d = signatures(odd(spark, texts)).groupBy("f").agg(F.first("buckets").alias("buckets")).localCheckpoint()
+    whole = sorted(map(tuple, visits(d).collect()))
+    size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 3)
+    try:
+        assert whole and sorted(map(tuple, visits(d).collect())) == whole
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+
+
 def test_the_pipeline_drops_items_short_of_a_word(spark, tmp_path):
     import corpus_pipeline
 
