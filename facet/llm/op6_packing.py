@@ -25,12 +25,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Stage, one_thread, shuffle_partitions
-from .tokens import encoder
+from .common import Stage, one_thread, release_unused, shuffle_partitions
+from .tokens import column_encoder
 
 ROOM = 2048
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 NAMES = ["doc_id", "piece", "start", "length", "ids_crc32"]
+#: Texts are encoded in slices of about so many bytes, so that the ids of a slice fit a task's memory.
+SLICE_BYTES = 4_000_000
 
 
 def pieces(docs: DataFrame, tokenizer_path: str, end_id: int = 0, room: int = ROOM, drops_space: bool = False) -> DataFrame:
@@ -39,24 +41,28 @@ def pieces(docs: DataFrame, tokenizer_path: str, end_id: int = 0, room: int = RO
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one_thread()
-        enc = encoder(tokenizer_path, drops_space)
-        end = int(end_id).to_bytes(4, "little")
+        enc = column_encoder(tokenizer_path, drops_space)
         for batch in batches:
-            row, rows = [], []
-            for i, x in enumerate(enc.encode(batch.column(1).to_pylist())):
-                x += end
-                n = len(x) // 4
-                first = n % room or room
-                a, k = 0, 0
-                while a < n:
-                    b = a + (room if k else first)
-                    row.append(i)
-                    rows.append((k, a, b - a, zlib.crc32(x[4 * a : 4 * b])))
-                    a, k = b, k + 1
-            made = np.array(rows, dtype=np.int64).reshape(-1, 4)
-            names = batch.column(0).take(pa.array(row, pa.int64()))  # never through floating point
-            columns = [names, pa.array(made[:, 0].astype(np.int32)), *(pa.array(np.ascontiguousarray(made[:, j])) for j in (1, 2, 3))]
-            yield pa.RecordBatch.from_arrays(columns, names=NAMES)
+            step = max(1, int(batch.num_rows * SLICE_BYTES / max(1, batch.column(1).nbytes)))
+            for at in range(0, batch.num_rows, step):
+                part = batch.slice(at, step)
+                ids, sizes = enc.encode(part.column(1), end_id)
+                raw, done = memoryview(np.ascontiguousarray(ids, "<u4")).cast("B"), 0
+                row, rows = [], []
+                for i, n in enumerate(sizes.tolist()):
+                    first = n % room or room
+                    a, k = 0, 0
+                    while a < n:
+                        b = a + (room if k else first)
+                        row.append(i)
+                        rows.append((k, a, b - a, zlib.crc32(raw[4 * (done + a) : 4 * (done + b)])))
+                        a, k = b, k + 1
+                    done += n
+                made = np.array(rows, dtype=np.int64).reshape(-1, 4)
+                names = part.column(0).take(pa.array(row, pa.int64()))  # never through floating point
+                columns = [names, pa.array(made[:, 0].astype(np.int32)), *(pa.array(np.ascontiguousarray(made[:, j])) for j in (1, 2, 3))]
+                yield pa.RecordBatch.from_arrays(columns, names=NAMES)
+        release_unused()
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, PIECES)
 

@@ -322,15 +322,124 @@ class ColumnEncoder:
         return out, lengths
 
 
+class SpacedColumnEncoder(ColumnEncoder):
+    """Encodes whole Arrow columns, for a vocabulary that keeps case and white space.
+
+    The texts are cut, in place, wherever ASCII white space follows something else; the different chunks are numbered and the marks behind them taken off as in ColumnEncoder. A chunk that holds the string of a special token goes to the library whole.
+    """
+
+    def __init__(self, path: str, most: int = 300_000):
+        super().__init__(path, most)
+        self.by_chunk = CachedEncoder(path, False, 50_000)
+        self.special = [s for s in self.by_chunk.special if s]
+
+    def _new(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        one = self.by_chunk
+        tokenize, pieces, space = one.model.tokenize, one.pieces, one.alphabet[32]
+        ids, sizes, odd = [], np.zeros(len(words), np.int64), []
+        for k, w in enumerate(words):
+            letters = w[1:] if w[:1] == " " else w
+            if letters.isalpha() and latin(letters):
+                if not letters.isascii():
+                    letters = letters.encode().decode("latin-1").translate(self.bytes)
+                parts = [space + letters if w[0] == " " else letters]
+            elif latin(w) and not any(s in w for s in self.special):
+                parts = [p.encode().decode("latin-1").translate(self.bytes) for p in pieces(w)]
+            else:
+                odd.append(k)
+                continue
+            n = len(ids)
+            for p in parts:
+                ids += [t.id for t in tokenize(p)]
+            sizes[k] = len(ids) - n
+        if not odd:
+            return np.array(ids, np.uint32), sizes
+        found = [np.array(e.ids, np.uint32) for e in one.tokenizer.encode_batch_fast([words[k] for k in odd], add_special_tokens=False)]
+        sizes[odd] = list(map(len, found))
+        out = np.zeros(int(sizes.sum()), np.uint32)
+        apart = np.zeros(len(words), bool)
+        apart[odd] = True
+        apart = np.repeat(apart, sizes)
+        out[~apart] = ids
+        out[apart] = np.concatenate(found)
+        return out, sizes
+
+    def encode(self, texts, end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        ending = np.array([] if end_id is None else [end_id], np.uint32)
+        if not len(texts):
+            return ending[:0], np.zeros(0, np.int64)
+        texts = pc.fill_null(texts, "").cast(pa.binary())
+        bounds, data = _bytes(texts)
+        cuts, bounds = _chunks(data[bounds[0] : bounds[-1]], bounds - bounds[0])
+        begin = int(np.frombuffer(texts.buffers()[1], np.int32)[texts.offset])
+        offsets = pa.py_buffer((cuts + begin).astype(np.int32))
+        coded = pa.Array.from_buffers(pa.binary(), len(cuts) - 1, [None, offsets, texts.buffers()[2]]).dictionary_encode()
+        codes = coded.indices.to_numpy()
+        base, tail = _cut(coded.dictionary)
+        base, tail = base.dictionary_encode(), tail.dictionary_encode()
+        words = pa.chunked_array([base.dictionary, tail.dictionary]).dictionary_encode().combine_chunks()
+        number, of = self._numbers(words.dictionary.to_numpy(zero_copy_only=False).tolist()), words.indices.to_numpy()
+        number = number[of]
+        pairs = np.stack([number[base.indices.to_numpy()], number[len(base.dictionary) :][tail.indices.to_numpy()]], axis=1)
+        start, size = self.ends[pairs], self.ends[pairs + 1] - self.ends[pairs]
+        ids, ends = _gathered(self.pool, start.ravel(), size.ravel())
+        return _joined(ids, ends[1::2], size.sum(axis=1), codes, bounds, ending)
+
+
+def _joined(ids: np.ndarray, ends: np.ndarray, size: np.ndarray, codes: np.ndarray, bounds: np.ndarray, ending: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(ids of all texts, number of ids of each) from the ids of the different chunks, where each of these ends and its size, the chunks' codes and the texts' bounds among them; ending (one id or none) comes behind each text."""
+    ids, start = np.concatenate([ids, ending]), np.concatenate([ends - size, [len(ids)]]).astype(np.int32)
+    size = np.concatenate([size, [1]]).astype(np.int32)
+    if len(ending):
+        codes = np.insert(codes, bounds[1:], len(size) - 1)
+        bounds = bounds + np.arange(len(bounds))
+    ends = np.concatenate([[0], np.cumsum(size[codes], dtype=np.int64)])
+    out = np.empty(int(ends[-1]), np.uint32)
+    for k in range(0, len(codes), 100_000):  # so that the places stay in the processor's caches
+        some = codes[k : k + 100_000]
+        out[ends[k] : ends[k + len(some)]] = _gathered(ids, start[some], size[some])[0]
+    return out, np.diff(ends[bounds])
+
+
+def _bytes(column) -> tuple[np.ndarray, np.ndarray]:
+    """Bounds and bytes of a binary column."""
+    bounds = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    data = column.buffers()[2]
+    return bounds, np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(1, np.uint8)
+
+
+def _chunks(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Bounds of the chunks of texts that lie side by side in data, UTF-8, and which of them bound the texts. Chunks begin with their text, and where ASCII white space follows something other than white space. An empty text has no chunk."""
+    white = np.zeros(256, bool)
+    white[[9, 10, 11, 12, 13, 32]] = True
+    space = white[data]
+    at = np.flatnonzero(space[1:] & ~space[:-1]) + 1
+    # white space beyond ASCII may end in the byte before
+    high = np.flatnonzero(data[at - 1] >= 0x80)
+    if len(high):
+        p = at[high]
+        b1, b2, b3 = (np.where(p >= k, data[np.maximum(p - k, 0)], 0) for k in (1, 2, 3))
+        of_two = (b2 == 0xC2) & ((b1 == 0x85) | (b1 == 0xA0))
+        of_three = (b3 == 0xE1) & (b2 == 0x9A) & (b1 == 0x80) | (b3 == 0xE2) & (b2 == 0x81) & (b1 == 0x9F) | (b3 == 0xE3) & (b2 == 0x80) & (b1 == 0x80)
+        of_three |= (b3 == 0xE2) & (b2 == 0x80) & ((b1 <= 0x8A) | (b1 == 0xA8) | (b1 == 0xA9) | (b1 == 0xAF))
+        at = np.delete(at, high[of_two | of_three])
+    cut = np.zeros(len(data) + 1, bool)
+    cut[at] = True
+    cut[bounds] = True
+    cuts = np.flatnonzero(cut)
+    return cuts, np.searchsorted(cuts, bounds)
+
+
 def _cut(chunks):
     """Chunks without the marks behind their last letter, where these are one or three of a kind, and those marks."""
     import pyarrow as pa
     import pyarrow.compute as pc
 
     whole = chunks.cast(pa.binary())
-    bounds = np.frombuffer(whole.buffers()[1], np.int32)[whole.offset : whole.offset + len(whole) + 1].astype(np.int64)
-    data = whole.buffers()[2]
-    data = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(1, np.uint8)
+    bounds, data = _bytes(whole)
     end, size = bounds[1:], np.diff(bounds)
     byte = lambda k: np.where(size >= k, data[np.maximum(end - k, 0)], 32)
     b1, b2, b3, b4, b5 = map(byte, range(1, 6))
@@ -363,7 +472,7 @@ def encoder(path: str, drops_space: bool) -> CachedEncoder:
     return _encoders[path, drops_space]
 
 
-def column_encoder(path: str) -> ColumnEncoder:
-    if path not in _encoders:
-        _encoders[path] = ColumnEncoder(path)
-    return _encoders[path]
+def column_encoder(path: str, drops_space: bool = True) -> ColumnEncoder:
+    if (path, drops_space, "column") not in _encoders:
+        _encoders[path, drops_space, "column"] = ColumnEncoder(path) if drops_space else SpacedColumnEncoder(path)
+    return _encoders[path, drops_space, "column"]

@@ -58,6 +58,34 @@ def test_column_encoding_equals_the_librarys():
     assert len(enc.encode(pa.array([], pa.string()))[0]) == 0
 
 
+def test_column_encoding_with_spaces_equals_the_librarys(spark):
+    import pyarrow as pa
+
+    from facet.llm.op6_packing import pieces
+    from facet.llm.tokens import SpacedColumnEncoder
+
+    r = random.Random(7)
+    parts = [" ", "  ", "\n", "\t", "\r\n", "\xa0", "\x85", "\u2003", "\u3000", "\u2028", "\u205f", "\u1680", "\x0b", "\x1c", "a", "word", "The", "don't", "'s", "é", "ª", "×", "½", "23", ".", ",", "...", "!!!", "#", "<|endoftext|>", "<|endo", "漢字", "\U0001f600", "İ", "\0", "\u200b", "\u0300"]
+    texts = [None, "", *("".join(r.choice(parts) for _ in range(r.randint(0, 14))) for _ in range(4000))]
+    library = whole(BYTE)
+    want = [library(t) for t in texts]
+    enc = SpacedColumnEncoder(BYTE, 500)  # words are dropped and learnt again
+    for first, size in ((0, 4002), (3, 100)):
+        for k in range(first, len(texts), size):
+            ids, n = enc.encode(pa.array(texts, pa.string()).slice(k, size), 0)
+            assert ids.tolist() == [i for w in want[k : k + size] for i in [*w, 0]] and n.tolist() == [len(w) + 1 for w in want[k : k + size]]
+    # a worker meets each different word once, however often it stands in a text
+    asked = []
+    enc._new, new = lambda words: (asked.extend(words), new(words))[1], enc._new
+    enc.encode(pa.array([" qqjx" * 50, "qqjx qqjx, qqjx!!! qqjx"], pa.string()))
+    assert sorted(w for w in asked if "qqjx" in w) == [" qqjx", "qqjx"]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts[:300])], "doc_id long, text string")
+    got = rows(pieces(docs, BYTE, 0, 5), "doc_id", "piece", "start", "length", "ids_crc32")
+    for i, _, a, n, crc in got:
+        assert zlib.crc32(raw([*want[i], 0][a : a + n])) == crc
+    assert sum(x[3] for x in got) == sum(len(w) + 1 for w in want[:300])
+
+
 def test_edits_count_as_if_encoded_anew():
     r, one, enc = random.Random(3), whole(BYTE), CachedEncoder(BYTE, False)
     signs = [*"ab1 \n\t.,'é\xa0　", "<|endoftext|>"]
