@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import one_thread
+from .common import one_thread, release_unused
 from .tagger import Tagger
 
 KINDS = ("email", "ip", "card", "phone", "secret")
@@ -387,7 +387,22 @@ def masked_column(model: Tagger):
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         one_thread()
         for texts in batches:
-            t = texts.tolist()
-            yield pd.Series([masked(x, spans) for x, (_, spans) in zip(t, all_spans(t, model))], dtype=object)
+            out: list[str | None] = []
+            for t in slices(texts.tolist()):
+                out += [masked(x, spans) for x, (_, spans) in zip(t, all_spans(t, model))]
+            yield pd.Series(out, dtype=object)
+        release_unused()
 
     return F.pandas_udf(run, "string")
+
+
+def slices(texts: list[str | None], chars: int = SLICE_BYTES) -> Iterator[list[str | None]]:
+    """The texts in order, in lists of at most so many characters or one text."""
+    start = size = 0
+    for k, t in enumerate(texts):
+        if size and size + len(t or "") > chars:
+            yield texts[start:k]
+            start, size = k, 0
+        size += len(t or "")
+    if start < len(texts):
+        yield texts[start:]

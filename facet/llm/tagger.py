@@ -22,7 +22,7 @@ class Tagger:
         }
         self.p["b"][:, :, hidden : 2 * hidden] = 1.0  # forget gates start open
 
-    def _forward(self, x: np.ndarray, keep: bool):
+    def _forward(self, x: np.ndarray):
         p, h = self.p, self.h
         n, t = x.shape
         e = p["e"][x.T]  # time, batch, embed
@@ -41,14 +41,28 @@ class Tagger:
             c = f * was + i * z
             tc = np.tanh(c)
             hs[:, k + 1] = o * tc
-            if keep:
-                kept.append((i, f, o, z, was, tc))
+            kept.append((i, f, o, z, was, tc))
         top = np.concatenate([hs[0, 1:], hs[1, :0:-1]], axis=-1)  # time, batch, 2h
         return top @ p["wo"] + p["bo"], top, hs, both, kept
 
     def emissions(self, x: np.ndarray) -> np.ndarray:
-        """[time, batch, tag]"""
-        return self._forward(x, keep=False)[0]
+        """[time, batch, tag]. What the classes put into the gates is computed once and looked up a step at a time, so that nothing but the result grows with time."""
+        p, h = self.p, self.h
+        n, t = x.shape
+        inputs = p["e"] @ p["wx"] + p["b"]  # direction, class, gate
+        out = np.empty((t, n, self.k), np.float32)
+        out[:] = p["bo"]
+        hs, c = np.zeros((2, n, h), np.float32), np.zeros((2, n, h), np.float32)
+        for k in range(t):
+            g = hs @ p["wh"]
+            g[0] += inputs[0][x[:, k]]
+            g[1] += inputs[1][x[:, t - 1 - k]]
+            s = _sigmoid(g[..., : 3 * h])
+            c = s[..., h : 2 * h] * c + s[..., :h] * np.tanh(g[..., 3 * h :])
+            hs = s[..., 2 * h :] * np.tanh(c)
+            out[k] += hs[0] @ p["wo"][:h]
+            out[t - 1 - k] += hs[1] @ p["wo"][h:]
+        return out
 
     def viterbi(self, em: np.ndarray) -> np.ndarray:
         """Best tags[batch, time] for emissions[time, batch, tag]."""
@@ -95,7 +109,7 @@ class Tagger:
 
     def gradients(self, x: np.ndarray, y: np.ndarray):
         p, h = self.p, self.h
-        em, top, hs, both, kept = self._forward(x, keep=True)
+        em, top, hs, both, kept = self._forward(x)
         loss, d_em, d_tr, d_st = self._crf(em, y)
         t, n, _ = em.shape
         g = {"tr": d_tr, "st": d_st, "wo": top.reshape(t * n, -1).T @ d_em.reshape(t * n, -1), "bo": d_em.sum(axis=(0, 1))}

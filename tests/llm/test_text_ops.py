@@ -143,6 +143,26 @@ def test_what_no_pattern_finds(text, kind, span):
     assert base == [] and [text[a:b] for _, a, b in spans] == span and all(KINDS[k] == kind for k, _, _ in spans)
 
 
+def test_masking_holds_little_at_once():
+    import tracemalloc
+
+    from facet.llm.op4_pii import N_CLASSES, network_spans, slices
+
+    model = trained()
+    x = np.random.default_rng(3).integers(0, N_CLASSES, (2048, WINDOW))
+    assert np.allclose(model.emissions(x[:50]), model._forward(x[:50])[0], atol=1e-4)
+    tracemalloc.start()
+    model.emissions(x)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 40e6  # inputs to all gates of all steps would take 126 MB
+    texts = ["a" * 10, None, "b" * 25, "", "c" * 9, "d" * 9, None]
+    assert list(slices(texts, 20)) == [texts[:2], texts[2:3], texts[3:]] and list(slices([])) == []
+    assert [x for part in slices(texts, 1) for x in part] == texts
+    lines = ["mail joe.doe7@mail.example.com or 4111111111111111 5500000000000004"] * 3
+    assert network_spans(lines, model, at_once=2) == network_spans(lines, model)
+
+
 def test_secrets_of_documents_are_found_and_others_left_alone():
     texts = _documents("/root/testdata/sf0.1")
     got = [x for k in range(0, len(texts), 1000) for x in all_spans(texts[k : k + 1000], trained())]
