@@ -2,11 +2,12 @@
 
 Words are those of op10's fingerprints; a text of fewer words has one shingle, all of it, and one without words has none. Texts with the same set are one row from the start.
 
-1. Each set gets a fingerprint of PARTS halves of 31 bits: SimHashes in which a shingle weighs u**-4, u a hash in (0, 1] of the shingle, another for each half. With equal weights, sets at similarity
-   0.8 differ in 15 % of the bits, beyond what a covering code of radius 1 can reach; with these, few shingles rule a half, and it differs in at most 1 bit with probability 0.77. A pair
-   is missed if all halves differ in more: 9e-6 at 0.8 by that figure (tests simulate it).
+1. Each set gets a fingerprint of PARTS halves of 31 bits: SimHashes in which a shingle weighs u**-4, u a hash in (0, 1] of the shingle, another for each quarter of a word. With equal weights, sets at similarity
+   0.8 differ in 15 % of the bits, beyond what a covering code of radius 1 can reach; with these, few shingles rule a quarter. Halves then differ in at most 1 bit with probability 0.61 at 0.8, 0.69 at 0.85, 0.01 at 0.1. A pair
+   is missed if all halves differ in more: 1.4e-5 at 0.8 and 7e-7 at 0.85, by those shares (simulated).
 2. Each half visits op10's anchors, those of the Hamming code of length 31: its home and, where it is no code word itself, those within distance 2. Of two halves that differ in at most 1 bit each visits the other's home.
-   At anchors the halves are compared; sets that are within 1 bit of no other, at a home of one of both, go no further, nor do anchors with the same members as others. Crowded anchors become grids of blocks.
+   At anchors the halves are compared; sets that are within 1 bit of no other, at a home of one of both, go no further, nor do anchors with the same members as others. Crowded anchors become grids of blocks. There whole fingerprints are
+   compared: sets with LEAST quarters within 1 bit of no other's go no further.
 3. The sets of what is left are made again from the texts, and compared exactly. Of a block's links only a spanning forest leaves the task.
 """
 
@@ -26,16 +27,19 @@ from .op10_simhash import LINKS, MASK, anchors, keep_first, named_components
 
 SHINGLE = 5
 SIMILARITY = 0.8
-WORDS = 4  # of 64 bits, each of two halves, as op10's fingerprints are
+WORDS = 6  # of 64 bits, each of two halves, as op10's fingerprints are
 PARTS = 2 * WORDS
+QUARTERS = 2 * PARTS  # of 16 bits; a quarter has weights of its own
 _random = np.random.default_rng(8)
-FACTORS = _random.integers(0, 1 << 63, 2 * WORDS, dtype=np.uint64) << np.uint64(1) | np.uint64(1)
-SHIFTS = _random.integers(0, 1 << 63, 2 * WORDS, dtype=np.uint64)
+FACTORS = _random.integers(0, 1 << 63, 3 * WORDS, dtype=np.uint64) << np.uint64(1) | np.uint64(1)
+SHIFTS = _random.integers(0, 1 << 63, 3 * WORDS, dtype=np.uint64)
 #: A visit is its anchor's number, then PLACE bits for the bits (at most two, by number) in which the half differs from the anchor, so that homes come first.
 PLACE = 10
 FLIPS = np.array([sum(1 << (b - 1) for b in {k >> 5, k & 31} if b) for k in range(1 << PLACE)], dtype=np.uint32)
 HOME = 32  # places below are at home: one bit at most
 CROWDED = 256
+LEAST = 8  # quarters within 1 bit: 11 to 24 for 2500 simulated pairs at similarity 0.8, 2 in the mean at 0.1
+CELLS = "bucket long, h int, k int, at int, f long"
 
 
 def shingle_set(text: str | None) -> np.ndarray:
@@ -53,12 +57,12 @@ def signature(held: np.ndarray) -> tuple[int, np.ndarray]:
     """(f, words) of a set: a hash of the whole set, and its fingerprint, two halves to a word."""
     import xxhash
 
-    total, weight = np.zeros((PARTS, 32)), np.zeros((PARTS, 1))
+    total, weight = np.zeros((QUARTERS, 16)), np.zeros((QUARTERS, 1))
     for k in range(0, len(held), 1024):
         m = held[k : k + 1024, None] * FACTORS + SHIFTS
         m = (m ^ m >> np.uint64(32)) * np.uint64(0xD6E8FEB86659FD93)
         m ^= m >> np.uint64(32)
-        bits = np.unpackbits(np.ascontiguousarray(m[:, :WORDS]).view(np.uint8), axis=1, bitorder="little").reshape(len(m), PARTS, 32)
+        bits = np.unpackbits(np.ascontiguousarray(m[:, :WORDS]).view(np.uint8), axis=1, bitorder="little").reshape(len(m), QUARTERS, 16)
         u = (np.ascontiguousarray(m[:, WORDS:]).view("<u4") + 0.5) * 2.0**-32
         w = 1 / np.square(np.square(u))
         total += (w.T[:, None, :] @ bits.transpose(1, 0, 2).astype(np.float64))[:, 0]
@@ -149,6 +153,39 @@ def visits(distinct: DataFrame) -> DataFrame:
     return seen.repartition(n, F.shiftright("visit", PLACE)).sortWithinPartitions("visit").mapInArrow(compare, "bucket long, f long")
 
 
+def alike(words: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Which of some fingerprints (rows of words) among left have one among right, or the other way round, with LEAST quarters within 1 bit."""
+    q = np.ascontiguousarray(words).view(np.uint16)
+    out = np.zeros(len(q), dtype=bool)
+    for i in left.tolist():
+        near = right[(np.bitwise_count(q[i] ^ q[right]) <= 1).sum(axis=1) >= LEAST]
+        near = near[near != i]
+        out[near] = True
+        out[i] |= len(near) > 0
+    return out
+
+
+def whole_fingerprints(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The rows of CELLS and buckets that are like another of their cell. Cells lie together, in order; one may run over several batches."""
+    one_thread()
+    held = None
+    for pdf in chain(batches, [None]):
+        if pdf is not None:
+            held = pdf if held is None else pd.concat([held, pdf], ignore_index=True)
+        if held is None or not len(held):
+            continue
+        key = held[["bucket", "h", "k"]].to_numpy()
+        cuts = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]).any(axis=1)])
+        cuts = np.r_[cuts, len(held)] if pdf is None else cuts
+        at, words = held["at"].to_numpy(), np.stack(held["buckets"].tolist()).view(np.uint64)
+        ok = np.zeros(len(held), dtype=bool)
+        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+            if b - a > 1:
+                ok[a:b] = alike(words[a:b], np.flatnonzero(at[a:b] == key[a, 1]), np.flatnonzero(at[a:b] == key[a, 2]))
+        yield held.loc[ok, ["bucket", "h", "k", "at", "f"]]
+        held = held.iloc[cuts[-1] :]
+
+
 def forest(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, similarity: float) -> list[tuple[int, int]]:
     """A spanning forest of the links between the sets of left and those of right (positions in sets)."""
     parent = list(range(len(sets)))
@@ -185,8 +222,16 @@ def links(distinct: DataFrame, docs: DataFrame, stage: Stage, similarity: float
     counts = counts.groupBy("n", "members").agg(F.min("bucket").alias("bucket"))
     busy = stage.write(seen.join(counts.select("bucket", F.ceil(F.col("n") / block_rows).cast("int").alias("g")), "bucket"), "busy")
 
+    at = F.pmod(F.xxhash64("f"), F.col("g")).cast("int")
+    others = F.transform(F.sequence(F.lit(0), F.col("g") - 1), lambda o: F.struct(F.least(F.col("at"), o).alias("h"), F.greatest(F.col("at"), o).alias("k")))
+    dealt = busy.withColumn("at", at).select("bucket", "f", "at", F.explode(others).alias("cell")).select("bucket", "f", "at", F.col("cell.h").alias("h"), F.col("cell.k").alias("k"))
+
+    n = shuffle_partitions(distinct.sparkSession)
+    cells = dealt.join(distinct.select("f", "buckets"), "f").select("bucket", "h", "k", "at", "f", "buckets").repartition(n, "bucket", "h", "k").sortWithinPartitions("bucket", "h", "k")
+    close = stage.write(cells.mapInPandas(whole_fingerprints, CELLS), "close")
+
     # the sets are made from the texts again: stored for all texts they would be larger than those
-    wanted = distinct.join(busy.select("f").distinct(), "f", "left_semi").select("f", F.col("row.doc_id").alias("row_id"), F.col("row.copy").alias("row_copy"))
+    wanted = distinct.join(close.select("f").distinct(), "f", "left_semi").select("f", F.col("row.doc_id").alias("row_id"), F.col("row.copy").alias("row_copy"))
     texts = docs.select("doc_id", F.xxhash64("text").alias("copy"), "text")
     texts = texts.join(wanted, F.col("doc_id").eqNullSafe(F.col("row_id")) & (F.col("copy") == F.col("row_copy"))).select("f", "text")
 
@@ -197,10 +242,6 @@ def links(distinct: DataFrame, docs: DataFrame, stage: Stage, similarity: float
 
     sets = stage.write(texts.select("f", F.pandas_udf(make, "binary")(F.col("text")).alias("held")).dropDuplicates(["f"]), "sets")
 
-    at = F.pmod(F.xxhash64("f"), F.col("g")).cast("int")
-    others = F.transform(F.sequence(F.lit(0), F.col("g") - 1), lambda o: F.struct(F.least(F.col("at"), o).alias("h"), F.greatest(F.col("at"), o).alias("k")))
-    dealt = busy.withColumn("at", at).select("bucket", "f", "at", F.explode(others).alias("cell")).select("bucket", "f", "at", F.col("cell.h").alias("h"), F.col("cell.k").alias("k"))
-
     def compared(pdf: pd.DataFrame) -> list[tuple[int, int]]:
         """Links of one whole cell."""
         f, at, h, k = pdf["f"].to_numpy(), pdf["at"].to_numpy(), pdf["h"].iloc[0], pdf["k"].iloc[0]
@@ -227,11 +268,10 @@ def links(distinct: DataFrame, docs: DataFrame, stage: Stage, similarity: float
         if held is not None and len(held) and (out := compared(held)):
             yield pd.DataFrame(out, columns=["u", "v"])
 
-    n = shuffle_partitions(distinct.sparkSession)
-    rows = dealt.join(sets, "f").repartition(n, "bucket", "h", "k").sortWithinPartitions("bucket", "h", "k")
+    rows = close.join(sets, "f").repartition(n, "bucket", "h", "k").sortWithinPartitions("bucket", "h", "k")
     found = rows.select("bucket", "h", "k", "at", "f", "held").mapInPandas(run, LINKS)
     out = stage.write(found.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links")
-    for t in (seen, busy, sets):
+    for t in (seen, busy, close, sets):
         stage.drop(t)
     return out
 
