@@ -7,6 +7,7 @@ import ctypes
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -55,6 +56,29 @@ class Stage:
             p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+BATCHES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def bound_batches(spark: SparkSession, size: int = 2_000_000) -> bool:
+    """From now on the session's rows go to Python in batches of about so many bytes, unless it has a bound of its own; whether that changed anything. By Spark's defaults, 10,000 rows and 64 MB, all texts of a task may be
+    one batch, held whole in Python and, while it grows, up to twice beside the JVM's heap."""
+    if spark.conf.get(BATCHES, None) is not None:
+        return False
+    spark.conf.set(BATCHES, str(size))
+    return True
+
+
+@contextlib.contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """bound_batches() for what is planned and run within."""
+    bound = bound_batches(spark)
+    try:
+        yield
+    finally:
+        if bound:
+            spark.conf.unset(BATCHES)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Stage, one_thread, release_unused, shuffle_partitions
+from .common import Stage, one_thread, release_unused, shuffle_partitions, small_batches
 from .tokens import column_encoder
 
 ROOM = 2048
@@ -279,5 +279,6 @@ def op6_packing(spark: SparkSession, docs: DataFrame, tokenizer_path: str, end_i
     Nulls: a null text is an empty one (the end id alone); a null doc_id stays null, and others keep all their digits beside it. Ties and repeated rows: pieces of equal length are
     interchangeable, each gets a place of its own. Empty table: no rows. Further columns are ignored.
     """
-    staged = Stage(spark, "packing").write(pieces(docs, tokenizer_path, end_id, room), "pieces")
+    with small_batches(spark):
+        staged = Stage(spark, "packing").write(pieces(docs, tokenizer_path, end_id, room), "pieces")
     return pack(staged, room)

@@ -200,3 +200,34 @@ def test_the_pipeline_drops_items_short_of_a_word(spark, tmp_path):
     docs = odd(spark, texts)
     got = corpus_pipeline.decontaminate(spark, docs, str(tmp_path))
     assert got.columns == docs.columns and sorted(x["doc_id"] for x in got.collect()) == want
+
+
+def test_the_pipeline_sends_few_bytes_to_python_at_once(spark, monkeypatch):
+    import corpus_pipeline
+    from facet.llm import op4_pii, op6_packing
+    from facet.llm.common import BATCHES
+    from facet.llm.queries import vocabulary
+
+    docs = spark.range(0, 40, 1, 1).selectExpr("id as doc_id", "repeat(concat('w', id, ' '), 60000) as text")  # about 8 MB in one task
+
+    class Checked:
+        def encode(self, texts, end_id):
+            assert sum(b.size for b in texts.buffers() if b) < 4_000_000, "the whole batch"
+            return np.full(len(texts), end_id, np.uint32), np.ones(len(texts), np.int64)
+
+    def checked(texts):
+        assert sum(map(len, texts)) < 4_000_000
+        return [texts]
+
+    own = spark.conf.get(BATCHES, None)
+    spark.conf.unset(BATCHES)
+    try:
+        with monkeypatch.context() as m:
+            m.setattr(op6_packing, "column_encoder", lambda path, drops_space: Checked())
+            assert op6_packing.op6_packing(spark, docs, vocabulary("byte_bpe_50k.json")).count() == 40
+        assert spark.conf.get(BATCHES, None) is None
+        with monkeypatch.context() as m:
+            m.setattr(op4_pii, "slices", checked)
+            assert corpus_pipeline.mask_personal_data(spark, docs, "").agg({"text": "max"}).count() == 1
+    finally:
+        spark.conf.unset(BATCHES) if own is None else spark.conf.set(BATCHES, own)
